@@ -21,7 +21,7 @@ THOUSANDS_RE = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 # Whitespace stripped at both ends (ASCII whitespace and the common Unicode
 # blanks a spreadsheet export leaves behind).
 _WS_CLASS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_EDGE_WS = f"^{_WS_CLASS}+|{_WS_CLASS}+$"
+_STRIP_RE = f"^{_WS_CLASS}+|{_WS_CLASS}+$|[ \\x{{A0}}]"
 
 
 def _c(c) -> Column:
@@ -34,40 +34,55 @@ def null_tokens(c, tokens=NULL_TOKENS) -> Column:
     return F.when(F.lower(F.trim(c)).isin(list(tokens)), F.lit(None)).otherwise(c)
 
 
-def clean_number_text(c, comma: str = "decimal") -> Column:
-    """The textual rewrite applied before the cast.
+def strip_blanks(c) -> Column:
+    """Remove NBSP and blanks everywhere and any whitespace at both ends
+    (one regex pass)."""
+    return F.regexp_replace(_c(c).cast("string"), _STRIP_RE, "")
+
+
+def fix_separators(s, comma: str = "decimal") -> Column:
+    """Comma/point rewrite of blank-free text.
 
-    * non-breaking spaces are removed, edges trimmed, inner blanks removed;
     * with both ``,`` and ``.`` present the commas are dropped (grouping);
     * with only ``,`` present it is the decimal mark (``comma="decimal"``,
       the reference behaviour: ``4,900`` -> ``4.900``).  ``comma="auto"``
       first treats a well-formed thousands pattern (``4,900``) as grouping.
+
+    One ``translate`` whose target depends on the presence of a point: the
+    input is referenced twice only, so the expression stays small even after
+    Catalyst inlines it into pushed-down filters.
     """
-    s = F.regexp_replace(_c(c).cast("string"), "\u00A0", "")
-    s = F.regexp_replace(s, _EDGE_WS, "")
-    s = F.regexp_replace(s, " ", "")
-    has_comma = s.contains(",")
-    has_point = s.contains(".")
-    out = (F.when(has_comma & has_point, F.regexp_replace(s, ",", ""))
-           .when(has_comma, F.regexp_replace(s, ",", ".")))
+    s = _c(s)
     if comma == "auto":
-        out = F.when(s.rlike(THOUSANDS_RE), F.regexp_replace(s, ",", "")).otherwise(
-            out.otherwise(s))
-        return out
+        target = F.when(F.instr(s, ".") > 0, F.lit("")).when(
+            s.rlike(THOUSANDS_RE), F.lit("")).otherwise(F.lit("."))
+        return F.call_function("translate", s, F.lit(","), target)
     if comma != "decimal":
         raise ValueError(f"comma must be 'decimal' or 'auto', got {comma!r}")
-    return out.otherwise(s)
+    target = F.when(F.instr(s, ".") > 0, F.lit("")).otherwise(F.lit("."))
+    return F.call_function("translate", s, F.lit(","), target)
+
+
+def to_double(t) -> Column:
+    """Guarded cast of rewritten text: only a plain decimal literal (the
+    whole cell) becomes a number; anything else extracts "" and casts to
+    null.  An overflowing exponent gives infinity, like the reference."""
+    return F.regexp_extract(_c(t), NUMERIC_RE, 0).try_cast("double")
+
+
+def clean_number_text(c, comma: str = "decimal") -> Column:
+    """The textual rewrite applied before the cast."""
+    return fix_separators(strip_blanks(c), comma)
 
 
 def parse_locale_number(c, comma: str = "decimal") -> Column:
-    """Text -> DOUBLE with the locale rules above; unparsable -> null.
+    """Text -> DOUBLE with the locale rules; unparsable -> null.
 
-    NaN and infinities (from overflowing exponents) are returned as null so
-    that later binning never sees them (Spark orders NaN above every number).
+    NaN never comes out ("nan" is not a literal here), so later binning never
+    sees it (Spark orders NaN above every number).  Null tokens (``nr``,
+    ``-``, ...) need no special case: they are not literals either.
     """
-    s = clean_number_text(c, comma)
-    v = F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None).cast("double")).otherwise(v)
+    return to_double(clean_number_text(c, comma))
 
 
 def parse_cell(c, comma: str = "decimal", tokens=NULL_TOKENS) -> Column:

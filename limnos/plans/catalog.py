@@ -1,13 +1,14 @@
 """The query catalogue: one Spark plan per operator plus its SQL oracle.
 
 Every query reads the driver's tables (``sf_dir/<table>.parquet``) in full
-and maps them onto the water-quality semantics as laid out in SURVEY §7.3:
+and maps them onto the water-quality semantics (see ``plans.testdata``):
 
 * ``events.value`` plays the chlorophyll concentration (µg/L), ``event_type``
   the dataset/group, ``event_id`` the observation key;
 * a continuous "prediction" is ``value`` perturbed deterministically from
   ``event_id``; class scores are derived from ``event_id`` as well;
-* ``orders.o_totalprice`` rendered as locale-formatted text feeds the parsers;
+* ``orders`` rendered as a messy, locale-formatted survey feeds the header
+  canonicaliser, the number parser and the delimited reader;
 * ``lineitem`` numeric columns play the five features;
 * ``embeddings`` feeds exact kNN.
 
@@ -22,9 +23,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.functions import calibration as cal
+from limnos.functions import fuzzy as fz
 from limnos.functions.fuzzy import AMSA_SLIDER_EPS, DEFAULT_EPS
+from limnos.functions.labels import CENTRES, LABELS, bin_label, label_name
+from limnos.functions.numbers import null_tokens
+from limnos.operators import clean, features, metrics
 from limnos.operators import fuzzy_matrix as fm
+from limnos.operators import probabilities as pr
 from limnos.plans import sqlgen as S
+from limnos.plans import testdata as T
+from limnos.session import scratch_path
+from limnos.sources import delimited
+from limnos.sources.headers import FEATURES, TARGET, canonical_headers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,31 +50,486 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+table = T.table
 
 
 def r6(c):
-    return F.round(c, 6)
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-# ---------------------------------------------------------------- events as lake data
-def events_pred(spark, d) -> DataFrame:
-    """events with a deterministic continuous prediction ``pred``."""
+def rnd(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in cols})
+
+
+R = S.rnd
+f = S.f
+
+# ================================================================= A / B: sources, cleaning
+LAKE_NUM = [c for _, c, *_ in T.LAKE_NUMERIC]          # ph .. chl_ug_l (cond in mS)
+LAKE_SQL = T.lake_text_sql()
+
+
+def lake_canonical(spark, d) -> DataFrame:
+    return canonical_headers(T.lake_frame(spark, d))
+
+
+@register("canonical_headers",
+          f"SELECT \"ID\", sitio, fecha, {', '.join(LAKE_NUM)} FROM {LAKE_SQL}")
+def q_canonical_headers(spark, d):
+    return lake_canonical(spark, d)
+
+
+_PARSED_SQL = ", ".join(f"{T.parse_sql(c, tokens=False)} AS {c}" for c in LAKE_NUM)
+
+
+@register("parse_locale_number", f"SELECT \"ID\", {_PARSED_SQL} FROM {LAKE_SQL}")
+def q_parse_locale_number(spark, d):
+    df = clean.parse_numeric_columns(lake_canonical(spark, d), LAKE_NUM)
+    return df.select("ID", *LAKE_NUM)
+
+
+@register("null_tokens", f"SELECT \"ID\", {T.null_token_sql('chl_ug_l')} AS chl_ug_l, "
+                         f"{T.null_token_sql('ph')} AS ph FROM {LAKE_SQL}")
+def q_null_tokens(spark, d):
+    df = lake_canonical(spark, d)
+    return df.select("ID", null_tokens("chl_ug_l").alias("chl_ug_l"), null_tokens("ph").alias("ph"))
+
+
+@register("convert_units", f"SELECT \"ID\", {T.parse_sql('cond_ms_cm')} * 1000.0 AS cond_us_cm FROM {LAKE_SQL}")
+def q_convert_units(spark, d):
+    df = clean.convert_units(lake_canonical(spark, d))
+    return df.select("ID", "cond_us_cm")
+
+
+_CLEAN_COLS = FEATURES + [TARGET]
+
+
+def _clean_sql() -> str:
+    exprs = {c: T.parse_sql(c) for c in LAKE_NUM}
+    exprs["cond_us_cm"] = f"({exprs.pop('cond_ms_cm')} * 1000.0)"
+    sel = ", ".join(f"{exprs[c]} AS {c}" for c in _CLEAN_COLS)
+    cond = " AND ".join(f"{c} IS NOT NULL" for c in _CLEAN_COLS)
+    return f"SELECT * FROM (SELECT \"ID\", {sel} FROM {LAKE_SQL}) WHERE {cond}"
+
+
+@register("drop_incomplete", _clean_sql())
+def q_drop_incomplete(spark, d):
+    return clean.clean_lake(lake_canonical(spark, d)).select("ID", *_CLEAN_COLS)
+
+
+@register("read_delimited", _clean_sql())
+def q_read_delimited(spark, d):
+    """Round trip: the survey is written as ';'-separated text to the shared
+    folder, then read back with separator/charset detection."""
+    path = scratch_path(spark, "survey-csv")
+    delimited.write_delimited(T.lake_frame(spark, d), path, sep=";")
+    raw = delimited.read_delimited(spark, path)
+    return clean.clean_lake(canonical_headers(raw)).select("ID", *_CLEAN_COLS)
+
+
+@register("preview_first_10",
+          f"SELECT \"ID\", sitio, fecha, {', '.join(LAKE_NUM)} FROM {LAKE_SQL} ORDER BY o_orderkey LIMIT 10")
+def q_preview_first_10(spark, d):
+    df = lake_canonical(spark, d)
+    return df.orderBy(F.col("ID").cast("long")).limit(10)
+
+
+@register("fuse_datasets",
+          "SELECT 'customer' AS dataset, c_custkey AS site_key, c_name AS name, c_nationkey AS nation, "
+          "c_acctbal AS reading, c_mktsegment AS segment FROM customer UNION ALL "
+          "SELECT 'supplier', s_suppkey, s_name, s_nationkey, s_acctbal, NULL FROM supplier")
+def q_fuse_datasets(spark, d):
+    from limnos.sources.fusion import fuse_datasets
+    c = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("site_key"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("reading"),
+        F.col("c_mktsegment").alias("segment"))
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("site_key"), F.col("s_name").alias("name"),
+        F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("reading"))
+    return fuse_datasets({"customer": c, "supplier": s})
+
+
+# --- events as concentrations ------------------------------------------------------
+CHL_NEG_SQL = "(SELECT event_id, value - 5 AS chl_ug_l FROM events)"
+
+
+def events_chl_neg(spark, d):
+    return table(spark, d, "events").select("event_id", (F.col("value") - 5).alias("chl_ug_l"))
+
+
+@register("reject_negative_target", f"SELECT event_id, chl_ug_l FROM {CHL_NEG_SQL} WHERE chl_ug_l >= 0")
+def q_reject_negative_target(spark, d):
+    return clean.reject_negative_target(events_chl_neg(spark, d))
+
+
+@register("negative_target_report",
+          f"SELECT CAST(sum(CASE WHEN chl_ug_l >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept, "
+          f"CAST(sum(CASE WHEN chl_ug_l < 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected FROM {CHL_NEG_SQL}")
+def q_negative_target_report(spark, d):
+    return clean.count_negative_target(events_chl_neg(spark, d))
+
+
+@register("fill_truth", f"SELECT \"ID\", coalesce({T.parse_sql('chl_ug_l')}, 0.0) AS y_true FROM {LAKE_SQL}")
+def q_fill_truth(spark, d):
+    df = clean.parse_numeric_columns(lake_canonical(spark, d), [TARGET])
+    return clean.fill_truth(df, TARGET, out="y_true").select("ID", "y_true")
+
+
+# ================================================================= C: labels, split, scaling
+_LABELS_SQL = "[" + ", ".join("'" + s + "'" for s in LABELS) + "]"
+
+
+@register("bin_labels", f"SELECT event_id, {S.bin_label('value')} AS class_idx, "
+                        f"{_LABELS_SQL}[{S.bin_label('value')} + 1] AS label FROM events")
+def q_bin_labels(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", bin_label("value").alias("class_idx"),
+                     label_name(bin_label("value")).alias("label"))
+
+
+def _events_labeled(spark, d):
+    return features.with_labels(table(spark, d, "events"), "value")
+
+
+_CLS_SQL = f"(SELECT *, {S.bin_label('value')} AS class_idx FROM events)"
+
+
+@register("class_counts",
+          "SELECT k AS class_idx, CAST(count(c.class_idx) AS BIGINT) AS n FROM "
+          "(SELECT unnest([0, 1, 2, 3]) AS k) ks LEFT JOIN " + _CLS_SQL + " c ON c.class_idx = ks.k GROUP BY k")
+def q_class_counts(spark, d):
+    return features.class_counts(_events_labeled(spark, d))
+
+
+@register("distinct_classes", f"SELECT CAST(count(DISTINCT class_idx) AS INTEGER) AS n_classes FROM {_CLS_SQL}")
+def q_distinct_classes(spark, d):
+    return features.distinct_classes(_events_labeled(spark, d))
+
+
+@register("class_weights",
+          f"SELECT class_idx, n_c, {R('CAST(sum(n_c) OVER () AS DOUBLE) / (count(*) OVER () * n_c)')} AS weight "
+          f"FROM (SELECT class_idx, count(*) AS n_c FROM {_CLS_SQL} WHERE class_idx IS NOT NULL GROUP BY class_idx)")
+def q_class_weights(spark, d):
+    return rnd(features.class_weight_table(_events_labeled(spark, d)), ["weight"])
+
+
+@register("train_test_split",
+          "SELECT event_id, rn <= CAST(ceil(0.2 * n) AS BIGINT) AS is_test FROM "
+          "(SELECT event_id, row_number() OVER (ORDER BY md5(concat(CAST(event_id AS VARCHAR), ':42'))) AS rn, "
+          "count(*) OVER () AS n FROM events)")
+def q_train_test_split(spark, d):
+    ev = table(spark, d, "events").select("event_id")
+    return features.train_test_split(ev, ["event_id"], seed=42)
+
+
+LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("standard_scale",
+          "SELECT l_orderkey, l_linenumber AS line, " + ", ".join(
+              f"{R(f'({c} - avg({c}) OVER ()) / (CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END)')} AS z_{c}"
+              for c in LI_FEATS) + " FROM lineitem")
+def q_standard_scale(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *LI_FEATS[:-1])
+    li = li.withColumn("line", F.col("l_linenumber"))
+    model = features.fit_standard_scaler(li, LI_FEATS)
+    return li.select("l_orderkey", "line",
+                     *[r6(model.column(c)).alias(f"z_{c}") for c in LI_FEATS])
+
+
+@register("log_target",
+          f"SELECT l_orderkey, l_linenumber, {R('ln(1 + l_extendedprice)')} AS y_log, "
+          f"{R('exp(ln(1 + l_extendedprice)) - 1', 4)} AS y_back FROM lineitem")
+def q_log_target(spark, d):
+    li = table(spark, d, "lineitem")
+    y = features.log_target("l_extendedprice")
+    return li.select("l_orderkey", "l_linenumber", r6(y).alias("y_log"),
+                     F.round(features.unlog_target(y), 4).alias("y_back"))
+
+
+# ================================================================= D: metrics, probabilities
+def _li_part(spark, d):
+    li = table(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    pt = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    j = li.join(pt, "l_partkey")
+    return j.select("l_returnflag", F.log1p("l_extendedprice").alias("y"),
+                    F.log1p(F.col("l_quantity") * F.col("p_retailprice")).alias("yhat"))
+
+
+_LP_SQL = ("(SELECT l_returnflag, ln(1 + l_extendedprice) AS y, ln(1 + l_quantity * p_retailprice) AS yhat "
+           "FROM lineitem JOIN part ON l_partkey = p_partkey)")
+
+
+@register("huber_loss",
+          f"SELECT l_returnflag, {R('avg(CASE WHEN abs(y - yhat) <= 1.0 THEN 0.5 * abs(y - yhat) * abs(y - yhat) ELSE abs(y - yhat) - 0.5 END)')} AS huber, "
+          f"count(*) AS n FROM {_LP_SQL} GROUP BY l_returnflag")
+def q_huber_loss(spark, d):
+    return rnd(metrics.huber_loss(_li_part(spark, d), "y", "yhat", 1.0, ["l_returnflag"]), ["huber"])
+
+
+@register("r2_score",
+          f"SELECT l_returnflag, {R('1 - sum((y - yhat) * (y - yhat)) / (count(y) * var_pop(y))')} AS r2, "
+          f"count(*) AS n FROM {_LP_SQL} GROUP BY l_returnflag")
+def q_r2_score(spark, d):
+    return rnd(metrics.r2_score(_li_part(spark, d), "y", "yhat", ["l_returnflag"]), ["r2"])
+
+
+@register("error_metrics",
+          f"SELECT l_returnflag, {R('avg(abs(yhat - y))')} AS mae, {R('sqrt(avg((yhat - y) * (yhat - y)))')} AS rmse, "
+          f"{R('avg(yhat - y)')} AS bias, count(*) AS n FROM {_LP_SQL} GROUP BY l_returnflag")
+def q_error_metrics(spark, d):
+    return rnd(metrics.error_metrics(_li_part(spark, d), "y", "yhat", ["l_returnflag"]), ["mae", "rmse", "bias"])
+
+
+@register("crisp_confusion",
+          f"SELECT {S.bin_label('value')} AS true_idx, {S.bin_label('pred')} AS pred_idx, count(*) AS n "
+          f"FROM {T.EV_PRED_SQL} GROUP BY 1, 2")
+def q_crisp_confusion(spark, d):
+    ev = T.events_pred(spark, d)
+    return metrics.crisp_confusion(ev, bin_label("value"), bin_label("pred"))
+
+
+def _aligned(spark, d):
     ev = table(spark, d, "events").select("event_id", "event_type", "value")
-    return ev.withColumn("pred", F.col("value") * ((F.pmod("event_id", F.lit(5)) + 8).cast("double") / 10))
+    return ev.withColumn("p", pr.align_probabilities(T.model_scores(F.col("event_id"))))
+
+
+_ALIGNED_SQL = f"(SELECT event_id, event_type, value, {T.aligned_sql()} FROM events)"
+
+
+@register("align_probabilities",
+          f"SELECT event_id, {', '.join(R(f'p{k}') + f' AS p{k}' for k in range(4))} FROM {_ALIGNED_SQL}")
+def q_align_probabilities(spark, d):
+    a = _aligned(spark, d)
+    return a.select("event_id", *[r6(F.element_at("p", k + 1)).alias(f"p{k}") for k in range(4)])
+
+
+_EXPECTED_SQL = "greatest(" + " + ".join(f"p{k} * {f(c)}" for k, c in enumerate(CENTRES)) + ", 0.0)"
+
+
+@register("expected_from_probs", f"SELECT event_id, {R(_EXPECTED_SQL)} AS chl_expected FROM {_ALIGNED_SQL}")
+def q_expected_from_probs(spark, d):
+    a = _aligned(spark, d)
+    return a.select("event_id", r6(pr.expected_from_probs("p")).alias("chl_expected"))
+
+
+_CENTRES_SQL = "[" + ", ".join(f(c) for c in CENTRES) + "]"
+_ARGMAX_SQL = (f"{_CENTRES_SQL}[list_position([p0, p1, p2, p3], greatest(p0, p1, p2, p3))]")
+
+
+@register("argmax_centre", f"SELECT event_id, {_ARGMAX_SQL} AS centre FROM {_ALIGNED_SQL}")
+def q_argmax_centre(spark, d):
+    a = _aligned(spark, d)
+    return a.select("event_id", pr.argmax_centre("p").alias("centre"))
+
+
+@register("select_truth", f"SELECT event_id, {_ARGMAX_SQL} AS y_true, true AS used_proxy FROM {_ALIGNED_SQL}")
+def q_select_truth(spark, d):
+    a = _aligned(spark, d)
+    return pr.select_truth(a, truth="chl_ug_l", probs="p").select("event_id", "y_true", "used_proxy")
+
 
+@register("export_predictions",
+          f"SELECT event_id, event_type, value, {R(_EXPECTED_SQL)} AS chl_pred FROM {_ALIGNED_SQL}")
+def q_export_predictions(spark, d):
+    """Predictions (class-centre expectation) exported as CSV with header to
+    the shared folder and read back."""
+    a = _aligned(spark, d)
+    out = a.select("event_id", "event_type", "value", r6(pr.expected_from_probs("p")).alias("chl_pred"))
+    path = scratch_path(spark, "predictions-csv")
+    delimited.export_predictions(out, path, fmt="csv")
+    back = delimited.read_delimited(spark, path, sep=",", encoding="UTF-8")
+    return back.select(F.col("event_id").cast("long"), "event_type",
+                       F.col("value").cast("double"), F.col("chl_pred").cast("double"))
 
-EV_PRED_SQL = ("(SELECT event_id, event_type, value, "
-               "value * (CAST((event_id % 5) + 8 AS DOUBLE) / 10) AS pred FROM events)")
 
+# ================================================================= E: fuzzy logic
+def _memb_sql(fn_sql: str) -> str:
+    return f"SELECT event_id, {R(fn_sql)} AS mu FROM events"
 
-def _round_matrix(m: DataFrame) -> DataFrame:
-    return m.withColumn("weight", r6("weight"))
 
+@register("fuzzy_trapezoid", _memb_sql(S.trapezoid("value", 6.0, 8.0, 35.0, 45.0)))
+def q_fuzzy_trapezoid(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", r6(fz.trapezoid("value", 6.0, 8.0, 35.0, 45.0)).alias("mu"))
 
-# E6 --------------------------------------------------------------------------------
-@register("fuzzy_confusion", S.fuzzy_matrix_sql(EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS))
+
+@register("fuzzy_right_shoulder", _memb_sql(S.right_shoulder("value", 35.0, 45.0)))
+def q_fuzzy_right_shoulder(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", r6(fz.right_shoulder("value", 35.0, 45.0)).alias("mu"))
+
+
+@register("fuzzy_left_shoulder", _memb_sql(S.left_shoulder("value", 1.7, 2.3)))
+def q_fuzzy_left_shoulder(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", r6(fz.left_shoulder("value", 1.7, 2.3)).alias("mu"))
+
+
+def _memberships_sql(low: str, eps) -> str:
+    ms = S.memberships("value", eps, low)
+    return "SELECT event_id, " + ", ".join(f"{R(m)} AS m{i}" for i, m in enumerate(ms)) + " FROM events"
+
+
+@register("fuzzy_memberships", _memberships_sql("trapezoid", DEFAULT_EPS))
+def q_fuzzy_memberships(spark, d):
+    ev = table(spark, d, "events")
+    return ev.select("event_id", *[r6(m).alias(f"m{i}") for i, m in enumerate(fz.memberships("value"))])
+
+
+@register("fuzzy_memberships_ls", _memberships_sql("shoulder", DEFAULT_EPS))
+def q_fuzzy_memberships_ls(spark, d):
+    ev = table(spark, d, "events").select("event_id", "value")
+    ms = fz.memberships("value", DEFAULT_EPS, low="shoulder")
+    return ev.select("event_id", *[r6(m).alias(f"m{i}") for i, m in enumerate(ms)])
+
+
+def _round_w(m: DataFrame) -> DataFrame:
+    """Matrix cells are sums over many rows: compare at 4 decimals."""
+    return m.withColumn("weight", F.round("weight", 4))
+
+
+@register("fuzzy_confusion", S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS))
 def q_fuzzy_confusion(spark, d):
-    ev = events_pred(spark, d)
-    return _round_matrix(fm.fuzzy_confusion_from_prediction(ev, "value", "pred", DEFAULT_EPS))
+    ev = T.events_pred(spark, d)
+    return _round_w(fm.fuzzy_confusion_from_prediction(ev, "value", "pred", DEFAULT_EPS))
+
+
+@register("fuzzy_confusion_probs",
+          S.fuzzy_matrix_sql(_ALIGNED_SQL, "value", [f"p{k}" for k in range(4)], AMSA_SLIDER_EPS))
+def q_fuzzy_confusion_probs(spark, d):
+    a = _aligned(spark, d)
+    return _round_w(fm.fuzzy_confusion(a, "value", probs="p", eps=AMSA_SLIDER_EPS))
+
+
+@register("fuzzy_confusion_by_group",
+          S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS,
+                             group_cols=["event_type"]))
+def q_fuzzy_confusion_by_group(spark, d):
+    ev = T.events_pred(spark, d)
+    return _round_w(fm.fuzzy_confusion_from_prediction(ev, "value", "pred", DEFAULT_EPS,
+                                                       group_cols=["event_type"]))
+
+
+@register("fuzzy_total_weight",
+          "SELECT event_type, round(sum(weight), 4) AS total_weight FROM (" +
+          S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS,
+                             group_cols=["event_type"]) + ") GROUP BY event_type")
+def q_fuzzy_total_weight(spark, d):
+    ev = T.events_pred(spark, d)
+    m = fm.fuzzy_confusion_from_prediction(ev, "value", "pred", DEFAULT_EPS, group_cols=["event_type"])
+    return fm.fuzzy_total_weight(m, ["event_type"]).withColumn("total_weight", F.round("total_weight", 4))
+
+
+@register("fuzzy_mass_per_class",
+          " UNION ALL ".join(f"SELECT {i} AS true_idx, {R(f'coalesce(sum({m}), 0.0)', 4)} AS mass FROM events"
+                             for i, m in enumerate(S.memberships("value"))))
+def q_fuzzy_mass_per_class(spark, d):
+    ev = table(spark, d, "events")
+    return fm.fuzzy_mass_per_class(ev, "value").withColumn("mass", F.round("mass", 4))
+
+
+EPS_GRID = [DEFAULT_EPS, AMSA_SLIDER_EPS, (0.1, 0.3, 0.5), (2.0, 3.0, 8.0), (0.5, 1.5, 4.0), (1.0, 2.0, 6.0)]
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for g, eps in enumerate(EPS_GRID):
+        m = S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred", eps), eps)
+        parts.append(f"SELECT {g} AS eps_id, {f(eps[0])} AS eps_2, {f(eps[1])} AS eps_7, {f(eps[2])} AS eps_40, "
+                     f"true_idx, pred_idx, weight FROM ({m})")
+    return " UNION ALL ".join(parts)
+
+
+@register("fuzzy_eps_sweep", _sweep_sql())
+def q_fuzzy_eps_sweep(spark, d):
+    ev = T.events_pred(spark, d)
+    return _round_w(fm.fuzzy_eps_sweep(ev, "value", pred="pred", eps_grid=EPS_GRID))
+
+
+# ================================================================= F: calibration
+TEL = T.TELEMETRY_SQL
+V_SQL = f"(raw * {f(cal.VREF_V / cal.ADC_LEVELS)})"
+MV_SQL = f"(raw * {f(cal.VREF_MV / cal.ADC_LEVELS)})"
+MVA_SQL = f"(raw * {f(cal.VREF_MV / cal.ADC_LEVELS_AVG)})"
+
+
+def _tel(spark, d):
+    return T.telemetry(spark, d)
+
+
+@register("adc_to_voltage",
+          f"SELECT event_id, {R(V_SQL)} AS volts, {R(MV_SQL)} AS millivolts, {R(MVA_SQL)} AS millivolts_avg FROM {TEL}")
+def q_adc_to_voltage(spark, d):
+    t = _tel(spark, d)
+    return t.select("event_id", r6(cal.adc_to_volts("raw")).alias("volts"),
+                    r6(cal.adc_to_millivolts("raw")).alias("millivolts"),
+                    r6(cal.adc_avg_to_millivolts("raw")).alias("millivolts_avg"))
+
+
+@register("calibrate_ph", f"SELECT event_id, {R(f'{f(cal.PH_SLOPE)} * {V_SQL} + {f(cal.PH_INTERCEPT)}')} AS ph FROM {TEL}")
+def q_calibrate_ph(spark, d):
+    t = _tel(spark, d)
+    return t.select("event_id", r6(cal.calibrate_ph(cal.adc_to_volts("raw"))).alias("ph"))
+
+
+_DO_TABLE_SQL = "[" + ", ".join(f(v) for v in cal.DO_SATURATION) + "]"
+_DO_IDX_SQL = "least(greatest(CAST(trunc(temp_c) AS INTEGER), 0), 40)"
+
+
+@register("calibrate_do",
+          f"SELECT event_id, {_DO_IDX_SQL} AS table_idx, "
+          f"{R(f'({MV_SQL} / {f(cal.DO_CAL_MV)}) * {_DO_TABLE_SQL}[{_DO_IDX_SQL} + 1]')} AS do_mg_l FROM {TEL}")
+def q_calibrate_do(spark, d):
+    t = _tel(spark, d)
+    return t.select("event_id", cal.do_table_index("temp_c").alias("table_idx"),
+                    r6(cal.calibrate_do(cal.adc_to_millivolts("raw"), "temp_c")).alias("do_mg_l"))
+
+
+def _turb_sql(v: str) -> str:
+    m_hi = (cal.TURB_MID_NTU - cal.TURB_CLEAN_NTU) / (cal.TURB_MID_V - cal.TURB_CLEAN_V)
+    b_hi = cal.TURB_CLEAN_NTU - m_hi * cal.TURB_CLEAN_V
+    m_lo = (cal.TURB_DIRTY_NTU - cal.TURB_MID_NTU) / (cal.TURB_DIRTY_V - cal.TURB_MID_V)
+    b_lo = cal.TURB_MID_NTU - m_lo * cal.TURB_MID_V
+    return (f"(CASE WHEN {v} >= {f(cal.TURB_CLEAN_V)} THEN {f(cal.TURB_CLEAN_NTU)} "
+            f"WHEN {v} <= {f(cal.TURB_DIRTY_V)} THEN {f(cal.TURB_DIRTY_NTU)} "
+            f"WHEN {v} > {f(cal.TURB_MID_V)} THEN {f(m_hi)} * {v} + {f(b_hi)} "
+            f"ELSE {f(m_lo)} * {v} + {f(b_lo)} END)")
+
+
+@register("calibrate_turbidity", f"SELECT event_id, {R(_turb_sql(V_SQL))} AS ntu FROM {TEL}")
+def q_calibrate_turbidity(spark, d):
+    t = _tel(spark, d)
+    return t.select("event_id", r6(cal.calibrate_turbidity(cal.adc_to_volts("raw"))).alias("ntu"))
+
+
+_TCLS_SQL = (f"(CASE WHEN {V_SQL} >= {f(cal.TURB_CLEAN_V)} THEN 0 WHEN {V_SQL} >= {f(cal.TURB_MID_V)} THEN 1 "
+             f"WHEN {V_SQL} >= {f(cal.TURB_DIRTY_V)} THEN 2 ELSE 3 END)")
+_TMSG_SQL = "[" + ", ".join("'" + s + "'" for s in cal.TURBIDITY_CLASSES) + "]"
+
+
+@register("turbidity_class",
+          f"SELECT event_id, {_TCLS_SQL} AS class_idx, {_TMSG_SQL}[{_TCLS_SQL} + 1] AS message FROM {TEL}")
+def q_turbidity_class(spark, d):
+    t = _tel(spark, d)
+    v = cal.adc_to_volts("raw")
+    return t.select("event_id", cal.turbidity_class_index(v).alias("class_idx"),
+                    cal.turbidity_class(v).alias("message"))
+
+
+@register("temperature_guard",
+          f"SELECT event_id, CASE WHEN temp_c > {f(cal.PH_T_MIN)} AND temp_c < {f(cal.PH_T_MAX)} THEN temp_c "
+          f"ELSE {f(cal.PH_T_DEFAULT)} END AS ph_temp_c FROM {TEL} "
+          f"WHERE temp_c IS NOT NULL AND NOT isnan(temp_c) AND temp_c >= {f(cal.EC_T_MIN)} AND temp_c <= {f(cal.EC_T_MAX)}")
+def q_temperature_guard(spark, d):
+    t = _tel(spark, d)
+    return t.filter(cal.ec_temperature_ok("temp_c")).select(
+        "event_id", cal.ph_temperature("temp_c").alias("ph_temp_c"))
+
+
+@register("low_voltage_gate",
+          f"SELECT event_id, {R(f'CASE WHEN {MV_SQL} > {f(cal.EC_MIN_MV)} THEN {MV_SQL} END')} AS ec_millivolts FROM {TEL}")
+def q_low_voltage_gate(spark, d):
+    t = _tel(spark, d)
+    return t.select("event_id", r6(cal.low_voltage_gate(cal.adc_to_millivolts("raw"))).alias("ec_millivolts"))

@@ -80,6 +80,6 @@ def fuzzy_matrix_sql(src: str, truth: str, probs: list[str], eps=DEFAULT_EPS,
     inner = (f"SELECT {gsel}{sums} FROM (SELECT {gsel}{truth} AS t, {pcols} FROM {src}) s"
              + (f" GROUP BY {g}" if g else ""))
     cells = " UNION ALL ".join(
-        f"SELECT {gsel}{i} AS true_idx, {j} AS pred_idx, {rnd(f'w_{i}{j}')} AS weight FROM agg"
+        f"SELECT {gsel}{i} AS true_idx, {j} AS pred_idx, {rnd(f'w_{i}{j}', 4)} AS weight FROM agg"
         for i in range(4) for j in range(4))
     return f"WITH agg AS ({inner}) {cells}"
