@@ -413,7 +413,7 @@ def q_fuzzy_confusion_by_group(spark, d):
 
 
 @register("fuzzy_total_weight",
-          "SELECT event_type, round(sum(weight), 4) AS total_weight FROM (" +
+          "SELECT event_type, (round(sum(weight), 4) + 0.0) AS total_weight FROM (" +
           S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS,
                              group_cols=["event_type"]) + ") GROUP BY event_type")
 def q_fuzzy_total_weight(spark, d):
@@ -533,3 +533,149 @@ def q_temperature_guard(spark, d):
 def q_low_voltage_gate(spark, d):
     t = _tel(spark, d)
     return t.select("event_id", r6(cal.low_voltage_gate(cal.adc_to_millivolts("raw"))).alias("ec_millivolts"))
+
+
+# ================================================================= D1: exact kNN
+_KNN_SQL = """
+WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label,
+                  row_number() OVER (ORDER BY md5(concat(CAST(vec_id AS VARCHAR), ':42'))) AS rn,
+                  count(*) OVER () AS n FROM embeddings),
+q AS (SELECT * FROM s WHERE rn <= CAST(ceil(0.2 * n) AS BIGINT)),
+t AS (SELECT * FROM s WHERE rn > CAST(ceil(0.2 * n) AS BIGINT)),
+d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, list_distance(q.e, t.e) AS dist FROM q, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d),
+nn AS (SELECT * FROM r WHERE rk <= 7),
+w AS (SELECT qid, label, CASE WHEN min(dist) OVER (PARTITION BY qid) = 0
+                         THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 / dist END AS w FROM nn),
+g AS (SELECT qid, label, sum(w) AS w FROM w GROUP BY qid, label)
+SELECT qid AS query_id, label AS class_label, (round(w / sum(w) OVER (PARTITION BY qid), 6) + 0.0) AS prob FROM g
+"""
+
+
+@register("knn_classify", _KNN_SQL)
+def q_knn_classify(spark, d):
+    """7-NN, distance-weighted, over the 64-d embeddings: the md5 split's
+    test rows are the queries, the rest is the training set."""
+    from limnos.operators import knn
+    emb = table(spark, d, "embeddings")
+    split = features.train_test_split(emb, ["vec_id"], seed=42)
+    train = split.filter(~F.col("is_test"))
+    queries = split.filter(F.col("is_test"))
+    votes = knn.knn_classify(train, queries, key="vec_id", vec="embedding", label="label", k=7,
+                             n_pivots=16)
+    return votes.select(F.col("qkey").alias("query_id"), F.col("label").alias("class_label"),
+                        r6("prob").alias("prob"))
+
+
+# ================================================================= D11/D12: ridge surrogate
+_RIDGE_SRC = "(SELECT l_quantity AS x1, l_discount AS x2, l_extendedprice / 1000 AS y FROM lineitem)"
+_RIDGE_SQL = f"""
+WITH m AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+                  covar_pop(x1, x1) AS v11, covar_pop(x1, x2) AS v12, covar_pop(x2, x2) AS v22,
+                  covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM {_RIDGE_SRC}),
+s AS (SELECT *, n * v11 + 1.0 AS a11, n * v12 AS a12, n * v22 + 1.0 AS a22, n * c1 AS b1, n * c2 AS b2 FROM m),
+b AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS beta1,
+                (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS beta2 FROM s),
+f AS (SELECT *, my - m1 * beta1 - m2 * beta2 AS beta0 FROM b),
+r AS (SELECT 1 - sum((y - (beta0 + x1 * beta1 + x2 * beta2)) * (y - (beta0 + x1 * beta1 + x2 * beta2)))
+             / (count(y) * var_pop(y)) AS r2 FROM {_RIDGE_SRC}, f)
+SELECT 'intercept' AS term, (round(beta0, 4) + 0.0) AS coef FROM f
+UNION ALL SELECT 'l_quantity', (round(beta1, 4) + 0.0) FROM f
+UNION ALL SELECT 'l_discount', (round(beta2, 4) + 0.0) FROM f
+UNION ALL SELECT 'r2', (round(r2, 4) + 0.0) FROM r
+"""
+
+
+@register("ridge_surrogate", _RIDGE_SQL)
+def q_ridge_surrogate(spark, d):
+    """Ridge(α=1) of an output on two raw features, from moments; plus R²."""
+    from limnos.operators import ridge
+    li = table(spark, d, "lineitem").select("l_quantity", "l_discount",
+                                            (F.col("l_extendedprice") / 1000).alias("y"))
+    model = ridge.fit_ridge(li, ["l_quantity", "l_discount"], "y", alpha=1.0)
+    r2 = ridge.r2_of(li, model, "y").select(F.lit("r2").alias("term"), F.round("r2", 4).alias("coef"))
+    terms = model.terms(spark).select("term", F.round("coef", 4).alias("coef"))
+    return terms.unionByName(r2)
+
+
+_MOM_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "y"]
+
+
+def _moments_sql() -> str:
+    src = ("(SELECT l_quantity, l_discount, l_tax, CAST(l_linenumber AS DOUBLE) AS l_linenumber, "
+           "l_extendedprice / 1000 AS y FROM lineitem)")
+    parts = ["count(*) AS n"] + [f"{R(f'avg({c})', 4)} AS mean_{i}" for i, c in enumerate(_MOM_COLS)]
+    for i in range(len(_MOM_COLS)):
+        for j in range(i, len(_MOM_COLS)):
+            parts.append(f"{R(f'covar_pop({_MOM_COLS[i]}, {_MOM_COLS[j]})', 4)} AS cov_{i}_{j}")
+    return f"SELECT {', '.join(parts)} FROM {src}"
+
+
+@register("ridge_moments", _moments_sql())
+def q_ridge_moments(spark, d):
+    """The aggregated moments the five-feature surrogate is solved from."""
+    from limnos.operators import ridge
+    li = table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax",
+                                            F.col("l_linenumber").cast("double").alias("l_linenumber"),
+                                            (F.col("l_extendedprice") / 1000).alias("y"))
+    m = ridge.moments(li, _MOM_COLS[:-1], "y")
+    return m.select("n", *[F.round(c, 4).alias(c) for c in m.columns if c != "n"])
+
+
+# ================================================================= D2-D4, D7: models (rows-only checks)
+PLANT_INPUTS = ["l_quantity", "l_discount", "l_tax", "noise"]
+
+
+def planted(spark, d) -> DataFrame:
+    """lineitem with a planted signal: z = population-scaled quantity,
+    discount, tax (line number as a noise input); r² = z0²+z1²+z2²;
+    class = r² binned at 1.5 / 3 / 4.5; concentration = 20·r²;
+    test rows = one fifth by hash of the line key."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+                                            F.col("l_linenumber").cast("double").alias("noise"))
+    z = features.fit_standard_scaler(li, PLANT_INPUTS).transform(li)
+    r2 = F.col("l_quantity") ** 2 + F.col("l_discount") ** 2 + F.col("l_tax") ** 2
+    cls = F.when(r2 < 1.5, 0).when(r2 < 3.0, 1).when(r2 < 4.5, 2).otherwise(3)
+    return z.withColumns({"class_idx": cls, "chl_ug_l": 20.0 * r2,
+                          "is_test": F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == 0})
+
+
+@register("rbf_classify")
+def q_rbf_classify(spark, d):
+    from limnos.operators import models
+    data = planted(spark, d)
+    clf = models.fit_rbf_classifier(data.filter(~F.col("is_test")), PLANT_INPUTS, "class_idx",
+                                    n_features=64, max_iter=50)
+    scored = clf.predict_proba(data.filter(F.col("is_test")))
+    return scored.select("l_orderkey", "l_linenumber", "class_idx",
+                         *[r6(F.element_at("probs", k + 1)).alias(f"p{k}") for k in range(4)])
+
+
+def _regressor(spark, d):
+    from limnos.operators import models
+    data = planted(spark, d)
+    train = data.filter(~F.col("is_test"))
+    reg, fit_part, val_part = models.fit_regressor(train, PLANT_INPUTS, "chl_ug_l",
+                                                   ["l_orderkey", "l_linenumber"], max_iter=30)
+    return data, reg, fit_part, val_part
+
+
+@register("chl_regressor")
+def q_chl_regressor(spark, d):
+    data, reg, _, _ = _regressor(spark, d)
+    test = reg.predict(data.filter(F.col("is_test")), clip=False)
+    return test.select("l_orderkey", "l_linenumber", r6("chl_ug_l").alias("chl_ug_l"), r6("chl_pred").alias("chl_pred"))
+
+
+@register("training_curve")
+def q_training_curve(spark, d):
+    from limnos.operators import models
+    _, reg, fit_part, val_part = _regressor(spark, d)
+    return models.curve_frame(spark, reg.curve(fit_part, val_part, "chl_ug_l"))
+
+
+@register("score_continuous")
+def q_score_continuous(spark, d):
+    """Scale -> predict -> expm1 -> clip at 0 for every row (pond scoring)."""
+    data, reg, _, _ = _regressor(spark, d)
+    return reg.predict(data).select("l_orderkey", "l_linenumber", r6("chl_pred").alias("chl_pred"))

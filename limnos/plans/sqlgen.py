@@ -64,7 +64,8 @@ def bin_label(x: str) -> str:
 
 
 def rnd(expr: str, digits: int = 6) -> str:
-    return f"round({expr}, {digits})"
+    """round(); ``+ 0.0`` turns a rounded -0.0 into 0.0 as Spark prints it."""
+    return f"(round({expr}, {digits}) + 0.0)"
 
 
 def fuzzy_matrix_sql(src: str, truth: str, probs: list[str], eps=DEFAULT_EPS,
