@@ -679,3 +679,97 @@ def q_score_continuous(spark, d):
     """Scale -> predict -> expm1 -> clip at 0 for every row (pond scoring)."""
     data, reg, _, _ = _regressor(spark, d)
     return reg.predict(data).select("l_orderkey", "l_linenumber", r6("chl_pred").alias("chl_pred"))
+
+
+# ================================================================= G: streaming (run as streams)
+WATERMARK = "1 hour"
+
+
+def _calibrated_sql() -> str:
+    do = f"({MV_SQL} / {f(cal.DO_CAL_MV)}) * {_DO_TABLE_SQL}[{_DO_IDX_SQL} + 1]"
+    return (f"(CASE WHEN sensor = 'temp' THEN temp_c "
+            f"WHEN sensor = 'ph' THEN {f(cal.PH_SLOPE)} * {V_SQL} + {f(cal.PH_INTERCEPT)} "
+            f"WHEN sensor = 'do' THEN {do} "
+            f"WHEN sensor = 'turbidity' THEN {_turb_sql(V_SQL)} "
+            f"WHEN sensor = 'ec' THEN (CASE WHEN {MV_SQL} > {f(cal.EC_MIN_MV)} THEN {MV_SQL} END) END)")
+
+
+def _stream(spark, d, delay=WATERMARK):
+    from limnos.streaming.runner import file_stream
+    from limnos.streaming.telemetry import with_event_time
+    schema = table(spark, d, "events").schema           # metadata only
+    ev = file_stream(spark, f"{d.rstrip('/')}/events.parquet", schema)
+    return with_event_time(T.telemetry_of(ev), "ts", delay)
+
+
+def _closed(bucket: str, every: str) -> str:
+    """Windows the watermark has passed once all input is read."""
+    return (f"time_bucket(INTERVAL '{every}', ts) + INTERVAL '{every}' <= "
+            f"(SELECT max(ts) FROM events) - INTERVAL '{WATERMARK}'")
+
+
+def _ntz(c: str):
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+@register("downsample",
+          f"SELECT time_bucket(INTERVAL '1 second', ts) AS window_start, device, sensor, "
+          f"arg_min(raw, ts) AS raw, min(ts) AS first_ts FROM {TEL} WHERE {_closed('ts', '1 second')} "
+          f"GROUP BY ALL")
+def q_downsample(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    out = run_available_now(spark, st.downsample(_stream(spark, d), "1 second"), "downsample")
+    return out.select(_ntz("window_start"), "device", "sensor", "raw", _ntz("first_ts"))
+
+
+@register("burst_average",
+          f"SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, device, sensor, count(*) AS n, "
+          f"{R('avg(raw)')} AS raw_avg, {R(f'avg(raw) * {f(cal.VREF_MV / cal.ADC_LEVELS_AVG)}')} AS millivolts, "
+          f"{R(f'{f(cal.PH_SLOPE)} * (avg(raw) * {f(cal.VREF_MV / cal.ADC_LEVELS_AVG)} / 1000.0) + {f(cal.PH_INTERCEPT)}')} AS ph "
+          f"FROM {TEL} WHERE {_closed('ts', '6 hours')} GROUP BY ALL")
+def q_burst_average(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    out = run_available_now(spark, st.burst_average(_stream(spark, d), "6 hours"), "burst_average")
+    return out.select(_ntz("window_start"), "device", "sensor", "n",
+                      r6("raw_avg").alias("raw_avg"), r6("millivolts").alias("millivolts"), r6("ph").alias("ph"))
+
+
+@register("assemble_ticks",
+          f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, device, count(*) AS n, " +
+          ", ".join(f"{R(f'max(CASE WHEN sensor = {chr(39)}{s}{chr(39)} THEN {_calibrated_sql()} END)')} AS {s}"
+                    for s in ("temp", "ph", "do", "turbidity", "ec")) +
+          f" FROM {TEL} WHERE {_closed('ts', '1 hour')} GROUP BY ALL")
+def q_assemble_ticks(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    out = run_available_now(spark, st.assemble_ticks(_stream(spark, d), "1 hour"), "assemble_ticks")
+    return out.select(_ntz("window_start"), "device", "n", *[r6(s).alias(s) for s in st.SENSORS])
+
+
+@register("stream_score",
+          f"SELECT event_id, sensor, {R(_calibrated_sql())} AS calibrated, " +
+          ", ".join(f"{R(m)} AS m{i}" for i, m in enumerate(S.memberships('chl_ug_l'))) + f" FROM {TEL}")
+def q_stream_score(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    scored = st.stream_score(_stream(spark, d, delay=None))
+    out = run_available_now(spark, scored.select("event_id", "sensor", "calibrated", "m0", "m1", "m2", "m3"),
+                            "stream_score")
+    return out.select("event_id", "sensor", *[r6(c).alias(c) for c in ["calibrated", "m0", "m1", "m2", "m3"]])
+
+
+def _stream_matrix_sql() -> str:
+    src = (f"(SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, chl_ug_l, pred FROM {TEL} "
+           f"WHERE {_closed('ts', '1 day')})")
+    return S.fuzzy_matrix_sql(src, "chl_ug_l", S.memberships("pred"), DEFAULT_EPS, group_cols=["window_start"])
+
+
+@register("stream_fuzzy_confusion", _stream_matrix_sql())
+def q_stream_fuzzy_confusion(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    m = st.stream_fuzzy_confusion(_stream(spark, d), "chl_ug_l", "pred", "1 day")
+    out = run_available_now(spark, m, "stream_fuzzy_confusion")
+    return out.select(_ntz("window_start"), "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))

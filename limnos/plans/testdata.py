@@ -154,15 +154,28 @@ def aligned_sql(prefix: str = "p") -> str:
 
 
 # ------------------------------------------------------------------ events as telemetry
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as probe readings: 10-bit raw count and a temperature."""
-    ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", "ts", F.col("user_id").alias("device"),
-                     F.col("event_type").alias("sensor"),
+# Which probe each event type plays.
+SENSOR_OF_EVENT = {"view": "temp", "click": "ph", "signup": "do", "purchase": "turbidity", "error": "ec"}
+
+
+def telemetry_of(ev: DataFrame) -> DataFrame:
+    """events as probe readings: 10-bit raw count, a temperature, the value
+    kept as a chlorophyll reading; works on batch and streaming frames."""
+    sensor = F.element_at(F.create_map(*[F.lit(x) for kv in SENSOR_OF_EVENT.items() for x in kv]),
+                          F.col("event_type"))
+    return ev.select("event_id", "ts", F.col("user_id").alias("device"), sensor.alias("sensor"),
                      F.pmod((F.col("value") * 100).cast("int"), F.lit(1024)).alias("raw"),
-                     (F.pmod(F.col("event_id"), F.lit(200)) - 70).cast("double").alias("temp_c"))
+                     (F.pmod(F.col("event_id"), F.lit(200)) - 70).cast("double").alias("temp_c"),
+                     F.col("value").alias("chl_ug_l"),
+                     (F.col("value") * ((F.pmod("event_id", F.lit(5)) + 8).cast("double") / 10)).alias("pred"))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_of(table(spark, sf_dir, "events"))
 
 
-TELEMETRY_SQL = ("(SELECT event_id, ts, user_id AS device, event_type AS sensor, "
+_SENSOR_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SENSOR_OF_EVENT.items()) + " END"
+TELEMETRY_SQL = ("(SELECT event_id, ts, user_id AS device, " + _SENSOR_SQL + " AS sensor, "
                  "CAST(CAST(trunc(value * 100) AS INTEGER) % 1024 AS INTEGER) AS raw, "
-                 "CAST((event_id % 200) - 70 AS DOUBLE) AS temp_c FROM events)")
+                 "CAST((event_id % 200) - 70 AS DOUBLE) AS temp_c, value AS chl_ug_l, "
+                 "value * (CAST((event_id % 5) + 8 AS DOUBLE) / 10) AS pred FROM events)")
