@@ -21,7 +21,9 @@ THOUSANDS_RE = r"^[+-]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 # Whitespace stripped at both ends (ASCII whitespace and the common Unicode
 # blanks a spreadsheet export leaves behind).
 _WS_CLASS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_STRIP_RE = f"^{_WS_CLASS}+|{_WS_CLASS}+$|[ \\x{{A0}}]"
+# the same set as single characters, for trim()
+_EDGE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -35,9 +37,10 @@ def null_tokens(c, tokens=NULL_TOKENS) -> Column:
 
 
 def strip_blanks(c) -> Column:
-    """Remove NBSP and blanks everywhere and any whitespace at both ends
-    (one regex pass)."""
-    return F.regexp_replace(_c(c).cast("string"), _STRIP_RE, "")
+    """Remove blanks and NBSP everywhere, then any other whitespace at both
+    ends (character translation + trim; no regex)."""
+    s = F.translate(_c(c).cast("string"), " \u00A0", "")
+    return F.trim(s, F.lit(_EDGE_CHARS))
 
 
 def fix_separators(s, comma: str = "decimal") -> Column:
@@ -65,8 +68,10 @@ def fix_separators(s, comma: str = "decimal") -> Column:
 
 def to_double(t) -> Column:
     """Guarded cast of rewritten text: only a plain decimal literal (the
-    whole cell) becomes a number; anything else extracts "" and casts to
-    null.  An overflowing exponent gives infinity, like the reference."""
+    whole cell) becomes a number; anything else ("1d", "nan", "inf",
+    "1.2.3") extracts "" and casts to null.  The input is referenced once,
+    so the expression stays small when Catalyst inlines it into pushed-down
+    filters.  An overflowing exponent gives infinity, like the reference."""
     return F.regexp_extract(_c(t), NUMERIC_RE, 0).try_cast("double")
 
 

@@ -69,12 +69,22 @@ LAKE_NUM = [c for _, c, *_ in T.LAKE_NUMERIC]          # ph .. chl_ug_l (cond in
 LAKE_SQL = T.lake_text_sql()
 
 
+def survey_csv(spark, d, sep: str = ",") -> str:
+    """The messy survey rendered from ``orders`` and landed as a CSV table in
+    the shared folder (the reference's input is a CSV file)."""
+    path = scratch_path(spark, "survey-csv")
+    delimited.write_delimited(T.lake_frame(spark, d), path, sep=sep)
+    return path
+
+
 def lake_canonical(spark, d) -> DataFrame:
-    return canonical_headers(T.lake_frame(spark, d))
+    return canonical_headers(delimited.read_delimited(spark, survey_csv(spark, d)))
 
 
-@register("canonical_headers",
-          f"SELECT \"ID\", sitio, fecha, {', '.join(LAKE_NUM)} FROM {LAKE_SQL}")
+_LAKE_CELLS = ", ".join(f"NULLIF({c}, '') AS {c}" for c in LAKE_NUM)   # empty CSV cell -> null
+
+
+@register("canonical_headers", f"SELECT \"ID\", sitio, fecha, {_LAKE_CELLS} FROM {LAKE_SQL}")
 def q_canonical_headers(spark, d):
     return lake_canonical(spark, d)
 
@@ -121,14 +131,12 @@ def q_drop_incomplete(spark, d):
 def q_read_delimited(spark, d):
     """Round trip: the survey is written as ';'-separated text to the shared
     folder, then read back with separator/charset detection."""
-    path = scratch_path(spark, "survey-csv")
-    delimited.write_delimited(T.lake_frame(spark, d), path, sep=";")
-    raw = delimited.read_delimited(spark, path)
+    raw = delimited.read_delimited(spark, survey_csv(spark, d, sep=";"))
     return clean.clean_lake(canonical_headers(raw)).select("ID", *_CLEAN_COLS)
 
 
 @register("preview_first_10",
-          f"SELECT \"ID\", sitio, fecha, {', '.join(LAKE_NUM)} FROM {LAKE_SQL} ORDER BY o_orderkey LIMIT 10")
+          f"SELECT \"ID\", sitio, fecha, {_LAKE_CELLS} FROM {LAKE_SQL} ORDER BY o_orderkey LIMIT 10")
 def q_preview_first_10(spark, d):
     df = lake_canonical(spark, d)
     return df.orderBy(F.col("ID").cast("long")).limit(10)
@@ -773,3 +781,61 @@ def q_stream_fuzzy_confusion(spark, d):
     m = st.stream_fuzzy_confusion(_stream(spark, d), "chl_ug_l", "pred", "1 day")
     out = run_available_now(spark, m, "stream_fuzzy_confusion")
     return out.select(_ntz("window_start"), "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))
+
+
+# ================================================================= A5: sensor log source
+def _dec(c, n: int):
+    """Fixed-point text with n decimals (ties rounded away from zero)."""
+    return (F.round(c * (10 ** n)) / (10 ** n)).cast(f"decimal(12,{n})").cast("string")
+
+
+def _log_lines(spark, d) -> DataFrame:
+    """Telemetry printed in the probes' serial formats (one line per reading)."""
+    t = T.telemetry(spark, d)
+    raw, temp = F.col("raw"), F.col("temp_c")
+    v, mv, mva = cal.adc_to_volts(raw), cal.adc_to_millivolts(raw), cal.adc_avg_to_millivolts(raw)
+    s = F.col("sensor")
+    line = (F.when(s == "temp", F.concat(F.lit("Temperatura: "), _dec(temp, 2), F.lit(" °C")))
+            .when(s == "ph", F.concat(F.lit("T[°C]="), _dec(cal.ph_temperature(temp), 2),
+                                      F.lit(" | Vph[mV]="), _dec(mva, 1),
+                                      F.lit(" | pH="), _dec(cal.calibrate_ph(v), 2)))
+            .when(s == "do", F.concat(F.lit("Oxígeno Disuelto - Voltaje: "), _dec(mv, 1),
+                                      F.lit(" mV | DO: "), _dec(cal.calibrate_do(mv, temp), 2), F.lit(" mg/L")))
+            .when(s == "turbidity", F.concat(F.lit("Voltaje: "), _dec(v, 3), F.lit(" V | NTU: "),
+                                             _dec(cal.calibrate_turbidity(v), 1), F.lit(" -> "),
+                                             cal.turbidity_class(v)))
+            .otherwise(F.concat(F.lit("Raw analog: "), raw.cast("string"), F.lit(" | Voltage: "), _dec(mv, 2),
+                                F.lit(" mV | Temp: "), _dec(temp, 1), F.lit(" °C"))))
+    return t.select(line.alias("value"))
+
+
+def _d(x: str, n: int) -> str:
+    return f"(round(({x}) * {10 ** n}) / {10 ** n})"
+
+
+_PH_T_SQL = (f"(CASE WHEN temp_c > {f(cal.PH_T_MIN)} AND temp_c < {f(cal.PH_T_MAX)} THEN temp_c "
+             f"ELSE {f(cal.PH_T_DEFAULT)} END)")
+_PH_SQL = f"({f(cal.PH_SLOPE)} * {V_SQL} + {f(cal.PH_INTERCEPT)})"
+_DO_SQL = f"(({MV_SQL} / {f(cal.DO_CAL_MV)}) * {_DO_TABLE_SQL}[{_DO_IDX_SQL} + 1])"
+_SENSOR_LOG_SQL = f"""
+SELECT CASE sensor WHEN 'ph' THEN 'ph_probe' ELSE sensor END AS kind,
+  CASE sensor WHEN 'temp' THEN {_d('temp_c', 2)} WHEN 'ph' THEN {_d(_PH_T_SQL, 2)} WHEN 'ec' THEN {_d('temp_c', 1)} END AS temp_c,
+  CASE sensor WHEN 'ph' THEN {_d(MVA_SQL, 1)} WHEN 'do' THEN {_d(MV_SQL, 1)} WHEN 'ec' THEN {_d(MV_SQL, 2)} END AS millivolts,
+  CASE sensor WHEN 'turbidity' THEN {_d(V_SQL, 3)} END AS volts,
+  CASE sensor WHEN 'ph' THEN {_d(_PH_SQL, 2)} END AS ph,
+  CASE sensor WHEN 'do' THEN {_d(_DO_SQL, 2)} END AS do_mg_l,
+  CASE sensor WHEN 'turbidity' THEN {_d(_turb_sql(V_SQL), 1)} END AS ntu,
+  CAST(NULL AS DOUBLE) AS ec_ms_cm,
+  CASE sensor WHEN 'ec' THEN raw END AS raw,
+  CASE sensor WHEN 'turbidity' THEN {_TMSG_SQL}[{_TCLS_SQL} + 1] END AS message
+FROM {TEL}
+"""
+
+
+@register("parse_sensor_log", _SENSOR_LOG_SQL)
+def q_parse_sensor_log(spark, d):
+    """Lines written as text to the shared folder, read back and parsed."""
+    from limnos.sources.sensor_log import read_sensor_log
+    path = scratch_path(spark, "sensor-log")
+    _log_lines(spark, d).write.mode("overwrite").text(path)
+    return read_sensor_log(spark, path).drop("line")

@@ -53,8 +53,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with header (one part file per task; no coalesce to one writer)."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    """CSV with header (one part file per task; no coalesce to one writer).
+    Cell text is written as is: blanks at the edges are kept."""
+    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def export_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
