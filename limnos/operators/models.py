@@ -34,6 +34,20 @@ from limnos.operators.probabilities import align_probabilities
 K = N_CLASSES
 
 
+def training_frame(df: DataFrame) -> DataFrame:
+    """Training rows spread over all cores and kept for the iterations.
+
+    Iterative fits read their input once per iteration; when the input has
+    fewer partitions than the cluster has cores (a few large files) it is
+    round-robin repartitioned first.  At scale the input already has many
+    partitions and no shuffle is added.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        df = df.repartition(n)
+    return df.persist()
+
+
 # ------------------------------------------------------------------ RBF classifier
 @dataclass
 class FourierMap:
@@ -94,10 +108,15 @@ def fit_rbf_classifier(train: DataFrame, inputs: Sequence[str], label: str = "cl
     if len(present) < 2:
         raise ValueError("fewer than 2 classes in the training rows")
     tmp = RbfClassifier(fmap, None, present)  # type: ignore[arg-type]
-    feats = tmp.features(labelled.select(*inputs, F.col(label).cast("double").alias("_y"), "_w"))
+    # spread the (few) input columns first, then build the Fourier features on all cores
+    base = training_frame(labelled.select(*inputs, F.col(label).cast("double").alias("_y"), "_w"))
+    feats = tmp.features(base).persist()
     lr = LogisticRegression(featuresCol="_rff", labelCol="_y", weightCol="_w", family="multinomial",
                             regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
-    return RbfClassifier(fmap, lr.fit(feats), present)
+    model = lr.fit(feats)
+    feats.unpersist()
+    base.unpersist()
+    return RbfClassifier(fmap, model, present)
 
 
 # ------------------------------------------------------------------ GBT regressor
@@ -138,11 +157,12 @@ def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols
     h = F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed + 7)), F.lit(10_000))
     marked = train.withColumn("_val", h < int(valid_fraction * 10_000))
     y = F.log1p(F.col(target)) if log_target else F.col(target)
-    data = VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y))
+    data = training_frame(VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y)))
     gbt = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step, validationIndicatorCol="_val",
-                       validationTol=tol, seed=seed, lossType="squared")
+                       validationTol=tol, seed=seed, lossType="squared", cacheNodeIds=True)
     model = gbt.fit(data)
+    data.unpersist()
     fit_part = marked.filter(~F.col("_val")).drop("_val")
     val_part = marked.filter(F.col("_val")).drop("_val")
     return ChlRegressor(inputs, model, log_target), fit_part, val_part
