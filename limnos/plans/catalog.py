@@ -423,7 +423,7 @@ def q_fuzzy_confusion_by_group(spark, d):
 @register("fuzzy_total_weight",
           "SELECT event_type, (round(sum(weight), 4) + 0.0) AS total_weight FROM (" +
           S.fuzzy_matrix_sql(T.EV_PRED_SQL, "value", S.memberships("pred"), DEFAULT_EPS,
-                             group_cols=["event_type"]) + ") GROUP BY event_type")
+                             group_cols=["event_type"], digits=None) + ") GROUP BY event_type")
 def q_fuzzy_total_weight(spark, d):
     ev = T.events_pred(spark, d)
     m = fm.fuzzy_confusion_from_prediction(ev, "value", "pred", DEFAULT_EPS, group_cols=["event_type"])

@@ -69,7 +69,7 @@ def rnd(expr: str, digits: int = 6) -> str:
 
 
 def fuzzy_matrix_sql(src: str, truth: str, probs: list[str], eps=DEFAULT_EPS,
-                     low="trapezoid", group_cols=()) -> str:
+                     low="trapezoid", group_cols=(), digits: int | None = 4) -> str:
     """Long-form matrix: one aggregate then UNPIVOT by UNION ALL of 16 cells."""
     mu = memberships("t", eps, low)
     q = normalise([f"coalesce(CAST(p{j} AS DOUBLE), 0.0)" for j in range(4)])
@@ -81,6 +81,7 @@ def fuzzy_matrix_sql(src: str, truth: str, probs: list[str], eps=DEFAULT_EPS,
     inner = (f"SELECT {gsel}{sums} FROM (SELECT {gsel}{truth} AS t, {pcols} FROM {src}) s"
              + (f" GROUP BY {g}" if g else ""))
     cells = " UNION ALL ".join(
-        f"SELECT {gsel}{i} AS true_idx, {j} AS pred_idx, {rnd(f'w_{i}{j}', 4)} AS weight FROM agg"
+        f"SELECT {gsel}{i} AS true_idx, {j} AS pred_idx, "
+        f"{rnd(f'w_{i}{j}', digits) if digits is not None else f'w_{i}{j}'} AS weight FROM agg"
         for i in range(4) for j in range(4))
     return f"WITH agg AS ({inner}) {cells}"
