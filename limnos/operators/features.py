@@ -87,8 +87,15 @@ def split_hash(key_cols: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def _histogram(df: DataFrame, h: str, prefix: str, chunk: int) -> list[tuple[str, int]]:
+    """Row counts per next ``chunk`` hex digits below ``prefix`` (bounded)."""
+    sub = df.filter(F.col(h).startswith(prefix)) if prefix else df
+    bucket = F.substring(F.col(h), len(prefix) + 1, chunk)
+    return sorted((r[0], r[1]) for r in sub.groupBy(bucket.alias("b")).count().collect())
+
+
 def _kth_hash(df: DataFrame, h: str, rank: int, chunk: int = 4,
-              collect_limit: int = 50_000) -> str:
+              collect_limit: int = 50_000, first: list | None = None) -> str:
     """Exact ``rank``-th smallest value of hex column ``h`` (1-based).
 
     Radix selection: per level, count rows per next hex ``chunk`` (<= 16^4
@@ -96,11 +103,8 @@ def _kth_hash(df: DataFrame, h: str, rank: int, chunk: int = 4,
     and once a bucket is small collect just its hash strings.
     """
     prefix, r, width = "", rank, 32
+    hist = first if first is not None else _histogram(df, h, prefix, chunk)
     while True:
-        sub = df.filter(F.col(h).startswith(prefix)) if prefix else df
-        bucket = F.substring(F.col(h), len(prefix) + 1, chunk)
-        hist = sorted((row[0], row[1]) for row in
-                      sub.groupBy(bucket.alias("b")).count().collect())
         before = 0
         for b, c in hist:
             if before + c >= r:
@@ -108,10 +112,12 @@ def _kth_hash(df: DataFrame, h: str, rank: int, chunk: int = 4,
             before += c
         r -= before
         prefix += b
-        if c <= collect_limit or len(prefix) >= width:
-            vals = sorted(x[0] for x in df.filter(F.col(h).startswith(prefix))
-                          .select(h).collect())
+        if len(prefix) >= width:          # one full hash (a hot key): no collect
+            return prefix
+        if c <= collect_limit:
+            vals = sorted(x[0] for x in df.filter(F.col(h).startswith(prefix)).select(h).collect())
             return vals[r - 1]
+        hist = _histogram(df, h, prefix, chunk)
 
 
 def train_test_split(df: DataFrame, key_cols: Sequence[str], seed: int = DEFAULT_SEED,
@@ -119,17 +125,19 @@ def train_test_split(df: DataFrame, key_cols: Sequence[str], seed: int = DEFAULT
     """Deterministic split with exactly ⌈test_fraction · n⌉ test rows.
 
     Rows are ordered by ``md5(key:seed)``; the first ⌈f·n⌉ are the test set.
-    The cut-off hash is found by radix selection (a few small histograms),
-    so no global sort and no single-partition window is needed, and the
-    result does not depend on partitioning.  Rows sharing a key share a
-    hash and always land on the same side.
+    The cut-off hash is found by radix selection (a few small histograms;
+    the first one also gives n), so no global sort and no single-partition
+    window is needed, and the result does not depend on partitioning.  Rows
+    sharing a key share a hash and always land on the same side.
     """
     hashed = df.withColumn("_h", split_hash(key_cols, seed))
-    n = hashed.count()
+    keys = hashed.select("_h")
+    first = _histogram(keys, "_h", "", 4)
+    n = sum(c for _, c in first)
     n_test = math.ceil(test_fraction * n - 1e-9)
     if n_test <= 0:
         return hashed.withColumn(out, F.lit(False)).drop("_h")
-    cut = _kth_hash(hashed.select("_h"), "_h", n_test)
+    cut = _kth_hash(keys, "_h", n_test, first=first)
     return hashed.withColumn(out, F.col("_h") <= F.lit(cut)).drop("_h")
 
 

@@ -92,3 +92,13 @@ def test_population_std_scaler_T11(spark):
     out = m.transform(df).collect()
     assert [r.b for r in out] == [0.0] * 4          # zero variance -> divide by 1
     assert sum(r.a for r in out) == pytest.approx(0.0)
+
+
+def test_split_hot_key_never_collected(spark):
+    """A third of the rows share one key: the radix descent ends on the full
+    hash instead of collecting the hot bucket."""
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    hashed = df.withColumn("_h", features.split_hash(["k"]))
+    hs = sorted(r._h for r in hashed.select("_h").collect())
+    got = features._kth_hash(hashed.select("_h"), "_h", 1500, chunk=4, collect_limit=10)
+    assert got == hs[1499]
