@@ -716,8 +716,9 @@ def _closed(bucket: str, every: str) -> str:
             f"(SELECT max(ts) FROM events) - INTERVAL '{WATERMARK}'")
 
 
-def _ntz(c: str):
-    return F.col(c).cast("timestamp_ntz").alias(c)
+def _utc(df: DataFrame, c: str):
+    from limnos.streaming.telemetry import utc_wall_clock
+    return utc_wall_clock(df, c)
 
 
 @register("downsample",
@@ -728,7 +729,7 @@ def q_downsample(spark, d):
     from limnos.streaming import telemetry as st
     from limnos.streaming.runner import run_available_now
     out = run_available_now(spark, st.downsample(_stream(spark, d), "1 second"), "downsample")
-    return out.select(_ntz("window_start"), "device", "sensor", "raw", _ntz("first_ts"))
+    return out.select(_utc(out, "window_start"), "device", "sensor", "raw", _utc(out, "first_ts"))
 
 
 @register("burst_average",
@@ -740,7 +741,7 @@ def q_burst_average(spark, d):
     from limnos.streaming import telemetry as st
     from limnos.streaming.runner import run_available_now
     out = run_available_now(spark, st.burst_average(_stream(spark, d), "6 hours"), "burst_average")
-    return out.select(_ntz("window_start"), "device", "sensor", "n",
+    return out.select(_utc(out, "window_start"), "device", "sensor", "n",
                       r6("raw_avg").alias("raw_avg"), r6("millivolts").alias("millivolts"), r6("ph").alias("ph"))
 
 
@@ -753,7 +754,7 @@ def q_assemble_ticks(spark, d):
     from limnos.streaming import telemetry as st
     from limnos.streaming.runner import run_available_now
     out = run_available_now(spark, st.assemble_ticks(_stream(spark, d), "1 hour"), "assemble_ticks")
-    return out.select(_ntz("window_start"), "device", "n", *[r6(s).alias(s) for s in st.SENSORS])
+    return out.select(_utc(out, "window_start"), "device", "n", *[r6(s).alias(s) for s in st.SENSORS])
 
 
 @register("stream_score",
@@ -780,7 +781,7 @@ def q_stream_fuzzy_confusion(spark, d):
     from limnos.streaming.runner import run_available_now
     m = st.stream_fuzzy_confusion(_stream(spark, d), "chl_ug_l", "pred", "1 day")
     out = run_available_now(spark, m, "stream_fuzzy_confusion")
-    return out.select(_ntz("window_start"), "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))
+    return out.select(_utc(out, "window_start"), "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))
 
 
 # ================================================================= A5: sensor log source

@@ -20,13 +20,28 @@ from limnos.operators import fuzzy_matrix as fm
 SENSORS = ("temp", "ph", "do", "turbidity", "ec")
 
 
+def _session_tz(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone", "UTC")
+
+
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str | None = "1 hour") -> DataFrame:
-    """``ts`` as TIMESTAMP (watermarks need it; NTZ input is cast in UTC)
-    plus the watermark when a delay is given."""
-    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """``ts`` as TIMESTAMP (watermarks need it) plus the watermark when a
+    delay is given.  A TIMESTAMP_NTZ input is read as UTC wall-clock time
+    whatever the session time zone, so windows align the same everywhere."""
+    if dict(df.dtypes).get(ts) == "timestamp_ntz":
+        tz = _session_tz(df)
+        col = F.col(ts) if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(ts))
+        df = df.withColumn(ts, col.cast("timestamp"))
     return df.withWatermark(ts, delay) if delay else df
 
 
+def utc_wall_clock(df: DataFrame, col: str) -> Column:
+    """A TIMESTAMP column as UTC wall-clock TIMESTAMP_NTZ (for output)."""
+    tz = _session_tz(df)
+    c = F.col(col).cast("timestamp_ntz")
+    return (c if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), c)).alias(col)
+
+
 def calibrated_value(sensor: Column, raw: Column, temp_c: Column) -> Column:
     """Physical value of one reading, chosen by its sensor."""
     volts = cal.adc_to_volts(raw)
