@@ -639,8 +639,10 @@ def planted(spark, d) -> DataFrame:
     discount, tax (line number as a noise input); r² = z0²+z1²+z2²;
     class = r² binned at 1.5 / 3 / 4.5; concentration = 20·r²;
     test rows = one fifth by hash of the line key."""
+    from limnos.session import spread
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                                             F.col("l_linenumber").cast("double").alias("noise"))
+    li = spread(li, "l_orderkey", "l_linenumber")
     z = features.fit_standard_scaler(li, PLANT_INPUTS).transform(li)
     r2 = F.col("l_quantity") ** 2 + F.col("l_discount") ** 2 + F.col("l_tax") ** 2
     cls = F.when(r2 < 1.5, 0).when(r2 < 3.0, 1).when(r2 < 4.5, 2).otherwise(3)
@@ -653,7 +655,7 @@ def q_rbf_classify(spark, d):
     from limnos.operators import models
     data = planted(spark, d)
     clf = models.fit_rbf_classifier(data.filter(~F.col("is_test")), PLANT_INPUTS, "class_idx",
-                                    n_features=64, max_iter=50)
+                                    n_features=64, max_iter=30)
     scored = clf.predict_proba(data.filter(F.col("is_test")))
     return scored.select("l_orderkey", "l_linenumber", "class_idx",
                          *[r6(F.element_at("probs", k + 1)).alias(f"p{k}") for k in range(4)])
@@ -664,7 +666,7 @@ def _regressor(spark, d):
     data = planted(spark, d)
     train = data.filter(~F.col("is_test"))
     reg, fit_part, val_part = models.fit_regressor(train, PLANT_INPUTS, "chl_ug_l",
-                                                   ["l_orderkey", "l_linenumber"], max_iter=30)
+                                                   ["l_orderkey", "l_linenumber"], max_iter=20, max_depth=5)
     return data, reg, fit_part, val_part
 
 

@@ -61,3 +61,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh sub-path of the shared folder for one written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, *keys):
+    """Hash-partition on unique row keys when the input has fewer partitions
+    than the cluster has cores (e.g. one large file with a single row group),
+    so row-parallel work uses every core.  Skew-free on unique keys; at scale
+    the input already has many partitions and nothing is added."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n, *keys)
+    return df
