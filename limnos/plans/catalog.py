@@ -452,7 +452,8 @@ def _sweep_sql() -> str:
 
 @register("fuzzy_eps_sweep", _sweep_sql())
 def q_fuzzy_eps_sweep(spark, d):
-    ev = T.events_pred(spark, d)
+    from limnos.session import spread
+    ev = spread(T.events_pred(spark, d), "event_id")     # heavy per row: use every core
     return _round_w(fm.fuzzy_eps_sweep(ev, "value", pred="pred", eps_grid=EPS_GRID))
 
 
