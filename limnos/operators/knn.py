@@ -26,8 +26,6 @@ survive scale.  The plan here is the pivot-partitioned kNN join:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -225,8 +223,3 @@ def probs_to_array(votes: DataFrame, n_classes: int = 4) -> DataFrame:
     agg = votes.groupBy("qkey").agg(*[F.sum(F.when(F.col("label") == c, F.col("prob")).otherwise(0.0))
                                       .alias(f"_p{c}") for c in range(n_classes)])
     return agg.select("qkey", F.array(*[F.col(f"_p{c}") for c in range(n_classes)]).alias("probs"))
-
-
-def suggested_pivots(n_train: int) -> int:
-    """About sqrt(n) cells, between 4 and 256."""
-    return int(min(256, max(4, math.sqrt(max(1, n_train)))))

@@ -5,7 +5,6 @@ Usage: python tests/oracle_check.py [sf_dir] [key ...]
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import sys

@@ -12,7 +12,7 @@ from limnos.operators import clean, features
 from limnos.operators import fuzzy_matrix as fm
 from limnos.plans import pipeline as P
 from limnos.sources.delimited import read_delimited, sniff
-from limnos.sources.headers import FEATURES, TARGET, canonical_headers
+from limnos.sources.headers import TARGET, canonical_headers
 
 pytestmark = pytest.mark.skipif(not os.path.exists(AMSA_CSV), reason="lake CSV not available")
 

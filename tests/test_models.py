@@ -1,7 +1,6 @@
 """Model gates (D2-D4, D7): quality on a planted signal, reproducibility,
 and the Fourier map against the exact RBF kernel."""
 
-import math
 
 import numpy as np
 import pytest

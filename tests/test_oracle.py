@@ -1,6 +1,5 @@
 """Every catalogue query against its DuckDB oracle (driver-style compare)."""
 
-import os
 
 import pytest
 
