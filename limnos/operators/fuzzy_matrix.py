@@ -144,3 +144,30 @@ def fuzzy_eps_sweep(df: DataFrame, truth, probs=None, pred=None,
     return agg.select(*[F.col(c) for c in group_cols], F.expr(
         f"stack({len(parts)}, {', '.join(parts)}) "
         "as (eps_id, eps_2, eps_7, eps_40, true_idx, pred_idx, weight)"))
+
+
+def fuzzy_confusion_models(df: DataFrame, truth, models: dict, eps=DEFAULT_EPS,
+                           low: str = "trapezoid", group_cols: Sequence[str] = ()) -> DataFrame:
+    """Matrices of several models over the same rows in ONE aggregate (E9).
+
+    ``models`` maps a model name to ``("probs", column)`` (class scores) or
+    ``("pred", column)`` (continuous prediction).  The input is read once,
+    so an expensive upstream (a kNN join, model scoring) is not recomputed
+    per model.  Returns group_cols + (model, true_idx, pred_idx, weight).
+    """
+    group_cols = list(group_cols)
+    names = list(models)
+    specs = []
+    for g, name in enumerate(names):
+        kind, col = models[name]
+        if kind not in ("probs", "pred"):
+            raise ValueError(f"model {name!r}: kind must be 'probs' or 'pred'")
+        specs.append((f"g{g}_", truth, col if kind == "probs" else None,
+                      col if kind == "pred" else None, eps, low))
+    proj = _project(df, specs, keep=group_cols)
+    aggs = [c for g in range(len(names)) for c in _cell_sums(prefix=f"g{g}", tag=f"g{g}_")]
+    agg = proj.groupBy(*group_cols).agg(*aggs)
+    parts = [f"'{name}', {i}, {j}, `g{g}_{i}{j}`"
+             for g, name in enumerate(names) for i in range(K) for j in range(K)]
+    return agg.select(*[F.col(c) for c in group_cols], F.expr(
+        f"stack({len(parts)}, {', '.join(parts)}) as (model, true_idx, pred_idx, weight)"))

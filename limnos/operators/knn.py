@@ -9,10 +9,12 @@ survive scale.  The plan here is the pivot-partitioned kNN join:
    smallest pivot distances (``P·(k+2)`` numbers reach the driver).
 2. For a query q with pivot distances d(q, p_c), every training point t in
    cell c satisfies ``d(q,p_c) - r_c <= d(q,t) <= d(q,p_c) + d(p_c,t)``
-   (triangle inequality).  The k-th smallest upper bound is a radius that
-   certainly holds k neighbours; only cells whose lower bound is within it
-   can hold a true neighbour.  The query is routed to those cells only —
-   exactness is kept, no pair outside the candidate cells is ever formed.
+   (triangle inequality).  Phase 1 searches only the (at most k) "seed"
+   cells holding the k smallest upper bounds — they contain k real points,
+   so each query gets a true k-th-neighbour distance.  Phase 2 routes the
+   query to every cell whose lower bound is within that distance and to no
+   other: exactness is kept, no pair outside the candidate cells is formed.
+   About sqrt(n) pivots keep cells small enough for the bound to prune.
 3. A cell may be hot (a third of all rows): training cells are cut into
    blocks of at most ``block_rows`` rows and the queries of a cell into
    blocks of at most ``block_rows`` as well; each (cell, train block, query
@@ -26,6 +28,8 @@ survive scale.  The plan here is the pivot-partitioned kNN join:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,6 +40,8 @@ DEFAULT_K = 7
 DEFAULT_PIVOTS = 32
 DEFAULT_BLOCK_ROWS = 4096
 _SLACK_REL, _SLACK_ABS = 1e-9, 1e-12
+_ROUTE_CHUNK = 1024
+MAX_PIVOTS = 1024
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -103,34 +109,56 @@ def _cell_stats(assigned: DataFrame, k: int, n_pivots: int):
 
 def _route_queries(queries: DataFrame, key: str, vec: str, pivots: np.ndarray,
                    radius: np.ndarray, nearest: np.ndarray, counts: np.ndarray,
-                   tblocks: np.ndarray, k: int) -> DataFrame:
-    """Each query -> one row per (candidate cell, train block of that cell)."""
+                   tblocks: np.ndarray, k: int, mode: str = "bound") -> DataFrame:
+    """Each query -> one row per (candidate cell, train block of that cell).
+
+    ``mode="seed"``: only the (at most k) cells whose pivot bounds give the
+    k smallest upper bounds — together they hold at least k points.
+    ``mode="bound"``: every cell whose lower bound is within the query's
+    radius: the column ``dk`` when present (a true k-th distance), else the
+    k-th smallest pivot upper bound.
+    """
     schema = T.StructType([T.StructField("qkey", T.LongType()), T.StructField("qvec", T.ArrayType(T.DoubleType())),
                            T.StructField("cell", T.IntegerType()), T.StructField("tblock", T.IntegerType())])
     nonempty = counts > 0
 
     def route(batches):
-        for pdf in batches:
-            q = _stack(pdf["qvec"])
-            if len(q) == 0:
-                continue
-            d = _pivot_distances(q, pivots)                       # nq × P
-            ub_all = (d[:, :, None] + nearest[None, :, :]).reshape(len(q), -1)
-            kk = min(k, ub_all.shape[1]) - 1
-            ub = np.partition(ub_all, kk, axis=1)[:, kk]           # k-th smallest upper bound
+        for whole in batches:
+            for s in range(0, len(whole), _ROUTE_CHUNK):       # bounded (chunk × P × k) temporaries
+                yield from route_chunk(whole.iloc[s:s + _ROUTE_CHUNK])
+
+    def route_chunk(pdf):
+        q = _stack(pdf["qvec"])
+        if len(q) == 0:
+            return
+        d = _pivot_distances(q, pivots)                       # nq × P
+        ub_all = (d[:, :, None] + nearest[None, :, :]).reshape(len(q), -1)
+        kk = min(k, ub_all.shape[1])
+        if mode == "seed":
+            best = np.argpartition(ub_all, kk - 1, axis=1)[:, :kk] // nearest.shape[1]
+            cand = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(cand, best, True, axis=1)
+            cand &= nonempty[None, :]
+        else:
+            if "dk" in pdf.columns:
+                ub = pdf["dk"].to_numpy(dtype=np.float64)
+            else:
+                ub = np.partition(ub_all, kk - 1, axis=1)[:, kk - 1]
             ub = np.where(np.isfinite(ub), ub * (1 + _SLACK_REL) + _SLACK_ABS, np.inf)
             cand = ((d - radius[None, :]) <= ub[:, None]) & nonempty[None, :]
-            qi, ci = np.nonzero(cand)
-            reps = tblocks[ci]
-            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
-            starts = np.repeat(np.cumsum(reps) - reps, reps)
-            tb = np.arange(len(qi)) - starts
-            yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[qi].astype("int64"),
-                                "qvec": [q[i] for i in qi], "cell": ci.astype("int32"),
-                                "tblock": tb.astype("int32")})
+        qi, ci = np.nonzero(cand)
+        reps = tblocks[ci]
+        qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
+        starts = np.repeat(np.cumsum(reps) - reps, reps)
+        tb = np.arange(len(qi)) - starts
+        yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[qi].astype("int64"),
+                            "qvec": [q[i] for i in qi], "cell": ci.astype("int32"),
+                            "tblock": tb.astype("int32")})
 
-    src = queries.select(F.col(key).cast("long").alias("qkey"), F.col(vec).cast("array<double>").alias("qvec"))
-    return src.mapInPandas(route, schema)
+    cols = [F.col(key).cast("long").alias("qkey"), F.col(vec).cast("array<double>").alias("qvec")]
+    if "dk" in queries.columns:
+        cols.append(F.col("dk"))
+    return queries.select(*cols).mapInPandas(route, schema)
 
 
 def _block_topk(k: int):
@@ -149,11 +177,23 @@ def _block_topk(k: int):
         for s in range(0, len(q), step):
             diff = q[s:s + step, None, :] - t[None, :, :]
             dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1]
-            for i in range(dist.shape[0]):
+            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+            inside = dist <= kth                                # >= kk per row
+            counts = inside.sum(axis=1)
+            plain = np.nonzero(counts == kk)[0]                 # no tie at the k-th place
+            if len(plain):
+                cols = np.nonzero(inside[plain])[1].reshape(len(plain), kk)
+                dsel = dist[plain[:, None], cols]
+                order = np.lexsort((tkeys[cols], dsel), axis=1)   # (distance, train key)
+                cols = np.take_along_axis(cols, order, axis=1)
+                out_q.append(np.repeat(qkeys[s + plain], kk))
+                out_t.append(tkeys[cols].ravel())
+                out_l.append(labels[cols].ravel())
+                out_d.append(np.take_along_axis(dsel, order, axis=1).ravel())
+            for i in np.nonzero(counts > kk)[0]:                # ties: resolve by key
                 row = dist[i]
-                cand = np.nonzero(row <= kth[i])[0]            # ties at the k-th kept
-                idx = cand[np.lexsort((tkeys[cand], row[cand]))[:kk]]   # (distance, train key)
+                cand = np.nonzero(inside[i])[0]
+                idx = cand[np.lexsort((tkeys[cand], row[cand]))[:kk]]
                 out_q.append(np.full(kk, qkeys[s + i]))
                 out_t.append(tkeys[idx])
                 out_l.append(labels[idx])
@@ -166,18 +206,35 @@ def _block_topk(k: int):
 
 
 def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: str = "features",
-                   label: str = "label", k: int = DEFAULT_K, n_pivots: int = DEFAULT_PIVOTS,
+                   label: str = "label", k: int = DEFAULT_K, n_pivots: int | None = DEFAULT_PIVOTS,
                    block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = 42,
                    query_key: str | None = None) -> DataFrame:
     """Exact k nearest training rows of every query: (qkey, tkey, label, dist, rank)."""
     query_key = query_key or key
+    if n_pivots is None:                 # about sqrt(n) cells of about sqrt(n) rows
+        n_pivots = int(min(MAX_PIVOTS, max(8, math.sqrt(max(1, train.count())))))
     pivots = choose_pivots(train, key, vec, n_pivots, seed)
     n_piv = pivots.shape[0]
     assigned = _assign_cells(train, key, vec, label, pivots).persist()
     counts, radius, nearest = _cell_stats(assigned, k, n_piv)
     tblocks = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
-    routed = _route_queries(queries, query_key, vec, pivots, radius, nearest, counts,
-                            tblocks, k).persist()
+    qsrc = queries.select(F.col(query_key).cast("long").alias("qkey"),
+                          F.col(vec).cast("array<double>").alias("qvec"))
+    # phase 1: the seed cells give every query k real neighbours -> its radius
+    seeds = _route_queries(qsrc, "qkey", "qvec", pivots, radius, nearest, counts, tblocks, k, "seed")
+    first = _block_join(assigned, seeds, tblocks, n_piv, k, block_rows, seed)
+    dk = (first.groupBy("qkey").agg(F.max("dist").alias("dk"), F.count(F.lit(1)).alias("_n"))
+          .select("qkey", F.when(F.col("_n") >= k, F.col("dk")).otherwise(F.lit(float("inf"))).alias("dk")))
+    # phase 2: only cells that can hold a point within that radius
+    routed = _route_queries(qsrc.join(dk, "qkey"), "qkey", "qvec", pivots, radius, nearest, counts,
+                            tblocks, k, "bound")
+    return _block_join(assigned, routed, tblocks, n_piv, k, block_rows, seed)
+
+
+def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_piv: int,
+                k: int, block_rows: int, seed: int) -> DataFrame:
+    """Bounded (cell, train block, query block) groups -> merged top-k."""
+    routed = routed.persist()
     # queries per cell decide the query blocks (bounded, <= P rows to the driver)
     qcounts = np.zeros(n_piv, dtype=np.int64)
     for r in routed.groupBy("cell").agg(F.countDistinct("qkey").alias("n")).collect():
@@ -199,7 +256,7 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
     partial = (train_side.groupBy(*gkeys).cogroup(query_side.groupBy(*gkeys))
                .applyInPandas(_block_topk(k), "qkey long, tkey long, label int, dist double"))
     w = Window.partitionBy("qkey").orderBy("dist", "tkey")
-    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_vote(neigh: DataFrame) -> DataFrame:

@@ -843,3 +843,31 @@ def q_parse_sensor_log(spark, d):
     path = scratch_path(spark, "sensor-log")
     _log_lines(spark, d).write.mode("overwrite").text(path)
     return read_sensor_log(spark, path).drop("line")
+
+
+# ================================================================= Path 1 end to end (rows-only)
+def lake_survey_from_lineitem(spark, d) -> DataFrame:
+    """lineitem as a lake survey (one scan): five numeric feature columns and
+    a chlorophyll column carrying the planted signal of ``planted``; the row
+    id is taken at the scan (stable for the same files)."""
+    from limnos.session import spread
+    li = table(spark, d, "lineitem").select(
+        F.monotonically_increasing_id().alias("_row"), "l_quantity", "l_discount", "l_tax",
+        F.col("l_linenumber").cast("double").alias("do_mg_l"),
+        (F.col("l_extendedprice") / 1000).alias("turb_ntu"))
+    li = spread(li, "_row")
+    sc = features.fit_standard_scaler(li, ["l_quantity", "l_discount", "l_tax"])
+    r2 = sc.column("l_quantity") ** 2 + sc.column("l_discount") ** 2 + sc.column("l_tax") ** 2
+    return li.select("_row", F.col("l_quantity").alias("ph"), F.col("l_discount").alias("temp_c"),
+                     F.col("l_tax").alias("cond_us_cm"), "do_mg_l", "turb_ntu",
+                     (20.0 * r2).alias("chl_ug_l"))
+
+
+@register("lake_pipeline")
+def q_lake_pipeline(spark, d):
+    """Train on the survey (split, scale, GBT regressor, Fourier-feature
+    classifier, exact 7-NN) and return the three fuzzy matrices of the
+    held-out fifth, side by side."""
+    from limnos.plans import pipeline
+    m = pipeline.train_lake(spark, lake_survey_from_lineitem(spark, d), "combined")
+    return m.matrices.select("model", "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))

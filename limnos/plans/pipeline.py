@@ -79,23 +79,16 @@ def _model_probs(models_or_parts, df_s: DataFrame, k: int = 7) -> DataFrame:
     rbf, knn_train = models_or_parts
     with_rbf = rbf.predict_proba(df_s, out="p_rbf")
     votes = KNN.knn_classify(knn_train, _vectors(df_s), key="_row", vec="features",
-                             label="class_idx", k=k, n_pivots=8)
+                             label="class_idx", k=k, n_pivots=None)
     p_knn = KNN.probs_to_array(votes).select(F.col("qkey").alias("_row"), F.col("probs").alias("p_knn"))
     return with_rbf.join(p_knn, "_row", "left")
 
 
 def _matrices(df: DataFrame, truth: str, prof: Profile) -> DataFrame:
-    """SVM-like (RBF), kNN and regressor matrices side by side (E9)."""
-    parts = [FM.fuzzy_confusion(df, truth, probs="p_rbf", eps=prof.eps, low=prof.low)
-             .withColumn("model", F.lit("rbf")),
-             FM.fuzzy_confusion(df, truth, probs="p_knn", eps=prof.eps, low=prof.low)
-             .withColumn("model", F.lit("knn")),
-             FM.fuzzy_confusion(df, truth, pred="chl_nn", eps=prof.eps, low=prof.low)
-             .withColumn("model", F.lit("regressor"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """RBF, kNN and regressor matrices side by side (E9), one aggregate."""
+    return FM.fuzzy_confusion_models(df, truth, {"rbf": ("probs", "p_rbf"), "knn": ("probs", "p_knn"),
+                                                 "regressor": ("pred", "chl_nn")},
+                                     eps=prof.eps, low=prof.low)
 
 
 def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile = "amsa",
@@ -119,9 +112,10 @@ def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile =
         train_s = FT.drop_unlabeled(train_s)
     if prof.require_two_classes:
         FT.require_two_classes(train_s)
-    reg, fit_part, val_part = MD.fit_regressor(train_s, Z, TARGET, ["_row"], seed=seed)
+    reg, fit_part, val_part = MD.fit_regressor(train_s, Z, TARGET, ["_row"], max_iter=20, max_depth=5,
+                                               seed=seed)
     curve = reg.curve(fit_part, val_part, TARGET)
-    rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, seed=seed)
+    rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, max_iter=30, seed=seed)
     knn_train = _vectors(FT.drop_unlabeled(train_s)).select("_row", "features", "class_idx")
     scored = reg.predict(_model_probs((rbf, knn_train), test_s), out="chl_nn", clip=False)
     matrices = _matrices(scored, TARGET, prof)
