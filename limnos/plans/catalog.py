@@ -69,11 +69,20 @@ LAKE_NUM = [c for _, c, *_ in T.LAKE_NUMERIC]          # ph .. chl_ug_l (cond in
 LAKE_SQL = T.lake_text_sql()
 
 
+SURVEY_FORMAT_VERSION = 1
+
+
 def survey_csv(spark, d, sep: str = ",") -> str:
     """The messy survey rendered from ``orders`` and landed as a CSV table in
-    the shared folder (the reference's input is a CSV file)."""
-    path = scratch_path(spark, "survey-csv")
-    delimited.write_delimited(T.lake_frame(spark, d), path, sep=sep)
+    the shared folder (the reference's input is a CSV file).  Landed once per
+    table directory and separator; a later query reuses it only if the write
+    committed."""
+    import hashlib
+    from limnos.session import path_complete, shared_dir
+    tag = hashlib.md5(f"{d.rstrip('/')}|{sep}|{SURVEY_FORMAT_VERSION}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/survey-csv-{tag}"
+    if not path_complete(spark, path):
+        delimited.write_delimited(T.lake_frame(spark, d), path, sep=sep)
     return path
 
 

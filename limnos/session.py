@@ -58,6 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def path_complete(spark: SparkSession, path: str) -> bool:
+    """True when a Spark write to ``path`` committed (its _SUCCESS marker
+    exists), checked through the Hadoop FileSystem of that path."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(marker.getFileSystem(conf).exists(marker))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh sub-path of the shared folder for one written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
