@@ -170,3 +170,19 @@ def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols
 
 def curve_frame(spark: SparkSession, curve: list[tuple[int, float, float]]) -> DataFrame:
     return spark.createDataFrame(curve, "iteration int, train_loss double, val_loss double")
+
+
+def save_regressor(reg: ChlRegressor, path: str) -> None:
+    reg.model.write().overwrite().save(path)
+
+
+def load_regressor(path: str, inputs: Sequence[str], log_target: bool = True) -> ChlRegressor:
+    return ChlRegressor(list(inputs), GBTRegressionModel.load(path), log_target)
+
+
+def validation_split(train: DataFrame, key_cols: Sequence[str], valid_fraction: float = 0.1,
+                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The (fit, validation) parts ``fit_regressor`` uses, recomputed."""
+    h = F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed + 7)), F.lit(10_000))
+    val = h < int(valid_fraction * 10_000)
+    return train.filter(~val), train.filter(val)

@@ -671,12 +671,28 @@ def q_rbf_classify(spark, d):
                          *[r6(F.element_at("probs", k + 1)).alias(f"p{k}") for k in range(4)])
 
 
+MODEL_VERSION = 1
+
+
 def _regressor(spark, d):
+    """The planted-signal GBT regressor: fitted once per table directory and
+    persisted in the shared folder (train once, score many); reused only
+    when the saved model is complete."""
+    import hashlib
     from limnos.operators import models
+    from limnos.session import path_complete, shared_dir
     data = planted(spark, d)
     train = data.filter(~F.col("is_test"))
-    reg, fit_part, val_part = models.fit_regressor(train, PLANT_INPUTS, "chl_ug_l",
-                                                   ["l_orderkey", "l_linenumber"], max_iter=20, max_depth=5)
+    keys = ["l_orderkey", "l_linenumber"]
+    tag = hashlib.md5(f"{d.rstrip('/')}|gbt|{MODEL_VERSION}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/models/regressor-{tag}"
+    if path_complete(spark, f"{path}/data") and path_complete(spark, f"{path}/treesMetadata"):
+        reg = models.load_regressor(path, PLANT_INPUTS)
+        fit_part, val_part = models.validation_split(train, keys)
+    else:
+        reg, fit_part, val_part = models.fit_regressor(train, PLANT_INPUTS, "chl_ug_l", keys,
+                                                       max_iter=20, max_depth=5)
+        models.save_regressor(reg, path)
     return data, reg, fit_part, val_part
 
 
