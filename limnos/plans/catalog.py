@@ -75,11 +75,12 @@ SURVEY_FORMAT_VERSION = 1
 def survey_csv(spark, d, sep: str = ",") -> str:
     """The messy survey rendered from ``orders`` and landed as a CSV table in
     the shared folder (the reference's input is a CSV file).  Landed once per
-    table directory and separator; a later query reuses it only if the write
-    committed."""
+    application, table directory and separator; a later query reuses it only
+    if the write committed."""
     import hashlib
     from limnos.session import path_complete, shared_dir
-    tag = hashlib.md5(f"{d.rstrip('/')}|{sep}|{SURVEY_FORMAT_VERSION}".encode()).hexdigest()[:16]
+    app = spark.sparkContext.applicationId            # reuse within one application only
+    tag = hashlib.md5(f"{app}|{d.rstrip('/')}|{sep}|{SURVEY_FORMAT_VERSION}".encode()).hexdigest()[:16]
     path = f"{shared_dir(spark)}/survey-csv-{tag}"
     if not path_complete(spark, path):
         delimited.write_delimited(T.lake_frame(spark, d), path, sep=sep)
@@ -675,16 +676,17 @@ MODEL_VERSION = 1
 
 
 def _regressor(spark, d):
-    """The planted-signal GBT regressor: fitted once per table directory and
-    persisted in the shared folder (train once, score many); reused only
-    when the saved model is complete."""
+    """The planted-signal GBT regressor: fitted once per application and
+    table directory and persisted in the shared folder (train once, score
+    many); reused only when the saved model is complete."""
     import hashlib
     from limnos.operators import models
     from limnos.session import path_complete, shared_dir
     data = planted(spark, d)
     train = data.filter(~F.col("is_test"))
     keys = ["l_orderkey", "l_linenumber"]
-    tag = hashlib.md5(f"{d.rstrip('/')}|gbt|{MODEL_VERSION}".encode()).hexdigest()[:16]
+    app = spark.sparkContext.applicationId            # reuse within one application only
+    tag = hashlib.md5(f"{app}|{d.rstrip('/')}|gbt|{MODEL_VERSION}".encode()).hexdigest()[:16]
     path = f"{shared_dir(spark)}/models/regressor-{tag}"
     if path_complete(spark, f"{path}/data") and path_complete(spark, f"{path}/treesMetadata"):
         reg = models.load_regressor(path, PLANT_INPUTS)
