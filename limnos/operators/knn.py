@@ -236,9 +236,10 @@ def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_p
     """Bounded (cell, train block, query block) groups -> merged top-k."""
     routed = routed.persist()
     # queries per cell decide the query blocks (bounded, <= P rows to the driver)
+    # (a query is routed once to every train block of a cell: count / blocks)
     qcounts = np.zeros(n_piv, dtype=np.int64)
-    for r in routed.groupBy("cell").agg(F.countDistinct("qkey").alias("n")).collect():
-        qcounts[r["cell"]] = r["n"]
+    for r in routed.groupBy("cell").count().collect():
+        qcounts[r["cell"]] = r["count"] // int(tblocks[r["cell"]])
     qblocks = np.maximum(1, np.ceil(qcounts / block_rows)).astype(np.int64)
     tb_arr = F.array(*[F.lit(int(v)) for v in tblocks])
     qb_arr = F.array(*[F.lit(int(v)) for v in qblocks])
