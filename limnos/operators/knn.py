@@ -44,10 +44,15 @@ _ROUTE_CHUNK = 1024
 MAX_PIVOTS = 1024
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.values])
+def _cols(prefix: str, dim: int) -> list[str]:
+    return [f"{prefix}{i}" for i in range(dim)]
+
+
+def _flat(df: DataFrame, vec: str, prefix: str, dim: int) -> list:
+    """ARRAY<DOUBLE> -> ``dim`` plain DOUBLE columns (JVM side), so pandas
+    steps receive contiguous numeric blocks instead of per-row lists."""
+    v = F.col(vec).cast("array<double>")
+    return [v.getItem(i).alias(f"{prefix}{i}") for i in range(dim)]
 
 
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -67,24 +72,26 @@ def choose_pivots(train: DataFrame, key: str, vec: str, n_pivots: int, seed: int
 
 
 def _assign_cells(train: DataFrame, key: str, vec: str, label: str, pivots: np.ndarray) -> DataFrame:
-    schema = T.StructType([T.StructField("tkey", T.LongType()), T.StructField("tvec", T.ArrayType(T.DoubleType())),
-                           T.StructField("label", T.IntegerType()), T.StructField("cell", T.IntegerType()),
-                           T.StructField("dp", T.DoubleType())])
+    dim = pivots.shape[1]
+    tcols = _cols("t", dim)
+    schema = T.StructType([T.StructField("tkey", T.LongType()), T.StructField("label", T.IntegerType()),
+                           T.StructField("cell", T.IntegerType()), T.StructField("dp", T.DoubleType())]
+                          + [T.StructField(c, T.DoubleType()) for c in tcols])
 
     def assign(batches):
         for pdf in batches:
-            x = _stack(pdf["tvec"])
-            if len(x) == 0:
+            if len(pdf) == 0:
                 continue
+            x = pdf[tcols].to_numpy(dtype=np.float64)
             d = _pivot_distances(x, pivots)
             cell = d.argmin(axis=1)
-            yield pd.DataFrame({"tkey": pdf["tkey"].astype("int64"), "tvec": list(x),
-                                "label": pdf["label"].astype("int32"), "cell": cell.astype("int32"),
-                                "dp": d[np.arange(len(x)), cell]})
+            out = pdf[["tkey", "label"]].astype({"tkey": "int64", "label": "int32"})
+            out["cell"] = cell.astype("int32")
+            out["dp"] = d[np.arange(len(x)), cell]
+            yield pd.concat([out.reset_index(drop=True), pdf[tcols].reset_index(drop=True)], axis=1)
 
-    src = train.select(F.col(key).cast("long").alias("tkey"),
-                       F.col(vec).cast("array<double>").alias("tvec"),
-                       F.col(label).cast("int").alias("label"))
+    src = train.select(F.col(key).cast("long").alias("tkey"), F.col(label).cast("int").alias("label"),
+                       *_flat(train, vec, "t", dim))
     return src.mapInPandas(assign, schema)
 
 
@@ -107,10 +114,10 @@ def _cell_stats(assigned: DataFrame, k: int, n_pivots: int):
     return counts, radius, nearest
 
 
-def _route_queries(queries: DataFrame, key: str, vec: str, pivots: np.ndarray,
-                   radius: np.ndarray, nearest: np.ndarray, counts: np.ndarray,
-                   tblocks: np.ndarray, k: int, mode: str = "bound") -> DataFrame:
-    """Each query -> one row per (candidate cell, train block of that cell).
+def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np.ndarray,
+                   counts: np.ndarray, tblocks: np.ndarray, k: int, mode: str = "bound") -> DataFrame:
+    """Each query (qkey, q0..q{d-1}[, dk]) -> one row per (candidate cell,
+    train block of that cell).
 
     ``mode="seed"``: only the (at most k) cells whose pivot bounds give the
     k smallest upper bounds — together they hold at least k points.
@@ -118,8 +125,11 @@ def _route_queries(queries: DataFrame, key: str, vec: str, pivots: np.ndarray,
     radius: the column ``dk`` when present (a true k-th distance), else the
     k-th smallest pivot upper bound.
     """
-    schema = T.StructType([T.StructField("qkey", T.LongType()), T.StructField("qvec", T.ArrayType(T.DoubleType())),
-                           T.StructField("cell", T.IntegerType()), T.StructField("tblock", T.IntegerType())])
+    dim = pivots.shape[1]
+    qcols = _cols("q", dim)
+    schema = T.StructType([T.StructField("qkey", T.LongType()), T.StructField("cell", T.IntegerType()),
+                           T.StructField("tblock", T.IntegerType())]
+                          + [T.StructField(c, T.DoubleType()) for c in qcols])
     nonempty = counts > 0
 
     def route(batches):
@@ -128,10 +138,10 @@ def _route_queries(queries: DataFrame, key: str, vec: str, pivots: np.ndarray,
                 yield from route_chunk(whole.iloc[s:s + _ROUTE_CHUNK])
 
     def route_chunk(pdf):
-        q = _stack(pdf["qvec"])
-        if len(q) == 0:
+        if len(pdf) == 0:
             return
-        d = _pivot_distances(q, pivots)                       # nq × P
+        q = pdf[qcols].to_numpy(dtype=np.float64)
+        d = _pivot_distances(q, pivots)                           # nq × P
         ub_all = (d[:, :, None] + nearest[None, :, :]).reshape(len(q), -1)
         kk = min(k, ub_all.shape[1])
         if mode == "seed":
@@ -151,13 +161,14 @@ def _route_queries(queries: DataFrame, key: str, vec: str, pivots: np.ndarray,
         qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
         starts = np.repeat(np.cumsum(reps) - reps, reps)
         tb = np.arange(len(qi)) - starts
-        yield pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[qi].astype("int64"),
-                            "qvec": [q[i] for i in qi], "cell": ci.astype("int32"),
-                            "tblock": tb.astype("int32")})
-
-    cols = [F.col(key).cast("long").alias("qkey"), F.col(vec).cast("array<double>").alias("qvec")]
-    if "dk" in queries.columns:
-        cols.append(F.col("dk"))
+        out = pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[qi].astype("int64"),
+                            "cell": ci.astype("int32"), "tblock": tb.astype("int32")})
+        vals = q[qi]
+        for i, c in enumerate(qcols):
+            out[c] = vals[:, i]
+        yield out
+
+    cols = ["qkey", *qcols] + (["dk"] if "dk" in queries.columns else [])
     return queries.select(*cols).mapInPandas(route, schema)
 
 
@@ -166,10 +177,10 @@ def _block_topk(k: int):
         if len(tdf) == 0 or len(qdf) == 0:
             return pd.DataFrame({"qkey": pd.Series([], dtype="int64"), "tkey": pd.Series([], dtype="int64"),
                                  "label": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
-        t = _stack(tdf["tvec"])
+        t = tdf[[c for c in tdf.columns if c.startswith("t") and c[1:].isdigit()]].to_numpy(dtype=np.float64)
         tkeys = tdf["tkey"].to_numpy()
         labels = tdf["label"].to_numpy()
-        q = _stack(qdf["qvec"])
+        q = qdf[[c for c in qdf.columns if c.startswith("q") and c[1:].isdigit()]].to_numpy(dtype=np.float64)
         qkeys = qdf["qkey"].to_numpy()
         kk = min(k, len(t))
         step = max(1, int(8_000_000 // max(1, t.size)))        # bounded temporary
@@ -218,16 +229,15 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
     assigned = _assign_cells(train, key, vec, label, pivots).persist()
     counts, radius, nearest = _cell_stats(assigned, k, n_piv)
     tblocks = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
-    qsrc = queries.select(F.col(query_key).cast("long").alias("qkey"),
-                          F.col(vec).cast("array<double>").alias("qvec"))
+    dim = pivots.shape[1]
+    qsrc = queries.select(F.col(query_key).cast("long").alias("qkey"), *_flat(queries, vec, "q", dim))
     # phase 1: the seed cells give every query k real neighbours -> its radius
-    seeds = _route_queries(qsrc, "qkey", "qvec", pivots, radius, nearest, counts, tblocks, k, "seed")
+    seeds = _route_queries(qsrc, pivots, radius, nearest, counts, tblocks, k, "seed")
     first = _block_join(assigned, seeds, tblocks, n_piv, k, block_rows, seed)
     dk = (first.groupBy("qkey").agg(F.max("dist").alias("dk"), F.count(F.lit(1)).alias("_n"))
           .select("qkey", F.when(F.col("_n") >= k, F.col("dk")).otherwise(F.lit(float("inf"))).alias("dk")))
     # phase 2: only cells that can hold a point within that radius
-    routed = _route_queries(qsrc.join(dk, "qkey"), "qkey", "qvec", pivots, radius, nearest, counts,
-                            tblocks, k, "bound")
+    routed = _route_queries(qsrc.join(dk, "qkey"), pivots, radius, nearest, counts, tblocks, k, "bound")
     return _block_join(assigned, routed, tblocks, n_piv, k, block_rows, seed)
 
 
@@ -248,11 +258,13 @@ def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_p
                   .withColumn("tblock", F.pmod(F.xxhash64("tkey", F.lit(seed + 1)),
                                                F.element_at(tb_arr, cell1).cast("long")).cast("int"))
                   .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.element_at(qb_arr, cell1) - 1)))
-                  .select("cell", "tblock", "qblock", "tkey", "tvec", "label"))
+                  .select("cell", "tblock", "qblock", "tkey", "label",
+                          *[c for c in assigned.columns if c.startswith("t") and c[1:].isdigit()]))
     query_side = (routed
                   .withColumn("qblock", F.pmod(F.xxhash64("qkey", F.lit(seed + 2)),
                                                F.element_at(qb_arr, cell1).cast("long")).cast("int"))
-                  .select("cell", "tblock", "qblock", "qkey", "qvec"))
+                  .select("cell", "tblock", "qblock", "qkey",
+                          *[c for c in routed.columns if c.startswith("q") and c[1:].isdigit()]))
     gkeys = ["cell", "tblock", "qblock"]
     partial = (train_side.groupBy(*gkeys).cogroup(query_side.groupBy(*gkeys))
                .applyInPandas(_block_topk(k), "qkey long, tkey long, label int, dist double"))
