@@ -15,8 +15,8 @@ from limnos.functions.labels import THRESHOLDS
 
 # Default ε around the thresholds 2 / 7 / 40 µg/L.
 DEFAULT_EPS = (0.3, 1.0, 5.0)
-# Defaults of the three sliders of the single-lake (AMSA) profile.
-AMSA_SLIDER_EPS = (0.3, 0.8, 2.0)
+# Defaults of the three ε sliders of the single-lake profile.
+SLIDER_EPS = (0.3, 0.8, 2.0)
 
 
 def _c(c) -> Column:

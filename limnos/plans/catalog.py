@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from limnos.functions import calibration as cal
 from limnos.functions import fuzzy as fz
-from limnos.functions.fuzzy import AMSA_SLIDER_EPS, DEFAULT_EPS
+from limnos.functions.fuzzy import SLIDER_EPS, DEFAULT_EPS
 from limnos.functions.labels import CENTRES, LABELS, bin_label, label_name
 from limnos.functions.numbers import null_tokens
 from limnos.operators import clean, features, metrics
@@ -415,10 +415,10 @@ def q_fuzzy_confusion(spark, d):
 
 
 @register("fuzzy_confusion_probs",
-          S.fuzzy_matrix_sql(_ALIGNED_SQL, "value", [f"p{k}" for k in range(4)], AMSA_SLIDER_EPS))
+          S.fuzzy_matrix_sql(_ALIGNED_SQL, "value", [f"p{k}" for k in range(4)], SLIDER_EPS))
 def q_fuzzy_confusion_probs(spark, d):
     a = _aligned(spark, d)
-    return _round_w(fm.fuzzy_confusion(a, "value", probs="p", eps=AMSA_SLIDER_EPS))
+    return _round_w(fm.fuzzy_confusion(a, "value", probs="p", eps=SLIDER_EPS))
 
 
 @register("fuzzy_confusion_by_group",
@@ -448,7 +448,7 @@ def q_fuzzy_mass_per_class(spark, d):
     return fm.fuzzy_mass_per_class(ev, "value").withColumn("mass", F.round("mass", 4))
 
 
-EPS_GRID = [DEFAULT_EPS, AMSA_SLIDER_EPS, (0.1, 0.3, 0.5), (2.0, 3.0, 8.0), (0.5, 1.5, 4.0), (1.0, 2.0, 6.0)]
+EPS_GRID = [DEFAULT_EPS, SLIDER_EPS, (0.1, 0.3, 0.5), (2.0, 3.0, 8.0), (0.5, 1.5, 4.0), (1.0, 2.0, 6.0)]
 
 
 def _sweep_sql() -> str:
@@ -896,5 +896,5 @@ def q_lake_pipeline(spark, d):
     classifier, exact 7-NN) and return the three fuzzy matrices of the
     held-out fifth, side by side."""
     from limnos.plans import pipeline
-    m = pipeline.train_lake(spark, lake_survey_from_lineitem(spark, d), "combined")
+    m = pipeline.train_lake(spark, lake_survey_from_lineitem(spark, d), "fused")
     return m.matrices.select("model", "true_idx", "pred_idx", F.round("weight", 4).alias("weight"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.functions.fuzzy import AMSA_SLIDER_EPS, DEFAULT_EPS
+from limnos.functions.fuzzy import SLIDER_EPS, DEFAULT_EPS
 from limnos.operators import clean as C
 from limnos.operators import features as FT
 from limnos.operators import fuzzy_matrix as FM
@@ -42,10 +42,10 @@ class Profile:
 
 # The three lake profiles.
 PROFILES = {
-    "amsa": Profile("amsa", eps=AMSA_SLIDER_EPS),
-    "cea": Profile("cea", low="shoulder", reject_negative=True, mask_unlabeled_train=True,
+    "single": Profile("single", eps=SLIDER_EPS),
+    "filtered": Profile("filtered", low="shoulder", reject_negative=True, mask_unlabeled_train=True,
                    require_two_classes=True, rbf_reg=5e-4),
-    "combined": Profile("combined", rbf_reg=5e-4),
+    "fused": Profile("fused", rbf_reg=5e-4),
 }
 
 
@@ -90,7 +90,7 @@ def _matrices(df: DataFrame, truth: str, prof: Profile) -> DataFrame:
                                      eps=prof.eps, low=prof.low)
 
 
-def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile = "amsa",
+def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile = "single",
                seed: int = 42) -> LakeModels:
     """Path 1: clean -> split -> scale -> regressor + two classifiers ->
     fuzzy matrices on the held-out fifth."""

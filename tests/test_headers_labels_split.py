@@ -10,12 +10,12 @@ from limnos.operators import features
 from limnos.operators.clean import clean_lake
 from limnos.sources.headers import canonical_headers, canonical_name, header_mapping, require_columns
 
-AMSA_HEADERS = ["﻿Fecha", "Hora", "Sitio", "pH", "Temperatura (°C)", "Conductividad (µS/cm)",
+LAKE_HEADERS = ["﻿Fecha", "Hora", "Sitio", "pH", "Temperatura (°C)", "Conductividad (µS/cm)",
                 "Oxígeno disuelto (mg/L)", "Turbidez (NTU)", "Clorofila (µg/L)"]
 
 
-def test_amsa_headers():
-    m = header_mapping(AMSA_HEADERS)
+def test_lake_headers():
+    m = header_mapping(LAKE_HEADERS)
     assert list(m.values()) == ["fecha", "hora", "sitio", "ph", "temp_c", "cond_us_cm", "do_mg_l",
                                 "turb_ntu", "chl_ug_l"]
 

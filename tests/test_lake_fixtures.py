@@ -6,15 +6,16 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AMSA_CSV, POND_CSV
-from limnos.functions.fuzzy import AMSA_SLIDER_EPS, DEFAULT_EPS
+from conftest import LAKE_CSV, POND_CSV
+from limnos.functions.fuzzy import SLIDER_EPS, DEFAULT_EPS
 from limnos.operators import clean, features
 from limnos.operators import fuzzy_matrix as fm
 from limnos.plans import pipeline as P
 from limnos.sources.delimited import read_delimited, sniff
 from limnos.sources.headers import TARGET, canonical_headers
 
-pytestmark = pytest.mark.skipif(not os.path.exists(AMSA_CSV), reason="lake CSV not available")
+pytestmark = pytest.mark.skipif(not (LAKE_CSV and os.path.exists(LAKE_CSV) and POND_CSV),
+                                reason="set LIMNOS_LAKE_CSV / LIMNOS_POND_CSV to run the golden tests")
 
 GOLDEN = {  # column: (n, min, max, mean, std_pop)
     "ph": (326, 7.27, 10.02, 8.76581, 0.640779),
@@ -27,39 +28,39 @@ GOLDEN = {  # column: (n, min, max, mean, std_pop)
 
 
 @pytest.fixture(scope="module")
-def amsa(spark):
-    return clean.clean_lake(canonical_headers(read_delimited(spark, AMSA_CSV))).persist()
+def lake(spark):
+    return clean.clean_lake(canonical_headers(read_delimited(spark, LAKE_CSV))).persist()
 
 
 def test_sniff(spark):
-    assert sniff(spark, AMSA_CSV) == (",", "UTF-8")
+    assert sniff(spark, LAKE_CSV) == (",", "UTF-8")
 
 
-def test_column_statistics(amsa):
+def test_column_statistics(lake):
     for c, (n, lo, hi, mean, std) in GOLDEN.items():
-        r = amsa.agg(F.count(c), F.min(c), F.max(c), F.avg(c), F.stddev_pop(c)).first()
+        r = lake.agg(F.count(c), F.min(c), F.max(c), F.avg(c), F.stddev_pop(c)).first()
         assert r[0] == n
         assert (r[1], r[2]) == pytest.approx((lo, hi))
         assert r[3] == pytest.approx(mean, abs=1e-5)
         assert r[4] == pytest.approx(std, abs=1e-5)
 
 
-def test_comma_cells_T1(amsa):
-    vals = {r[0] for r in amsa.select("turb_ntu").collect()}
+def test_comma_cells_T1(lake):
+    vals = {r[0] for r in lake.select("turb_ntu").collect()}
     assert 4.9 in vals and 1.95 in vals
-    assert 1378.84 in {r[0] for r in amsa.select("chl_ug_l").collect()}
+    assert 1378.84 in {r[0] for r in lake.select("chl_ug_l").collect()}
 
 
-def test_class_counts(amsa):
-    labeled = features.with_labels(amsa, TARGET)
+def test_class_counts(lake):
+    labeled = features.with_labels(lake, TARGET)
     counts = {r.class_idx: r.n for r in features.class_counts(labeled).collect()}
     assert counts == {0: 0, 1: 4, 2: 66, 3: 256}
 
 
 @pytest.mark.parametrize("eps,want", [(DEFAULT_EPS, [0, 4.655, 65.9339, 255.4111]),
-                                      (AMSA_SLIDER_EPS, [0, 4.56875, 66.4137, 255.01755])])
-def test_fuzzy_mass(amsa, eps, want):
-    got = {r.true_idx: r.mass for r in fm.fuzzy_mass_per_class(amsa, TARGET, eps).collect()}
+                                      (SLIDER_EPS, [0, 4.56875, 66.4137, 255.01755])])
+def test_fuzzy_mass(lake, eps, want):
+    got = {r.true_idx: r.mass for r in fm.fuzzy_mass_per_class(lake, TARGET, eps).collect()}
     assert [got[i] for i in range(4)] == pytest.approx(want, abs=1e-4)
     assert sum(got.values()) == pytest.approx(326)
 
@@ -73,8 +74,8 @@ def test_pond_file(spark):
 
 
 def test_three_paths(spark, tmp_path):
-    survey = P.load_survey(spark, AMSA_CSV)
-    m = P.train_lake(spark, survey, "amsa")
+    survey = P.load_survey(spark, LAKE_CSV)
+    m = P.train_lake(spark, survey, "single")
     mats = m.matrices.collect()
     n_test = 66                                   # ceil(0.2 * 326)
     for model in ("rbf", "knn", "regressor"):
@@ -96,6 +97,6 @@ def test_negative_target_profile(spark):
          enumerate([-1.0, 3.0, 10.0, 50.0, -5.0] * 12)],
         ["pH", "Temperatura", "Conductividad", "OD (mg/L)", "Turbidez", "Clorofila"])
     survey = canonical_headers(df).withColumn("_row", F.monotonically_increasing_id())
-    m = P.train_lake(spark, survey, "cea")
+    m = P.train_lake(spark, survey, "filtered")
     assert m.rejected_negative == 24
     assert m.clean.count() == 36
