@@ -23,40 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm import bloom
+from limnos.llm.bloom import FILTER_WORDS
 from limnos.llm.common import id_text, land, same
 
-#: 64-bit words of the filter: 2^26 bits, at most some 40 MB as a join table.
-FILTER_WORDS = 1 << 20
-
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def _signature(digest: Column, words: int) -> tuple[Column, Column]:
-    """A word of the filter and the four bits that ``digest`` sets in it."""
-    h, g = F.xxhash64(digest), F.xxhash64(F.lit(1), digest)
-    bits = F.lit(0).cast("long")
-    for k in range(4):
-        shift = F.shiftright(g, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), shift))
-    return F.pmod(h, F.lit(words).cast("long")), bits
-
-
-def _marked(keys: DataFrame, digest: Column, repeated: DataFrame, words: int) -> DataFrame:
-    """``keys`` with ``suspect``: whether the filter may contain the digest.
-    ``repeated``: (word, filter)."""
-    word, bits = _signature(digest, words)
-    return (keys.withColumns({"__word": word, "__bits": bits})
-            .join(F.broadcast(repeated), F.col("__word") == F.col("word"), "left")
-            .withColumn("suspect", F.coalesce(F.col("filter").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)))
-            .drop("__word", "__bits", "word", "filter"))
-
-
-def _filter_of(signatures: DataFrame) -> DataFrame:
-    return signatures.groupBy("word").agg(F.bit_or("bits").alias("filter"))
-
-
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 filter_words: int = FILTER_WORDS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256,
@@ -71,10 +46,10 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce("text", F.lit(""))
     keys = land(rows.select("doc_id", F.char_length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("content"),
                             F.sha2(normalised(F.col("text")), 256).alias("text_sha256")), "exact-keys")
-    word, bits = _signature(F.col("text_sha256"), filter_words)
+    word, bits = bloom.signature(F.col("text_sha256"), filter_words)
     twice = keys.groupBy(word.alias("word"), bits.alias("bits")).agg(F.count("*").alias("n")).where("n > 1")
-    repeated = land(_filter_of(twice), "exact-filter")
-    marked = _marked(keys, F.col("text_sha256"), repeated, filter_words)
+    repeated = land(bloom.build(twice), "exact-filter")
+    marked = bloom.mark(keys, F.col("text_sha256"), repeated, filter_words)
     suspects = land(marked.where("suspect").drop("suspect"), "exact-suspects")
     best = F.struct((-F.col("n_chars")).alias("n"), "doc_id", "content")
     groups = land(suspects.groupBy("text_sha256").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
@@ -99,12 +74,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     touched = land(marks.where("group_size > 1").groupBy(*key)
                    .agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
                    .where("rows > 1 OR NOT kept"), "exact-touched")
-    word, bits = _signature(F.struct(*key), filter_words)
-    repeated = land(_filter_of(touched.select(word.alias("word"), bits.alias("bits"))), "exact-touched-filter")
+    word, bits = bloom.signature(F.struct(*key), filter_words)
+    repeated = land(bloom.build(touched.select(word.alias("word"), bits.alias("bits"))), "exact-touched-filter")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     whole = F.struct(*docs.columns)
     keys = docs.select(whole.alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"))
-    marked = _marked(keys, F.struct(*key), repeated, filter_words)
+    marked = bloom.mark(keys, F.struct(*key), repeated, filter_words)
     hit = marked.where("suspect").select("row", *key)
     gone = touched.where("NOT kept").select(*key)
     left = hit.join(gone, same(hit, gone, *key), "left_anti").dropDuplicates(key)
