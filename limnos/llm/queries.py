@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import documents
 from limnos.llm.exact_dedup import mark_copies
 from limnos.llm.near_dedup import near_components
+from limnos.llm import pii
 from limnos.llm.packing import pack
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
@@ -31,6 +32,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "deviation")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_strings(pii.scan(documents(spark, sf_dir))).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -44,6 +50,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
 }
