@@ -38,8 +38,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NOT_LETTER = re.compile("[A-Za-z\u0080-\U0010ffff]")
-_DIGIT = re.compile(r"[^0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]")
 _TERM = re.compile("[A-Za-z\u0080-\U0010ffff]{3,}")
 _LETTER = re.compile("[A-Za-z\u0080-\U0010ffff]")
 _DIGIT = re.compile("[0-9]")
