@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import documents
 from limnos.llm.exact_dedup import mark_copies
 from limnos.llm.near_dedup import near_components
-from limnos.llm import pii
+from limnos.llm import license_scan, pii, secret_scan
 from limnos.llm.packing import pack
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
@@ -23,6 +23,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("blocks")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir), percent=85, shingle_words=3)
 
@@ -48,6 +56,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_secret_scan": op3_secret_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
