@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import documents
 from limnos.llm.exact_dedup import mark_copies
 from limnos.llm.near_dedup import near_components
-from limnos.llm import license_scan, pii, secret_scan
+from limnos.llm import license_scan, pii, secret_scan, toxicity
 from limnos.llm.packing import pack
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
@@ -45,6 +45,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
 }
