@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from limnos.llm.common import documents
 from limnos.llm.exact_dedup import mark_copies
 from limnos.llm.near_dedup import near_components
-from limnos.llm import license_scan, pii, secret_scan, toxicity
+from limnos.llm import license_scan, pii, secret_scan, segment, toxicity
 from limnos.llm.packing import pack
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
@@ -53,6 +53,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(MODEL)
+    drawn = segment.decode(segment.sample_segmentations(documents(spark, sf_dir), model), model)
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), "log_prob", "perturbed", "log_inclusion",
+                        F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("decoded") == F.col("content")).alias("round_trip"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(documents(spark, sf_dir), public_tokenizers.path(MODEL))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -67,6 +74,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_segmentations": op9_segmentations,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -154,3 +154,33 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return np.zeros(0, data.dtype)
     begin = np.cumsum(size) - size
     return data[np.arange(total) + np.repeat(starts - begin, size)]
+
+
+class Table:
+    """Places of distinct 64-bit keys by open addressing: a few gathers a
+    lookup instead of a binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, int(len(keys) * 8 - 1).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.slot = np.full(size, -1, np.int32)
+        self.keys = np.append(keys, np.zeros(1, np.uint64))
+        todo = np.arange(len(keys), dtype=np.int32)
+        at = (keys & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & int(self.mask)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 for unknown ones."""
+        at = (h & self.mask).astype(np.int64)
+        out = self.slot[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != h))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & int(self.mask)
+            got = self.slot[at[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.keys[got] != h[todo])]
+        return out
