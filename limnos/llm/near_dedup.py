@@ -11,9 +11,9 @@ hash as leading-zero count and mantissa bits.  Then
 2. proposals whose collision-corrected Jaccard estimate lies clearly below the
    threshold go; the rest are confirmed on the full sets of the whole texts;
 3. buckets in which classes of different components are still together are
-   searched for every such pair, in blocks of bounded size, again by estimate
-   first and full sets second.  So no link is missed because two texts met
-   only beside a third one;
+   searched for every such pair, in blocks of bounded size, by an estimate on
+   finer sketches first and full sets second.  So no link is missed because
+   two texts met only beside a third one;
 4. components come from large-star/small-star rounds over landed edge tables.
 
 What a task holds is a slice of texts, a block of sketches or a pair of texts.
@@ -37,6 +37,8 @@ REGISTERS = 128
 BAND = 4
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
+#: Registers that tell apart the classes of a bucket.
+FINE = 512
 #: Sketches of a bucket that one task compares with one another.
 BLOCK = 512
 #: Standard deviations by which an estimate may miss.
@@ -91,13 +93,32 @@ def sketch_rows(texts: pa.Array, size: int, registers: int):
     return np.diff(first), sig, compress(smallest, filled).reshape(n, registers)
 
 
+_DRAWS: dict[int, np.ndarray] = {}
+
+
 def densify(regs: np.ndarray) -> np.ndarray:
-    """Empty registers take the next filled one's value, round the end."""
+    """Empty registers take the value of one drawn for their place, the same
+    draws for every sketch, until it is a filled one.  So the registers of a
+    band rest on different shingles even where a set has few."""
+    n = regs.shape[1]
+    if n not in _DRAWS:
+        rng = np.random.default_rng(n)
+        _DRAWS[n] = np.stack([rng.permutation(n) for _ in range(n)])
+    out = regs.copy()
+    row, at = np.nonzero(out == EMPTY)
+    for draw in _DRAWS[n]:
+        if not len(row):
+            return out
+        got = regs[row, draw[at]]
+        out[row, at] = got
+        left = got == EMPTY
+        row, at = row[left], at[left]
+    # none of n draws hit: the next filled register, round the end
     twice = np.concatenate([regs, regs], axis=1)
-    n = twice.shape[1]
-    at = np.where(twice != EMPTY, np.arange(n), n - 1)
-    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
-    return np.take_along_axis(twice, at, axis=1)[:, : regs.shape[1]]
+    nearest = np.where(twice != EMPTY, np.arange(2 * n), 2 * n - 1)
+    nearest = np.minimum.accumulate(nearest[:, ::-1], axis=1)[:, ::-1]
+    out[row, at] = twice[row, nearest[row, at]]
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +131,14 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def likely(a, b, size_a, size_b, threshold: float) -> np.ndarray:
-    """Pairs whose estimate doesn't rule the threshold out."""
+    """Pairs whose estimate doesn't rule the threshold out.  The registers are
+    a sample, without replacement, of the union's shingles, so the estimate's
+    error shrinks as they come to hold most of them."""
     est, used = estimate(a, b, size_a, size_b)
     sizes_allow = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
-    return sizes_allow & (est >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / used))
+    union = np.maximum((size_a + size_b) / (1 + threshold), 2)
+    unseen = np.clip((union - used) / (union - 1), 0.02, 1)
+    return sizes_allow & (est >= threshold - SLACK * np.sqrt(threshold * (1 - threshold) / used * unseen))
 
 
 def _registers(column: pa.Array, registers: int) -> np.ndarray:
@@ -136,19 +161,24 @@ def sketches(docs: DataFrame, size: int = 3, registers: int = REGISTERS) -> Data
     return by_batch(rows, run, f"doc_id {kind}, n_shingles long, sig_a long, sig_b long, registers binary")
 
 
+def bands(regs: np.ndarray, band: int) -> np.ndarray:
+    """Keys of sketches, one column for each band."""
+    regs = densify(regs).astype(np.uint64)
+    k = regs.shape[1] // band
+    key = np.zeros((len(regs), k), np.uint64)
+    for j in range(band):
+        key = (key << np.uint64(16)) | regs[:, j::band]
+    return R.mix(key + R.mix(np.arange(1, k + 1, dtype=np.uint64))[None, :])
+
+
 def band_keys(classes: DataFrame, registers: int = REGISTERS, band: int = BAND) -> DataFrame:
     """(key, node): one row for each class and band."""
     def run(b):
         for x in range(0, b.num_rows, 2048):
             part = b.slice(x, 2048)
-            regs = densify(_registers(part.column(1), registers)).astype(np.uint64)
-            n, k = len(regs), registers // band
-            key = np.zeros((n, k), np.uint64)
-            for j in range(band):
-                key = (key << np.uint64(16)) | regs[:, j::band]
-            key = R.mix(key + R.mix(np.arange(1, k + 1, dtype=np.uint64))[None, :])
+            key = bands(_registers(part.column(1), registers), band)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(n), k)))],
+                [pa.array(key.ravel().view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(key)), key.shape[1])))],
                 ["key", "node"])
     kind = classes.schema["node"].dataType.simpleString()
     return by_batch(classes.select("node", "registers"), run, f"key long, node {kind}")
@@ -229,33 +259,48 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, numerator: int, size: int) ->
     return by_batch(both, run, f"a {kind}, b {kind}")
 
 
-def _crossing(members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, registers: int, block: int) -> DataFrame:
-    """Likely pairs of classes that share a bucket but not a component."""
+def _crossing(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float,
+              size: int, registers: int, band: int, fine: int, block: int) -> DataFrame:
+    """Likely pairs of classes that share a bucket but not a component; each
+    comes from the first bucket that the two share."""
     comp = labels.select(F.col("node").alias("n2"), "component")
     known = members.join(comp, F.col("node") == F.col("n2"), "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
     known = land(known, "near-known")
     open_keys = land(known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"))
                      .where("lo <> hi").select(F.col("key").alias("k2"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "near-open")
-    rest = known.join(open_keys, F.col("key") == F.col("k2")).withColumn("p", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rest = land(known.join(open_keys, F.col("key") == F.col("k2")).select("key", "node", "component", "blocks"), "near-rest")
+    nodes = land(rest.select("node").distinct(), "near-nodes")
+    # an id that stands for several texts is compared by one of them
+    drawn = sketches(bloom.rows_in(docs, {"node": F.col("doc_id")}, nodes), size, fine)
+    detail = classes.join(drawn.groupBy(F.col("doc_id").alias("node"), "n_shingles", "sig_a", "sig_b").agg(F.first("registers").alias("fine")),
+                          ["node", "n_shingles", "sig_a", "sig_b"]).select(F.col("node").alias("n3"), "n_shingles", "registers", "fine")
+    detail = land(detail, "near-detail")
+    rest = rest.withColumn("p", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rest = rest.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    regs = classes.select(F.col("node").alias("n3"), "n_shingles", "registers")
-    dealt = (rest.join(regs, F.col("node") == F.col("n3"))
-             .select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "node", "component", "n_shingles", "registers"))
+    dealt = (rest.join(detail, F.col("node") == F.col("n3"))
+             .select("key", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "node", "component", "n_shingles", "registers", "fine"))
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     kind = classes.schema["node"].dataType.simpleString()
 
     def pairs_of(t: pa.RecordBatch) -> pa.RecordBatch | None:
+        here = np.int64(t.column(0)[0].as_py()).view(np.uint64)
         lo, hi, p = t.column(1)[0].as_py(), t.column(2)[0].as_py(), np.asarray(t.column(3))
         comp = np.asarray(t.column(5))
-        n, regs = np.asarray(t.column(6), dtype=np.float64), _registers(t.column(7), registers)
+        if len(t) < 2 or (comp == comp[0]).all():
+            return None
+        n, regs = np.asarray(t.column(6), dtype=np.float64), _registers(t.column(8), fine)
+        keys = bands(_registers(t.column(7), registers), band)
+        column = int((keys[0] == here).argmax())
+        earlier = keys[:, :column]
         one = np.flatnonzero(p == lo)
         two = np.flatnonzero(p == hi)
         left, right = [], []
         for i in one:
-            js = two[(comp[two] != comp[i])]
+            js = two[comp[two] != comp[i]]
             if lo == hi:
                 js = js[js > i]
+            js = js[~(earlier[js] == earlier[i]).any(1)]
             if len(js):
                 js = js[likely(regs[i][None, :], regs[js], n[i], n[js], threshold)]
                 left.append(np.full(len(js), i))
@@ -268,8 +313,7 @@ def _crossing(members: DataFrame, labels: DataFrame, classes: DataFrame, thresho
     def run(batches: Iterator[pa.RecordBatch]):
         held = None
         for b in batches:
-            t = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()
-            t = t[0] if t else b
+            t = pa.concat_batches([held, b]) if held is not None else b
             key = [np.asarray(t.column(k)) for k in range(3)]
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             bound = np.concatenate([[0], change])
@@ -284,7 +328,7 @@ def _crossing(members: DataFrame, labels: DataFrame, classes: DataFrame, thresho
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
-                    shingle_words: int = 3, registers: int = REGISTERS, band: int = BAND, block: int = BLOCK) -> DataFrame:
+                    shingle_words: int = 3, registers: int = REGISTERS, band: int = BAND, fine: int = FINE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of
@@ -307,7 +351,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = land(_estimated(proposed, classes, threshold, registers), "near-pairs")
     links = land(_confirmed(pairs, rows, percent, shingle_words), "near-links")
     labels = connected(links)
-    more = land(_crossing(members, labels, classes, threshold, registers, block), "near-pairs")
+    more = land(_crossing(members, labels, classes, rows, threshold, shingle_words, registers, band, fine, block), "near-pairs")
     links = links.unionByName(_confirmed(more, rows, percent, shingle_words))
     labels = connected(links)
     comp = labels.select(F.col("node").alias("n2"), "component")
