@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import land, same
+from limnos.llm.common import land, row_of, same
 
 #: 64-bit words of a filter: 2^26 bits, at most some 40 MB as a join table.
 FILTER_WORDS = 1 << 20
@@ -45,7 +45,7 @@ def _keyed(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int)
     names = list(on)
     word, bits = signature(F.struct(*[F.col(n) for n in names]), words)
     table = land(build(keys.select(word.alias("word"), bits.alias("bits"))), "bloom")
-    whole = rows.select(F.struct(*rows.columns).alias("row"), *[c.alias(n) for n, c in on.items()])
+    whole = rows.select(row_of(rows).alias("row"), *[c.alias(n) for n, c in on.items()])
     return mark(whole, F.struct(*[F.col(n) for n in names]), table, words)
 
 

@@ -42,6 +42,12 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that working columns can't
+    clash with them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
              schema: str) -> DataFrame:
     """``mapInArrow`` with one call of ``fn`` for each batch."""

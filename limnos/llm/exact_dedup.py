@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm import bloom
 from limnos.llm.bloom import FILTER_WORDS
-from limnos.llm.common import id_text, land, same
+from limnos.llm.common import id_text, land, row_of, same
 
 
 def normalised(text: Column) -> Column:
@@ -77,8 +77,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word, bits = bloom.signature(F.struct(*key), filter_words)
     repeated = land(bloom.build(touched.select(word.alias("word"), bits.alias("bits"))), "exact-touched-filter")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = F.struct(*docs.columns)
-    keys = docs.select(whole.alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"))
+    keys = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"))
     marked = bloom.mark(keys, F.struct(*key), repeated, filter_words)
     hit = marked.where("suspect").select("row", *key)
     gone = touched.where("NOT kept").select(*key)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm import bloom
 from limnos.llm import ragged as R
-from limnos.llm.common import by_batch, by_partition, land, same
+from limnos.llm.common import by_batch, by_partition, land, row_of, same
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -266,18 +266,20 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     found = scan(docs, id_col, text_col, support, disclosed)
     told = land(found.where("terms IS NOT NULL").select("doc_id", "content", "terms").dropDuplicates(["doc_id", "content"]), "pii-told")
     key = {"doc_id": F.col(id_col), "content": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
-    names, place = docs.columns, docs.columns.index(text_col)
+    names = docs.columns
+    place, width = docs.columns.index(text_col), len(docs.columns)
     keys = told.select("doc_id", "content")
-    plain = bloom.rows_not_in(docs, key, keys).withColumn("__terms", F.lit(None).cast(told.schema["terms"].dataType))
+    plain = bloom.rows_not_in(docs, key, keys)
+    plain = plain.select(row_of(plain).alias("row"), F.lit(None).cast(told.schema["terms"].dataType).alias("terms"))
     hit = bloom.rows_in(docs, key, keys)
-    hit = hit.select(*names, *[c.alias(f"__{n}") for n, c in key.items()])
-    hit = hit.join(told.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.col("terms").alias("__terms")),
-                   hit["__doc_id"].eqNullSafe(F.col("__d")) & (hit["__content"] == F.col("__c"))).select(*names, "__terms")
+    hit = hit.select(row_of(hit).alias("row"), *[c.alias(n) for n, c in key.items()])
+    hit = hit.join(told, same(hit, told, "doc_id", "content")).select("row", "terms")
 
     def run(b):
-        for x, y in R.slices(b.column(place)):
-            part = b.slice(x, y - x)
-            texts = [None if t is None else mask(t, told) for t, told in zip(part.column(place).to_pylist(), part.column(len(names)).to_pylist())]
-            columns = [part.column(k) if k != place else pa.array(texts, pa.string()) for k in range(len(names))]
+        whole = b.column(0).flatten()
+        for x, y in R.slices(whole[place]):
+            texts = [None if t is None else mask(t, told) for t, told in
+                     zip(whole[place].slice(x, y - x).to_pylist(), b.column(1).slice(x, y - x).to_pylist())]
+            columns = [whole[k].slice(x, y - x) if k != place else pa.array(texts, pa.string()) for k in range(width)]
             yield pa.RecordBatch.from_arrays(columns, names)
     return by_batch(plain.unionByName(hit), run, docs.schema)
