@@ -36,7 +36,7 @@ SPACE = 0x2581
 SAMPLES = 2
 #: Flattens the distribution of pieces (0: all segmentations alike).
 ALPHA = 0.5
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _U = np.uint64
 
@@ -416,6 +416,17 @@ def detokenise(pieces: Pieces, ids: np.ndarray, first: np.ndarray) -> tuple[np.n
     return data[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
+def same_text(decoded: tuple[np.ndarray, np.ndarray], original: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Whether each decoded text is that of its row."""
+    (data, off), (want, first) = decoded, original
+    ok = np.diff(off) == (first[rows + 1] - first[rows])
+    at = np.flatnonzero(ok)
+    size = np.diff(off)[at]
+    equal = R.gather(data, off[at], off[at + 1]) == R.gather(want, first[rows[at]], first[rows[at] + 1])
+    ok[at] = R.per_row(equal, np.concatenate([[0], np.cumsum(size)])) == size
+    return ok
+
+
 def row_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts as the model reads them (a space first, spaces
     as U+2581), and each row's first."""
@@ -432,9 +443,9 @@ def row_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
                          samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """One row for each sampled segmentation: doc_id, content (hash of the text
-    that the ids decode to), sample (0 has the highest perturbed value), ids,
-    log_prob, perturbed, log_inclusion.
+    """One row for each sampled segmentation: doc_id, round_trip (whether the
+    ids decode to the text, U+2581 read as a space), sample (0 has the highest
+    perturbed value), ids, log_prob, perturbed, log_inclusion.
 
     ``model_path``: a SentencePiece model that does not normalise, present on
     every worker.  Texts are read whole.  A row has fewer than ``samples`` rows
@@ -442,9 +453,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
     or empty text has one, without tokens.  Samples depend on ``seed``, the row's
     id (nulls alike) and its text only, so repeated rows have equal samples.  An
     empty table gives no rows."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"), text.alias("text"),
-                       F.xxhash64(F.replace(F.coalesce(text, F.lit("")), F.lit(chr(SPACE)), F.lit(" "))).alias("content"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("seed"),
+                       F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -452,7 +462,9 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
         for b in batches:
             pieces = pieces or Pieces(model_path, alpha)
             for x, y in R.slices(b.column(2), SLICE):
-                points, first = row_points(b.column(2).slice(x, y - x))
+                texts = b.column(2).slice(x, y - x)
+                points, first = row_points(texts)
+                original = R.buffers(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), chr(SPACE), " "))
                 seeds = np.asarray(b.column(1).slice(x, y - x)).view(_U)
                 sampler = Sampler(pieces, points, first, seeds)
                 got = list(sampler.sample(samples))
@@ -462,11 +474,11 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
                     far = log_p - kappa[active]
                     inclusion = np.where(far < -30, far, np.log(-np.expm1(-np.exp(np.clip(far, -30, 30)))))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(x, y - x).take(pa.array(active)), b.column(3).slice(x, y - x).take(pa.array(active)), pa.array(np.full(len(active), p, np.int32)),
+                        [b.column(0).slice(x, y - x).take(pa.array(active)), pa.array(same_text(detokenise(pieces, ids, token_first), original, active)), pa.array(np.full(len(active), p, np.int32)),
                          pa.ListArray.from_arrays(pa.array(token_first.astype(np.int32)), pa.array(ids.astype(np.int32))),
                          pa.array(np.round(log_p, 6)), pa.array(np.round(value, 6)), pa.array(np.round(inclusion, 6))],
-                        ["doc_id", "content", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
-    return by_partition(rows, run, f"doc_id {kind}, content long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+                        ["doc_id", "round_trip", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+    return by_partition(rows, run, f"doc_id {kind}, round_trip boolean, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 
 
 def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
