@@ -14,6 +14,10 @@ from limnos.session import scratch_path
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch on its way to a worker.
+ARROW_BYTES = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -48,6 +52,12 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def _small_batches(df: DataFrame) -> None:
+    """Texts travel to the workers in batches of bounded bytes; Spark's default
+    would hold 64 MB of them several times over in each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None],
              schema: str) -> DataFrame:
     """``mapInArrow`` with one call of ``fn`` for each batch."""
@@ -60,11 +70,12 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                 yield out
             else:
                 yield from out
-    return df.mapInArrow(run, schema)
+    return by_partition(df, run, schema)
 
 
 def by_partition(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                  schema: str) -> DataFrame:
+    _small_batches(df)
     return df.mapInArrow(fn, schema)
 
 

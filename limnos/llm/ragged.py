@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _M = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
 BYTE_VALUES = _rng.integers(1, _M, 256, dtype=np.uint64)
