@@ -31,6 +31,9 @@ TURB_DIRTY_V, TURB_DIRTY_NTU = 3.27, 500.0
 # Turbidity class messages, clean to out of range.
 TURBIDITY_CLASSES = ("Agua limpia.", "Agua con partículas.", "Agua muy turbia.",
                      "Fuera del rango calibrado.")
+# The messages of the stand-alone turbidity probe, same order.
+TURBIDITY_PROBE_CLASSES = ("Agua limpia (muy pocas partículas).", "Agua con presencia de partículas.",
+                           "Agua con muchas partículas.", "Lectura fuera del rango calibrado.")
 # Temperature validity windows (°C) and the pH fallback.
 EC_T_MIN, EC_T_MAX = -50.0, 125.0
 PH_T_MIN, PH_T_MAX, PH_T_DEFAULT = -55.0, 125.0, 25.0
@@ -61,9 +64,9 @@ def calibrate_ph(volts) -> Column:
 
 
 def do_table_index(temp_c) -> Column:
-    """int(T) truncated toward zero, clamped to 0..40."""
+    """int(T) truncated toward zero, clamped to 0..40; null without a temperature."""
     t = _c(temp_c).try_cast("int")
-    return F.least(F.greatest(t, F.lit(0)), F.lit(len(DO_SATURATION) - 1))
+    return F.when(t.isNotNull(), F.least(F.greatest(t, F.lit(0)), F.lit(len(DO_SATURATION) - 1)))
 
 
 def calibrate_do(millivolts, temp_c) -> Column:
@@ -89,11 +92,12 @@ def turbidity_class_index(volts) -> Column:
     """0 clean, 1 particles, 2 very turbid, 3 outside the calibrated range."""
     v = _c(volts)
     return (F.when(v >= TURB_CLEAN_V, 0).when(v >= TURB_MID_V, 1)
-            .when(v >= TURB_DIRTY_V, 2).otherwise(3))
+            .when(v >= TURB_DIRTY_V, 2).when(v.isNotNull(), 3))
 
 
-def turbidity_class(volts) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in TURBIDITY_CLASSES]),
+def turbidity_class(volts, messages=TURBIDITY_CLASSES) -> Column:
+    """Message of a voltage's class; null without a voltage."""
+    return F.element_at(F.array(*[F.lit(s) for s in messages]),
                         turbidity_class_index(volts) + 1)
 
 

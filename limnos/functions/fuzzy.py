@@ -3,7 +3,7 @@
 Shape parameters are plan-time Python floats (the ε triple is a function
 argument), so every membership is a short ``CASE WHEN`` chain that Catalyst
 constant-folds and whole-stage codegen compiles.  A null input has
-membership 0 everywhere (a non-number falls in no class).
+membership 0 everywhere, and so has NaN (a non-number falls in no class).
 """
 
 from __future__ import annotations
@@ -23,12 +23,23 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def trapezoid(x, a: float, b: float, c: float, d: float) -> Column:
-    """0 for x<=a or x>=d, 1 on [b, c], linear ramps in between."""
+def _no_number(x: Column) -> Column:
+    return x.isNull() | F.isnan(x.cast("double"))
+
+
+def _ramp(rise: Column, width) -> Column:
+    """Share of a ramp; 1 where it has no width."""
+    if isinstance(width, Column):
+        return F.when(width > 0, rise / width).otherwise(1.0)
+    return rise / F.lit(width) if width > 0 else F.lit(1.0)
+
+
+def trapezoid(x, a, b, c, d) -> Column:
+    """0 for x<=a or x>=d, 1 on [b, c], linear ramps in between.  The corners
+    are numbers or columns."""
     x = _c(x)
-    up = (x - F.lit(a)) / F.lit(b - a) if b > a else F.lit(1.0)
-    down = (F.lit(d) - x) / F.lit(d - c) if d > c else F.lit(1.0)
-    return (F.when(x.isNull(), 0.0)
+    up, down = _ramp(x - F.lit(a), b - a), _ramp(F.lit(d) - x, d - c)
+    return (F.when(_no_number(x), 0.0)
             .when((x <= a) | (x >= d), 0.0)
             .when((x >= b) & (x <= c), 1.0)
             .when((x > a) & (x < b), up)
@@ -36,19 +47,19 @@ def trapezoid(x, a: float, b: float, c: float, d: float) -> Column:
             .otherwise(0.0))
 
 
-def right_shoulder(x, a: float, b: float) -> Column:
+def right_shoulder(x, a, b) -> Column:
     """0 for x<=a, 1 for x>=b, linear in between."""
     x = _c(x)
-    ramp = (x - F.lit(a)) / F.lit(b - a) if b > a else F.lit(1.0)
-    return (F.when(x.isNull(), 0.0).when(x <= a, 0.0).when(x >= b, 1.0)
+    ramp = _ramp(x - F.lit(a), b - a)
+    return (F.when(_no_number(x), 0.0).when(x <= a, 0.0).when(x >= b, 1.0)
             .otherwise(ramp))
 
 
-def left_shoulder(x, a: float, b: float) -> Column:
+def left_shoulder(x, a, b) -> Column:
     """1 for x<=a, 0 for x>=b, linear in between (mirror of the right one)."""
     x = _c(x)
-    ramp = (F.lit(b) - x) / F.lit(b - a) if b > a else F.lit(1.0)
-    return (F.when(x.isNull(), 0.0).when(x <= a, 1.0).when(x >= b, 0.0)
+    ramp = _ramp(F.lit(b) - x, b - a)
+    return (F.when(_no_number(x), 0.0).when(x <= a, 1.0).when(x >= b, 0.0)
             .otherwise(ramp))
 
 
@@ -59,7 +70,7 @@ def raw_memberships(x, eps=DEFAULT_EPS, low: str = "trapezoid") -> list[Column]:
     values at or below zero belong nowhere; ``low="shoulder"`` gives it a left
     shoulder, so they belong fully to class 0.
     """
-    e1, e2, e3 = (float(e) for e in eps)
+    e1, e2, e3 = (e if isinstance(e, Column) else float(e) for e in eps)
     t1, t2, t3 = THRESHOLDS[1], THRESHOLDS[2], THRESHOLDS[3]
     if low == "trapezoid":
         m0 = trapezoid(x, 0.0, 0.0, t1 - e1, t1 + e1)

@@ -126,24 +126,23 @@ def fuzzy_eps_sweep(df: DataFrame, truth, probs=None, pred=None,
                     low: str = "trapezoid", group_cols: Sequence[str] = ()) -> DataFrame:
     """All matrices of an ε grid in ONE scan and ONE aggregate.
 
-    Each grid point adds 16 sums to the same aggregate (the grid is a plan
-    parameter, not data), so rows are read once and never multiplied by the
-    grid size.  Give either ``probs`` (fixed class distribution) or ``pred``
-    (continuous prediction, fuzzified with the same ε as the truth).
+    The grid is a literal array that each row meets on the map side; grouping
+    by grid point leaves 16 doubles for each point and task to shuffle, and the
+    plan has one set of 16 sums whatever the grid.  Give either ``probs`` (fixed
+    class distribution) or ``pred`` (continuous prediction, fuzzified with the
+    same ε as the truth).  No rows give no matrices.
     Returns group_cols + (eps_id, eps_2, eps_7, eps_40, true_idx, pred_idx, weight).
     """
     if (probs is None) == (pred is None):
         raise ValueError("give exactly one of probs / pred")
     group_cols = list(group_cols)
-    specs = [(f"g{g}_", truth, probs, pred, eps, low) for g, eps in enumerate(eps_grid)]
-    proj = _project(df, specs, keep=group_cols)
-    aggs = [c for g in range(len(eps_grid)) for c in _cell_sums(prefix=f"g{g}", tag=f"g{g}_")]
-    agg = proj.groupBy(*group_cols).agg(*aggs)
-    parts = [f"{g}, {float(e1)}D, {float(e2)}D, {float(e3)}D, {i}, {j}, `g{g}_{i}{j}`"
-             for g, (e1, e2, e3) in enumerate(eps_grid) for i in range(K) for j in range(K)]
-    return agg.select(*[F.col(c) for c in group_cols], F.expr(
-        f"stack({len(parts)}, {', '.join(parts)}) "
-        "as (eps_id, eps_2, eps_7, eps_40, true_idx, pred_idx, weight)"))
+    names = ["eps_id", "eps_2", "eps_7", "eps_40"]
+    grid = F.array(*[F.struct(F.lit(g).alias("eps_id"), *[F.lit(float(e)).alias(n) for e, n in zip(eps, names[1:])])
+                     for g, eps in enumerate(eps_grid)])
+    other = _c(pred).alias("_pred") if pred is not None else F.array(*_prob_columns(probs)).alias("_probs")
+    met = df.select(*group_cols, _c(truth).alias("_truth"), other, F.explode(grid).alias("_g")).select("*", "_g.*")
+    return fuzzy_confusion(met, "_truth", probs=None if probs is None else "_probs", pred=None if pred is None else "_pred",
+                           eps=tuple(F.col(n) for n in names[1:]), low=low, group_cols=[*group_cols, *names])
 
 
 def fuzzy_confusion_models(df: DataFrame, truth, models: dict, eps=DEFAULT_EPS,

@@ -37,11 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_K = 7
-DEFAULT_PIVOTS = 32
 DEFAULT_BLOCK_ROWS = 4096
 _SLACK_REL, _SLACK_ABS = 1e-9, 1e-12
-_ROUTE_CHUNK = 1024
-MAX_PIVOTS = 1024
+_ROUTE_CELLS = 8_000_000
 
 
 def _cols(prefix: str, dim: int) -> list[str]:
@@ -134,8 +132,9 @@ def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, n
 
     def route(batches):
         for whole in batches:
-            for s in range(0, len(whole), _ROUTE_CHUNK):       # bounded (chunk × P × k) temporaries
-                yield from route_chunk(whole.iloc[s:s + _ROUTE_CHUNK])
+            step = max(1, _ROUTE_CELLS // (len(pivots) * nearest.shape[1]))    # bounded (step × P × k) temporaries
+            for s in range(0, len(whole), step):
+                yield from route_chunk(whole.iloc[s:s + step])
 
     def route_chunk(pdf):
         if len(pdf) == 0:
@@ -217,13 +216,13 @@ def _block_topk(k: int):
 
 
 def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: str = "features",
-                   label: str = "label", k: int = DEFAULT_K, n_pivots: int | None = DEFAULT_PIVOTS,
+                   label: str = "label", k: int = DEFAULT_K, n_pivots: int | None = None,
                    block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = 42,
                    query_key: str | None = None) -> DataFrame:
     """Exact k nearest training rows of every query: (qkey, tkey, label, dist, rank)."""
     query_key = query_key or key
     if n_pivots is None:                 # about sqrt(n) cells of about sqrt(n) rows
-        n_pivots = int(min(MAX_PIVOTS, max(8, math.sqrt(max(1, train.count())))))
+        n_pivots = int(max(8, math.sqrt(max(1, train.count()))))
     pivots = choose_pivots(train, key, vec, n_pivots, seed)
     n_piv = pivots.shape[0]
     assigned = _assign_cells(train, key, vec, label, pivots).persist()

@@ -24,12 +24,17 @@ def huber_loss(df: DataFrame, y, yhat, delta: float = 1.0,
                                        F.count(F.lit(1)).alias("n"))
 
 
+def r2_columns(y, yhat) -> list:
+    """Aggregates r2 and n over the rows that have both values."""
+    e = y - yhat
+    truth = F.when(e.isNotNull(), y)
+    return [(1 - F.try_divide(F.sum(e * e), F.count(truth) * F.var_pop(truth))).alias("r2"), F.count(truth).alias("n")]
+
+
 def r2_score(df: DataFrame, y, yhat, group_cols: Sequence[str] = ()) -> DataFrame:
-    """1 - SSE/SST in one pass; SST = n · var_pop(y) (numerically stable merge)."""
-    e = _c(y) - _c(yhat)
-    return df.groupBy(*group_cols).agg(
-        (1 - F.sum(e * e) / (F.count(_c(y)) * F.var_pop(_c(y)))).alias("r2"),
-        F.count(F.lit(1)).alias("n"))
+    """1 - SSE/SST over the complete pairs in one pass; null for a constant
+    truth.  SST = n · var_pop(y) (numerically stable merge); n counts pairs."""
+    return df.groupBy(*group_cols).agg(*r2_columns(_c(y), _c(yhat)))
 
 
 def error_metrics(df: DataFrame, y, yhat, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@
   stopping on a validation slice carved from the training rows (never from
   the evaluation rows).  Replaces a small in-memory neural network.
 * Training curve: loss after each boosting iteration on train and
-  validation rows (``evaluateEachIteration``, distributed).
+  validation rows (mean Huber loss, one distributed aggregate).
 """
 
 from __future__ import annotations
@@ -28,26 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions.labels import N_CLASSES
-from limnos.operators.features import with_class_weights
+from limnos.operators.metrics import huber_term
 from limnos.operators.probabilities import align_probabilities
+from limnos.session import FIT_PARTITIONS, deal
 
 K = N_CLASSES
 
 
-def training_frame(df: DataFrame) -> DataFrame:
-    """Training rows spread over all cores and kept for the iterations.
-
-    Iterative fits read their input once per iteration; when the input has
-    fewer partitions than the cluster has cores (a few large files) it is
-    round-robin repartitioned first.  At scale the input already has many
-    partitions and no shuffle is added.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        df = df.repartition(n)
-    return df.persist()
-
-
 # ------------------------------------------------------------------ RBF classifier
 @dataclass
 class FourierMap:
@@ -100,17 +87,24 @@ class RbfClassifier:
 
 def fit_rbf_classifier(train: DataFrame, inputs: Sequence[str], label: str = "class_idx",
                        n_features: int = 64, gamma: float | None = None, reg: float = 1e-3,
-                       max_iter: int = 100, seed: int = 42) -> RbfClassifier:
-    """Balanced-weight multinomial logistic regression on Fourier features."""
+                       max_iter: int = 100, seed: int = 42, partitions: int = FIT_PARTITIONS) -> RbfClassifier:
+    """Balanced-weight multinomial logistic regression on Fourier features.
+
+    One pass deals and caches the input columns and counts the classes; the
+    counts (at most four) become literal weights."""
     fmap = FourierMap.make(inputs, n_features, gamma, seed)
-    labelled = with_class_weights(train.filter(F.col(label).isNotNull()), label, "_w")
-    present = sorted(r[0] for r in labelled.select(label).distinct().collect())   # <= 4 values
+    base = deal(train.filter(F.col(label).isNotNull()).select(*inputs, F.col(label).cast("double").alias("_y")),
+                "_y", *inputs, partitions=partitions).persist()
+    sizes = {int(r["_y"]): r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}   # <= 4 rows
+    present = sorted(sizes)
     if len(present) < 2:
+        base.unpersist()
         raise ValueError("fewer than 2 classes in the training rows")
+    total, weight = sum(sizes.values()), F.lit(None).cast("double")
+    for c in present:
+        weight = F.when(F.col("_y") == c, F.lit(total / (len(present) * sizes[c]))).otherwise(weight)
     tmp = RbfClassifier(fmap, None, present)  # type: ignore[arg-type]
-    # spread the (few) input columns first, then build the Fourier features on all cores
-    base = training_frame(labelled.select(*inputs, F.col(label).cast("double").alias("_y"), "_w"))
-    feats = tmp.features(base).persist()
+    feats = tmp.features(base.withColumn("_w", weight)).select("_rff", "_y", "_w").persist()
     lr = LogisticRegression(featuresCol="_rff", labelCol="_y", weightCol="_w", family="multinomial",
                             regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
     model = lr.fit(feats)
@@ -136,19 +130,26 @@ class ChlRegressor:
         return scored.withColumn(out, F.greatest(p, F.lit(0.0)) if clip else p).drop("_p")
 
     def curve(self, train: DataFrame, valid: DataFrame, target: str) -> list[tuple[int, float, float]]:
-        """(iteration, train MSE, validation MSE) on the model's own scale."""
+        """(iteration, train, validation): mean Huber loss on the model's own scale."""
         y = F.log1p(F.col(target)) if self.log_target else F.col(target)
-        tr = self._vec(train.withColumn("_y", y))
-        va = self._vec(valid.withColumn("_y", y))
-        a = self.model.evaluateEachIteration(tr, "squared")
-        b = self.model.evaluateEachIteration(va, "squared")
-        return [(i + 1, float(x), float(z)) for i, (x, z) in enumerate(zip(a, b))]
+        trees, weights = self.model.trees, self.model.treeWeights
+        both = (self._vec(train.select(*self.inputs, y.alias("_y"), F.lit(True).alias("_fit")))
+                .unionByName(self._vec(valid.select(*self.inputs, y.alias("_y"), F.lit(False).alias("_fit")))))
+        # one column for each tree, then one aggregate over all iterations
+        total, losses = F.lit(0.0), []
+        for i, (tree, w) in enumerate(zip(trees, weights)):
+            both = tree.setPredictionCol(f"_t{i}").transform(both)
+            total = total + F.lit(float(w)) * F.col(f"_t{i}")
+            loss = huber_term(F.col("_y"), total)
+            losses += [F.avg(F.when(F.col("_fit"), loss)).alias(f"a{i}"), F.avg(F.when(~F.col("_fit"), loss)).alias(f"b{i}")]
+        row = both.agg(*losses).first()
+        return [(i + 1, float(row[f"a{i}"]), float(row[f"b{i}"])) for i in range(len(trees))]
 
 
 def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols: Sequence[str],
                   log_target: bool = True, max_iter: int = 60, max_depth: int = 4,
                   step: float = 0.1, valid_fraction: float = 0.1, tol: float = 1e-4,
-                  seed: int = 42) -> tuple[ChlRegressor, DataFrame, DataFrame]:
+                  seed: int = 42, partitions: int = FIT_PARTITIONS) -> tuple[ChlRegressor, DataFrame, DataFrame]:
     """GBT with early stopping on a hash-chosen validation slice of ``train``.
 
     Returns the model and the (fit, validation) parts used.
@@ -157,7 +158,8 @@ def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols
     h = F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed + 7)), F.lit(10_000))
     marked = train.withColumn("_val", h < int(valid_fraction * 10_000))
     y = F.log1p(F.col(target)) if log_target else F.col(target)
-    data = training_frame(VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y)))
+    data = deal(VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y)),
+                *key_cols, partitions=partitions).select("_x", "_y", "_val").persist()
     gbt = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step, validationIndicatorCol="_val",
                        validationTol=tol, seed=seed, lossType="squared")

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.operators.metrics import r2_columns
+
 # Symbols of the five features in the printed equation.
 SYMBOLS = {"ph": "pH", "temp_c": "T", "cond_us_cm": "CO", "do_mg_l": "OD", "turb_ntu": "TU"}
 
@@ -81,5 +83,4 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float
 
 def r2_of(df: DataFrame, model: RidgeModel, target: str) -> DataFrame:
     """R² of the surrogate against the model output (one pass)."""
-    e = F.col(target) - model.predict()
-    return df.agg((1 - F.sum(e * e) / (F.count(F.col(target)) * F.var_pop(target))).alias("r2"))
+    return df.agg(r2_columns(F.col(target), model.predict())[0])

@@ -63,10 +63,16 @@ class LakeModels:
 
 
 def load_survey(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited survey -> canonical STRING columns + a row id taken at the
-    scan (stable for the same files, so recomputation gives the same ids)."""
-    raw = canonical_headers(read_delimited(spark, path))
-    return raw.withColumn("_row", F.monotonically_increasing_id())
+    """Delimited survey -> canonical STRING columns + a row id."""
+    return with_row_id(canonical_headers(read_delimited(spark, path)))
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """A row id from the row's content, a dataset tag included: the same on
+    any cluster.  Equal rows share one; their features, and with them their
+    neighbours and predictions, are equal too.  Give fused surveys theirs after
+    the fusion."""
+    return df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns) if c != "_row"]))
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def _model_probs(models_or_parts, df_s: DataFrame, k: int = 7) -> DataFrame:
     """RBF and kNN class distributions for scaled rows keyed by ``_row``."""
     rbf, knn_train = models_or_parts
     with_rbf = rbf.predict_proba(df_s, out="p_rbf")
-    votes = KNN.knn_classify(knn_train, _vectors(df_s), key="_row", vec="features",
+    votes = KNN.knn_classify(knn_train, _vectors(df_s).dropDuplicates(["_row"]), key="_row", vec="features",
                              label="class_idx", k=k, n_pivots=None)
     p_knn = KNN.probs_to_array(votes).select(F.col("qkey").alias("_row"), F.col("probs").alias("p_knn"))
     return with_rbf.join(p_knn, "_row", "left")
@@ -91,9 +97,9 @@ def _matrices(df: DataFrame, truth: str, prof: Profile) -> DataFrame:
 
 
 def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile = "single",
-               seed: int = 42) -> LakeModels:
+               seed: int = 42, with_curve: bool = False) -> LakeModels:
     """Path 1: clean -> split -> scale -> regressor + two classifiers ->
-    fuzzy matrices on the held-out fifth."""
+    fuzzy matrices on the held-out fifth; the training curve on request."""
     prof = PROFILES[profile] if isinstance(profile, str) else profile
     df = C.clean_lake(survey, prof.comma)
     rejected = 0
@@ -111,10 +117,9 @@ def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile =
         train_s = FT.drop_unlabeled(train_s)
     if prof.require_two_classes:
         FT.require_two_classes(train_s)
-    reg, fit_part, val_part = MD.fit_regressor(train_s, Z, TARGET, ["_row"], max_iter=20, max_depth=5,
-                                               seed=seed)
-    curve = reg.curve(fit_part, val_part, TARGET)
-    rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, max_iter=30, seed=seed)
+    reg, fit_part, val_part = MD.fit_regressor(train_s, Z, TARGET, ["_row"], max_depth=5, seed=seed)
+    curve = reg.curve(fit_part, val_part, TARGET) if with_curve else []
+    rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, seed=seed)
     knn_train = _vectors(FT.drop_unlabeled(train_s)).select("_row", "features", "class_idx")
     scored = reg.predict(_model_probs((rbf, knn_train), test_s), out="chl_nn", clip=False)
     matrices = _matrices(scored, TARGET, prof)

@@ -17,7 +17,7 @@ def f(v: float) -> str:
 def trapezoid(x: str, a, b, c, d) -> str:
     up = f"(({x}) - {f(a)}) / {f(b - a)}" if b > a else "1.0"
     down = f"({f(d)} - ({x})) / {f(d - c)}" if d > c else "1.0"
-    return (f"(CASE WHEN ({x}) IS NULL THEN 0.0 "
+    return (f"(CASE WHEN ({x}) IS NULL OR isnan(CAST(({x}) AS DOUBLE)) THEN 0.0 "
             f"WHEN ({x}) <= {f(a)} OR ({x}) >= {f(d)} THEN 0.0 "
             f"WHEN ({x}) >= {f(b)} AND ({x}) <= {f(c)} THEN 1.0 "
             f"WHEN ({x}) > {f(a)} AND ({x}) < {f(b)} THEN {up} "
@@ -26,13 +26,13 @@ def trapezoid(x: str, a, b, c, d) -> str:
 
 def right_shoulder(x: str, a, b) -> str:
     ramp = f"(({x}) - {f(a)}) / {f(b - a)}" if b > a else "1.0"
-    return (f"(CASE WHEN ({x}) IS NULL THEN 0.0 WHEN ({x}) <= {f(a)} THEN 0.0 "
+    return (f"(CASE WHEN ({x}) IS NULL OR isnan(CAST(({x}) AS DOUBLE)) THEN 0.0 WHEN ({x}) <= {f(a)} THEN 0.0 "
             f"WHEN ({x}) >= {f(b)} THEN 1.0 ELSE {ramp} END)")
 
 
 def left_shoulder(x: str, a, b) -> str:
     ramp = f"({f(b)} - ({x})) / {f(b - a)}" if b > a else "1.0"
-    return (f"(CASE WHEN ({x}) IS NULL THEN 0.0 WHEN ({x}) <= {f(a)} THEN 1.0 "
+    return (f"(CASE WHEN ({x}) IS NULL OR isnan(CAST(({x}) AS DOUBLE)) THEN 0.0 WHEN ({x}) <= {f(a)} THEN 1.0 "
             f"WHEN ({x}) >= {f(b)} THEN 0.0 ELSE {ramp} END)")
 
 

@@ -77,8 +77,8 @@ LAKE_NUMERIC = [
 
 def lake_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` rendered as a messy lake survey: raw headers, text cells."""
-    from limnos.session import spread
-    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    from limnos.session import deal
+    o = deal(table(spark, sf_dir, "orders"), "o_orderkey")
     junk = F.pmod(F.floor(F.col("o_orderkey") / N_VARIANTS).cast("long"), F.lit(len(JUNK_CELLS)))
     cols = [F.col("o_orderkey").cast("string").alias("ID"),
             F.col("o_orderpriority").alias("Sitio "),

@@ -22,7 +22,7 @@ def get_session(app: str = "limnos", cpus: str | int | None = None,
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
+         .config("spark.sql.shuffle.partitions", str(parts))  # local; a launcher sets its own
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -39,8 +39,10 @@ def get_session(app: str = "limnos", cpus: str | int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it); only when it is
-    unset (local tests) a private folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (the cluster names it).  Only a local
+    session may leave it unset, as in tests: a private folder is then created
+    and registered.  On a cluster a folder of one machine would lose what the
+    others write, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
@@ -49,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - connect mode
             d = None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="limnos-ckpt-")
     try:
         if not spark.sparkContext.getCheckpointDir():
@@ -72,12 +76,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, *keys):
-    """Hash-partition on unique row keys when the input has fewer partitions
-    than the cluster has cores (e.g. one large file with a single row group),
-    so row-parallel work uses every core.  Skew-free on unique keys; at scale
-    the input already has many partitions and nothing is added."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, *keys)
-    return df
+#: Partitions of the frames that models are fitted on.  Split candidates are
+#: drawn per partition, so a model depends on this number: it is a parameter,
+#: never the core count.  Raise it with the data.
+FIT_PARTITIONS = 32
+
+
+def deal(df, *keys, partitions: int = FIT_PARTITIONS):
+    """Rows dealt by key to a fixed number of partitions and sorted there: the
+    same rows in the same order on any cluster."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)

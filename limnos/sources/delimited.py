@@ -1,13 +1,16 @@
 """Tolerant delimited-file source (A1) and the prediction export sink (A2).
 
 Every cell is read as STRING (no ``inferSchema`` pass over the data); the
-locale parser turns cells into numbers afterwards.  Separator and charset
-are detected from the header line only: one line reaches the driver.
+locale parser turns cells into numbers afterwards.  The separator comes from
+the header line; the charset, unless it is given, from a pass over all lines.
+All files of a folder must have the same header in the same order: another one
+is an error, never cells under wrong names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Candidate separators, in order of preference on ties.
 SEPARATORS = [",", ";", "\t", "|"]
@@ -24,15 +27,15 @@ def count_outside_quotes(line: str, ch: str) -> int:
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(separator, charset) from the first line of the input.
+    """(separator, charset) of the input.
 
-    The text source decodes UTF-8 with replacement characters; their presence
-    means a single-byte charset (read as ISO-8859-1, which Spark accepts
-    where windows-1252 is refused).
+    A line that is no valid UTF-8 means a single-byte charset (read as
+    ISO-8859-1, which Spark accepts where windows-1252 is refused).
     """
-    rows = spark.read.text(path).limit(1).collect()
+    lines = spark.read.text(path)
+    rows = lines.limit(1).collect()
     line = rows[0][0] if rows else ""
-    charset = "ISO-8859-1" if "�" in line else "UTF-8"
+    charset = "ISO-8859-1" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "UTF-8"
     counts = [count_outside_quotes(line, s) for s in SEPARATORS]
     best = max(range(len(SEPARATORS)), key=lambda i: (counts[i], -i))
     sep = SEPARATORS[best] if counts[best] > 0 else ","
@@ -40,8 +43,10 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
-                   encoding: str | None = None) -> DataFrame:
-    """Header + all-STRING columns; separator/charset detected when not given."""
+                   encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Header + all-STRING columns; separator/charset detected when not given.
+    ``multi_line``: quoted cells may hold line breaks; a file is then read whole
+    by one task."""
     if sep is None or encoding is None:
         s, e = sniff(spark, path)
         sep = sep or s
@@ -49,6 +54,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
     return (spark.read.option("header", True).option("sep", sep)
             .option("encoding", encoding).option("quote", '"').option("escape", '"')
             .option("inferSchema", False).option("mode", "PERMISSIVE")
+            .option("enforceSchema", False).option("multiLine", multi_line)
             .csv(path))
 
 

@@ -17,17 +17,19 @@ LINE_FORMATS = {
     "ph_probe": rf"^T\[°C\]={_NUM} \| Vph\[mV\]={_NUM} \| pH={_NUM}$",
     "ph": rf"^pH - Voltaje: {_NUM} V \| pH: {_NUM}$",
     "do": rf"^Oxígeno Disuelto - Voltaje: {_NUM} mV \| DO: {_NUM} mg/L$",
+    "do_probe": rf"^Temperatura: {_NUM} °C\tVoltaje: {_NUM} mV\tOxígeno disuelto: {_NUM} mg/L$",
+    "error": r"^Error: (.*)$",
     "turbidity": rf"^(?:Turbidez - )?Voltaje: {_NUM} V \| NTU: {_NUM} (?:->|→) (.*)$",
     "temp": rf"^Temperatura: {_NUM} °C$",
     "ec": rf"^Raw analog: ([0-9]+) \| Voltage: {_NUM} mV \| Temp: {_NUM} °C(?: \| EC: (?:{_NUM} ms/cm|N/A.*))?$",
 }
 # field name -> (format, capture group)
 FIELDS = {
-    "temp_c": [("ph_probe", 1), ("temp", 1), ("ec", 3)],
-    "millivolts": [("ph_probe", 2), ("do", 1), ("ec", 2)],
+    "temp_c": [("ph_probe", 1), ("temp", 1), ("ec", 3), ("do_probe", 1)],
+    "millivolts": [("ph_probe", 2), ("do", 1), ("ec", 2), ("do_probe", 2)],
     "volts": [("ph", 1), ("turbidity", 1)],
     "ph": [("ph_probe", 3), ("ph", 2)],
-    "do_mg_l": [("do", 2)],
+    "do_mg_l": [("do", 2), ("do_probe", 3)],
     "ntu": [("turbidity", 2)],
     "ec_ms_cm": [("ec", 4)],
     "raw": [("ec", 1)],
@@ -55,8 +57,8 @@ def parse_sensor_lines(df: DataFrame, line: str = "value") -> DataFrame:
                  else e.when(F.col("kind") == fmt, val))
         fields[field] = e
     fields["raw"] = fields["raw"].cast("int")
-    fields["message"] = F.when(F.col("kind") == "turbidity",
-                               F.regexp_extract("line", LINE_FORMATS["turbidity"], 3))
+    fields["message"] = (F.when(F.col("kind") == "turbidity", F.regexp_extract("line", LINE_FORMATS["turbidity"], 3))
+                         .when(F.col("kind") == "error", F.regexp_extract("line", LINE_FORMATS["error"], 1)))
     return staged.select("kind", *[v.alias(k) for k, v in fields.items()], "line")
 
 

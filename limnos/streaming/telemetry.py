@@ -54,20 +54,21 @@ def calibrated_value(sensor: Column, raw: Column, temp_c: Column) -> Column:
 
 
 def downsample(df: DataFrame, every: str = "1 second", ts: str = "ts") -> DataFrame:
-    """At most one reading per device, sensor and ``every``: the first one."""
+    """At most one reading per device, sensor and ``every``: the first one, of
+    simultaneous ones the lowest."""
     g = df.groupBy(F.window(ts, every).alias("w"), "device", "sensor")
-    return g.agg(F.min_by("raw", F.col(ts)).alias("raw"), F.min(ts).alias("first_ts")) \
+    return g.agg(F.min_by("raw", F.struct(ts, "raw")).alias("raw"), F.min(ts).alias("first_ts")) \
         .select(F.col("w.start").alias("window_start"), "device", "sensor", "raw", "first_ts")
 
 
 def burst_average(df: DataFrame, every: str = "10 seconds", ts: str = "ts") -> DataFrame:
     """Mean raw count per burst window, then the averaged-burst conversion
-    (5000/1023 mV) and the pH calibration of that voltage."""
+    (5000/1023 mV) and, for the pH probe, the pH of that voltage."""
     g = df.groupBy(F.window(ts, every).alias("w"), "device", "sensor")
     agg = g.agg(F.count(F.lit(1)).alias("n"), F.avg("raw").alias("raw_avg"))
     mv = cal.adc_avg_to_millivolts(F.col("raw_avg"))
     return agg.select(F.col("w.start").alias("window_start"), "device", "sensor", "n", "raw_avg",
-                      mv.alias("millivolts"), cal.calibrate_ph(mv / 1000.0).alias("ph"))
+                      mv.alias("millivolts"), F.when(F.col("sensor") == "ph", cal.calibrate_ph(mv / 1000.0)).alias("ph"))
 
 
 def assemble_ticks(df: DataFrame, every: str = "1 second", ts: str = "ts",
