@@ -72,7 +72,7 @@ def do_table_index(temp_c) -> Column:
 def calibrate_do(millivolts, temp_c) -> Column:
     """(mV / 1245) * saturation[clamp(int(T), 0, 40)] in mg/L."""
     table = F.array(*[F.lit(v) for v in DO_SATURATION])
-    return (_c(millivolts) / F.lit(DO_CAL_MV)) * F.element_at(table, do_table_index(temp_c) + 1)
+    return (_c(millivolts) / F.lit(DO_CAL_MV)) * F.get(table, do_table_index(temp_c))
 
 
 def calibrate_turbidity(volts) -> Column:
@@ -97,8 +97,7 @@ def turbidity_class_index(volts) -> Column:
 
 def turbidity_class(volts, messages=TURBIDITY_CLASSES) -> Column:
     """Message of a voltage's class; null without a voltage."""
-    return F.element_at(F.array(*[F.lit(s) for s in messages]),
-                        turbidity_class_index(volts) + 1)
+    return F.get(F.array(*[F.lit(s) for s in messages]), turbidity_class_index(volts))
 
 
 def ec_temperature_ok(temp_c) -> Column:
