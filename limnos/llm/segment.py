@@ -36,7 +36,7 @@ SPACE = 0x2581
 SAMPLES = 2
 #: Flattens the distribution of pieces (0: all segmentations alike).
 ALPHA = 0.5
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _U = np.uint64
 
