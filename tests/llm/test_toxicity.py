@@ -28,16 +28,23 @@ def test_kernel_matches_brute_force(word, mark):
 
 
 def test_inserted_characters_and_endings_still_resemble():
-    like = T.Likeness([b"idiot", b"clown"]).of([b"idiot", b"idi*ot", b"idioten", b"bread", b"window", b"x" * 60 + b"clown" + b"y" * 60])
+    like = T.Likeness([b"idiot", b"clown"]).of([b"idiot", b"idi*ot", b"idioten", b"bread", b"window"])
     assert like[0, 0] == pytest.approx(1) and like[1, 0] > 0.4 and like[2, 0] > 0.5 and not like[3].any() and like[4, 1] < 0.3
-    assert like[5, 1] > 0.2  # long words are read in pieces
+
+
+def test_long_words_are_read_in_pieces():
+    marks = T.Likeness([b"clown"])
+    word = b"abdefghijk" + b"clown" + b"mpqrstuvxyzabdefghijkm"
+    pieces = [word[a: a + T.PIECE] for a in range(0, len(word), T.PIECE // 2)]
+    assert marks.of([word])[0, 0] == pytest.approx(marks.of(pieces).max()) and marks.of([word])[0, 0] > 0
 
 
 def test_whole_words_and_sentences():
     import pyarrow as pa
     data, starts, ends, first, row, sentence = T.split(pa.array(["Hello, you! (Clown.) ok", None, "a.b c"]))
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"hello", b"you", b"clown", b"ok", b"a.b", b"c"]
-    assert first.tolist() == [0, 4, 4, 6] and len(set(sentence.tolist())) == 4
+    # a stop ends a sentence where white space follows it
+    assert first.tolist() == [0, 4, 4, 6] and len(set(sentence.tolist())) == 3
 
 
 def corpus_of(n, seed):
