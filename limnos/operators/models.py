@@ -132,18 +132,19 @@ class ChlRegressor:
     def curve(self, train: DataFrame, valid: DataFrame, target: str) -> list[tuple[int, float, float]]:
         """(iteration, train, validation): mean Huber loss on the model's own scale."""
         y = F.log1p(F.col(target)) if self.log_target else F.col(target)
-        trees, weights = self.model.trees, self.model.treeWeights
         both = (self._vec(train.select(*self.inputs, y.alias("_y"), F.lit(True).alias("_fit")))
                 .unionByName(self._vec(valid.select(*self.inputs, y.alias("_y"), F.lit(False).alias("_fit")))))
-        # one column for each tree, then one aggregate over all iterations
-        total, losses = F.lit(0.0), []
-        for i, (tree, w) in enumerate(zip(trees, weights)):
+        trees = list(zip(self.model.trees, self.model.treeWeights))
+        for i, (tree, _) in enumerate(trees):
             both = tree.setPredictionCol(f"_t{i}").transform(both)
-            total = total + F.lit(float(w)) * F.col(f"_t{i}")
-            loss = huber_term(F.col("_y"), total)
-            losses += [F.avg(F.when(F.col("_fit"), loss)).alias(f"a{i}"), F.avg(F.when(~F.col("_fit"), loss)).alias(f"b{i}")]
-        row = both.agg(*losses).first()
-        return [(i + 1, float(row[f"a{i}"]), float(row[f"b{i}"])) for i in range(len(trees))]
+        steps = F.array(*[F.col(f"_t{i}") * F.lit(float(w)) for i, (_, w) in enumerate(trees)])
+        # the sum of the first trees is the prediction after that iteration
+        sums = F.aggregate("_steps", F.array().cast("array<double>"),
+                           lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
+        each = (both.select("_y", "_fit", steps.alias("_steps")).select("_y", "_fit", F.posexplode(sums).alias("_i", "_p"))
+                .groupBy("_i", "_fit").agg(F.avg(huber_term("_y", "_p")).alias("loss")))
+        loss = {(r["_i"], r["_fit"]): r["loss"] for r in each.collect()}   # two rows an iteration
+        return [(i + 1, loss[(i, True)], loss.get((i, False))) for i in range(len(trees))]
 
 
 def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols: Sequence[str],

@@ -79,7 +79,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 #: Partitions of the frames that models are fitted on.  Split candidates are
 #: drawn per partition, so a model depends on this number: it is a parameter,
 #: never the core count.  Raise it with the data.
-FIT_PARTITIONS = 32
+FIT_PARTITIONS = 8
 
 
 def deal(df, *keys, partitions: int = FIT_PARTITIONS):
