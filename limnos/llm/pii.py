@@ -1,13 +1,17 @@
 """Personal data: patterns, and terms that disclose a protected entity.
 
 Patterns find e-mail addresses, IP addresses, card and telephone numbers in
-whole texts.  Each such value is a protected entity; the words around its
-places are what may give it away.  Over the whole corpus Spark counts, for
-entity and term, the distinct contexts they share (copies of a passage are one
-context) and each term's document frequency.  A term discloses an entity when
-the pointwise mutual information reaches a share of the entity's information
-content: knowing the term then tells (nearly) as much as the entity itself.
-Such terms near the entity are generalised, or removed when they tell all.
+whole texts.  Each such value is a protected entity; the words of the documents
+that hold it are what may give it away.  Over the whole corpus Spark counts, for
+entity and term, the documents they share, in how many distinct contexts
+(copies of the passages about the entity are one context), and each term's
+document frequency.  A term discloses an entity when the pointwise mutual
+information reaches a share of the entity's information content: knowing the
+term then tells (nearly) as much as the entity itself.  Such terms are
+generalised, or removed when they tell all, wherever they stand in the corpus.
+
+A term that stands in too many documents to reach that share of any entity's
+content is left out before terms meet entities, which changes no verdict.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from pyspark.sql import functions as F
 
 from limnos.llm import bloom
 from limnos.llm import ragged as R
-from limnos.llm.common import by_batch, by_partition, land, row_of, same
+from limnos.llm.common import by_batch, by_partition, land, row_of, same, small
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Characters on either side of an entity that make its context.
+#: Characters on either side of an entity that make its context; contexts only
+#: tell copies of a passage from independent places.
 REACH = 80
-#: Distinct contexts that an entity and a term share at least.
-SUPPORT = 3
+#: Distinct contexts of an entity in the documents that it shares with a term,
+#: at least: every word of a single one would tell.
+SUPPORT = 2
 #: Share of the entity's information that a term may not reach; removal.
 DISCLOSED, REMOVED = 0.8, 0.98
 
@@ -90,6 +96,24 @@ def hashed(strings: list[str]) -> np.ndarray:
     return R.span_hash(R.prefix(R.LOWER[data]), off[:-1], off[1:]).view(np.int64)
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[97:123] = True
+_LETTERS[128:] = True
+
+
+def term_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of whole texts, words of three letters at least: hash, row, start
+    and stop in code points, in order."""
+    data, off = R.buffers(texts)
+    data = R.LOWER[data]
+    starts, ends, first = R.spans(_LETTERS[data], off)
+    points = R.code_points(data)
+    long = points[ends] - points[starts] >= 3
+    starts, ends, row = starts[long], ends[long], R.owner(first)[long]
+    base = points[off[row]]
+    return R.span_hash(R.prefix(data), starts, ends).view(np.int64), row, points[starts] - base, points[ends] - base
+
+
 def contexts(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """For each entity its value and the terms about it: words of letters, not
     inside any entity and not cut by the reach."""
@@ -110,47 +134,48 @@ def contexts(text: str, found: list[tuple[int, int, int]]) -> list[tuple[str, li
 
 _FOUND = ("doc_id {kind}, content long, n_email long, n_ip long, n_card long, n_phone long, "
           "base array<struct<start: int, rank: int, kind: string, stop: int>>, "
-          "near array<struct<entity: long, context: long, terms: array<struct<term: long, start: int, stop: int>>>>")
+          "near array<struct<entity: long, context: long>>, terms array<long>")
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """Base spans and contexts of each row (doc_id, content, text)."""
+    """Base spans, contexts, and the distinct terms outside entities (of rows
+    that hold any) of each row (doc_id, content, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("stop", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(
-        pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])))]))
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
 
     def run(b):
         for x, y in R.slices(b.column(2)):
             counts = np.zeros((4, y - x), np.int64)
-            base, near = [], []
+            base, near, own_terms = [], [], []
             for k, text in enumerate(b.column(2).slice(x, y - x).to_pylist()):
                 found = entities(text) if text else []
                 for _, which, _ in found:
                     counts[which, k] += 1
                 base.append([{"start": s, "rank": w, "kind": KINDS[w], "stop": e} for s, w, e in found])
-                about = []
+                about, held = [], np.zeros(0, np.int64)
                 if found:
+                    h, _, start, stop = term_places(pa.array([text], pa.string()))
+                    free = np.ones(len(h), bool)
+                    for s, _, e in found:
+                        free[np.searchsorted(stop, s, "right"): np.searchsorted(start, e, "left")] = False
+                    held = np.unique(h[free])
                     ctx = contexts(text, found)
                     terms = hashed([t for _, ts in ctx for t, _, _ in ts]).tolist()
                     names = hashed([v for v, _ in ctx]).tolist()
                     at = 0
                     for name, (_, ts) in zip(names, ctx):
-                        own = terms[at: at + len(ts)]
+                        about.append({"entity": name, "context": hash((name, *terms[at: at + len(ts)]))})
                         at += len(ts)
-                        about.append({"entity": name, "context": hash((name, *own)),
-                                      "terms": [{"term": h, "start": s, "stop": e} for h, (_, s, e) in zip(own, ts)]})
                 near.append(about)
+                own_terms.append(held)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(x, y - x), b.column(1).slice(x, y - x), *[pa.array(c) for c in counts],
-                 pa.array(base, base_type), pa.array(near, near_type)],
-                ["doc_id", "content", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+                 pa.array(base, base_type), pa.array(near, near_type), pa.array(own_terms, pa.list_(pa.int64()))],
+                ["doc_id", "content", "n_email", "n_ip", "n_card", "n_phone", "base", "near", "terms"])
     return by_batch(docs.select("doc_id", "content", "text"), run, _FOUND.format(kind=kind))
 
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[97:123] = True
-_LETTERS[128:] = True
 #: Distinct terms that a worker sums before it hands them on.
 HELD = 2_000_000
 
@@ -173,16 +198,10 @@ def term_documents(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["term", "n"])
         for b in batches:
             for x, y in R.slices(b.column(0)):
-                data, off = R.buffers(b.column(0).slice(x, y - x))
-                data = R.LOWER[data]
-                starts, ends, first = R.spans(_LETTERS[data], off)
-                # three characters at least
-                points = R.code_points(data)
-                long = points[ends] - points[starts] >= 3
-                h = R.span_hash(R.prefix(data), starts[long], ends[long])
-                key = R.keyed(h, R.owner(first)[long])
+                h, row, _, _ = term_places(b.column(0).slice(x, y - x))
+                key = R.keyed(h.view(np.uint64), row)
                 _, at = np.unique(key, return_index=True)
-                pending.append(h[at].view(np.int64))
+                pending.append(h[at])
                 size += len(at)
                 if size > HELD // 4:
                     fold()
@@ -198,25 +217,66 @@ def term_documents(texts: DataFrame) -> DataFrame:
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """(entity, term, share): terms that tell at least ``disclosed`` of an
     entity's information content, from counts over all documents."""
-    documents = texts.count()
+    documents = F.lit(float(texts.count()))
     near = found.select("doc_id", "content", F.explode("near").alias("n")).select("doc_id", "content", "n.*")
-    per_entity = near.groupBy("entity").agg(F.countDistinct("doc_id", "content").alias("n_entity"), F.countDistinct("context").alias("contexts"))
-    pairs = near.select("entity", "context", F.explode("terms.term").alias("term")).distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("shared")).where(F.col("shared") >= support)
-    both = land(near.select("doc_id", "content", "entity", F.explode("terms.term").alias("term")).distinct()
-                .groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-                .join(together, ["entity", "term"]).join(per_entity, "entity"), "pii-pairs")
-    frequency = term_documents(texts.select("text"))
-    content = F.log2(F.lit(float(documents)) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.lit(float(documents)) / (F.col("n_entity") * F.greatest("documents", "n_both")))
-    return (both.join(frequency, "term").withColumn("share", F.round(F.when(content > 0, shared / content).otherwise(0.0), 6))
+    # an entity's documents, equal texts in one row
+    holds = land(near.groupBy("doc_id", "content", "entity").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("context"))
+                 .groupBy("content", "entity").agg(F.count("*").alias("weight"), F.min("context").alias("context")), "pii-holds")
+    per_entity = land(holds.groupBy("entity").agg(F.sum("weight").alias("n_entity")), "pii-entities")
+    most = per_entity.agg(F.max("n_entity")).first()[0] or 1
+    # a term's information content is at least its share of the entity's
+
+    def rare(n_entity):
+        return F.log2(documents / F.col("documents")) >= disclosed * F.log2(documents / n_entity) - 1e-4
+    frequency = land(term_documents(texts.select("text")).where((F.col("documents") >= support) & rare(F.lit(float(most)))), "pii-frequency")
+    terms = land(found.select("content", F.explode("terms").alias("term")).distinct().join(frequency, "term"), "pii-rare")
+    pairs = terms.join(holds.join(small(per_entity), "entity"), "content").where(rare(F.col("n_entity")))
+    both = (pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("shared"), F.sum("weight").alias("n_both"),
+                                                F.max("documents").alias("documents"), F.max("n_entity").alias("n_entity"))
+            .where(F.col("shared") >= support))
+    content = F.log2(documents / F.col("n_entity"))
+    shared = F.log2(F.col("n_both") * documents / (F.col("n_entity") * F.greatest("documents", "n_both")))
+    return (both.withColumn("share", F.round(F.when(content > 0, shared / content).otherwise(0.0), 6))
             .where(F.col("share") >= disclosed).select("entity", "term", "share"))
 
 
+def term_spots(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, content, start, stop, share of each place of the landed ``terms``
+    (term, share) in any row (doc_id, content, text).  Workers hold a Bloom
+    filter of at most 2^20 words; what it lets through meets the terms in a join."""
+    word = F.shiftrightunsigned("term", 40).bitwiseAND(F.lit(bloom.FILTER_WORDS - 1))
+    bits = F.lit(0).cast("long")
+    for k in range(4):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("term", 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+    table = bloom.build(terms.select(word.alias("word"), bits.alias("bits"))).toArrow()
+    words = np.zeros(bloom.FILTER_WORDS, np.int64)
+    words[table.column("word").to_numpy()] = table.column("filter").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(words)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(b):
+        for x, y in R.slices(b.column(2)):
+            h, row, start, stop = term_places(b.column(2).slice(x, y - x))
+            u = h.view(np.uint64)
+            need = np.zeros(len(h), np.uint64)
+            for k in range(4):
+                need |= np.uint64(1) << ((u >> np.uint64(6 * k)) & np.uint64(63))
+            have = held.value[((u >> np.uint64(40)) & np.uint64(len(held.value) - 1)).astype(np.int64)].view(np.uint64)
+            hit = np.flatnonzero((have & need) == need)
+            at = pa.array(x + row[hit])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(h[hit]), pa.array(start[hit].astype(np.int32)), pa.array(stop[hit].astype(np.int32))],
+                ["doc_id", "content", "term", "start", "stop"])
+    spots = by_batch(rows.select("doc_id", "content", "text"), run, f"doc_id {kind}, content long, term long, start int, stop int")
+    return spots.join(small(terms), "term").select("doc_id", "content", "start", "stop", "share")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
     """One row for each row of ``docs``: doc_id, content (hash of the text),
     n_email, n_ip, n_card, n_phone, base and terms (arrays of spans in code
     points, end exclusive; a term's ``share`` tells how much it discloses).
+    Telling terms are reported wherever they stand outside entities, also in
+    rows without any.
 
     A null or empty text has no spans.  Rows repeated in full (id and text) count
     once in the statistics and have the same spans; a null id is an id like any other.  An empty
@@ -224,15 +284,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = land(find_entities(rows), "pii-found")
-    telling = land(disclosing_terms(found, rows, support, disclosed), "pii-terms")
-    places = found.select("doc_id", "content", F.explode("near").alias("n")).select(
-        "doc_id", "content", F.col("n.entity").alias("entity"), F.explode("n.terms").alias("t"))
-    told = places.select("doc_id", "content", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.stop").alias("stop"))
-    told = (told.join(telling, ["entity", "term"]).groupBy("doc_id", "content", "start", "stop").agg(F.max("share").alias("share"))
+    telling = land(disclosing_terms(found, rows, support, disclosed).groupBy("term").agg(F.max("share").alias("share")), "pii-terms")
+    told = (term_spots(rows, telling).groupBy("doc_id", "content", "start", "stop").agg(F.max("share").alias("share"))
             .groupBy("doc_id", "content").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms")))
     told = told.select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), "terms")
-    main = found.drop("near")
-    return main.join(told, main["doc_id"].eqNullSafe(told["__id"]) & (main["content"] == told["__content"]), "left").drop("__id", "__content")
+    main = found.drop("near", "terms")
+    out = main.join(told, main["doc_id"].eqNullSafe(told["__id"]) & (main["content"] == told["__content"]), "left").drop("__id", "__content")
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return out.withColumn("terms", F.when(F.size(free) > 0, free))
 
 
 def span_strings(spans: DataFrame) -> DataFrame:

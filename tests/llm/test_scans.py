@@ -160,6 +160,25 @@ def test_telling_terms_are_found_and_masked(spark):
     assert all(out[i] == text[i] for i in range(200)) and out[400] == "north Qwertyuiop [EMAIL] south"
 
 
+def test_telling_terms_are_masked_far_away_and_everywhere(spark):
+    rng = random.Random(8)
+    filler = ["river", "stone", "garden", "morning", "silver", "quiet", "small", "light", "under", "water"]
+
+    def prose(n):
+        return " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(k, prose(30)) for k in range(200)]
+    # two documents name the address, some 300 characters after the name; one has the name alone
+    rows += [(300 + k, f"{prose(5)} Zanzibarian {prose(50)} bob@mail.example {prose(6)}") for k in range(2)] + [(310, f"{prose(9)} zanzibarian {prose(3)}")]
+    docs = corpus.edge(spark, rows)
+    spans = {r.doc_id: r.terms for r in P.scan(docs).collect()}
+    text = dict(rows)
+    for k in (300, 301, 310):
+        assert [text[k][t.start:t.stop].lower() for t in spans[k]] == ["zanzibarian"]
+    assert not any(spans[k] for k in range(200))
+    out = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+    assert all("anzibarian" not in out[k] for k in (300, 301, 310)) and "bob@" not in out[300] and all(out[k] == text[k] for k in range(200))
+
+
 def test_masking_leaves_the_rest(spark):
     out = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in P.sanitise(corpus.edge(spark)).collect()), key=str)
     assert out == sorted(((i is None, i or 0, t) for i, t in corpus.ROWS), key=str)
