@@ -11,7 +11,9 @@ Noise has uniform p-values and text has p-values near zero, so in each stratum
 of encoding and length the upper half of the p-values tells how many tokens are
 noise, and a cut is taken at which the expected share of text among the tokens
 above it stays below ``fdr``.  Short tokens, where the tests are weak, thereby
-meet a stricter cut.  The strata are a few dozen whatever the corpus.
+meet a stricter cut.  A token counts once however often it stands in the corpus,
+and a stratum with few tokens takes its cut from the lengths about it.  The
+strata are a few dozen whatever the corpus.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ ENCODINGS = (
 #: Share of text among the reported tokens, and the cuts on offer.
 FDR = 0.05
 CUTS = (0.001, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
+#: Distinct tokens that a stratum's cut rests on; with fewer, neighbouring
+#: lengths of the encoding join in.
+FEW = 50
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -111,22 +116,32 @@ def _tested(found: Column) -> Column:
     body = F.transform(found, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), F.rtrim(t["hit"], F.lit("=")).alias("body")))
     named = F.filter(F.transform(body, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["body"].alias("body"), encoding(t["body"]).alias("enc"))),
                      lambda t: t["enc"].isNotNull())
-    coded = F.transform(named, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["enc"].alias("enc"), codes(t["body"], t["enc"]).alias("code")))
+    coded = F.transform(named, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["enc"].alias("enc"), F.xxhash64(t["body"]).alias("token"), codes(t["body"], t["enc"]).alias("code")))
     sizes = F.array(*[F.lit(float(len(a))) for _, a, _ in ENCODINGS])
     return F.transform(coded, lambda t: F.struct(
         t["start"].alias("start"), t["stop"].alias("stop"),
-        (t["enc"] * 1000 + F.floor(2 * F.log2(F.size(t["code"]).cast("double")))).cast("int").alias("stratum"),
+        t["token"].alias("token"), (t["enc"] * 1000 + F.floor(2 * F.log2(F.size(t["code"]).cast("double")))).cast("int").alias("stratum"),
         battery(t["code"], F.get(sizes, t["enc"])).alias("p")))
 
 
 def cuts(tokens: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Stratum -> least p-value reported, over a table (stratum, p); strata
-    whose tokens are mostly text at every cut are left out."""
+    """Stratum -> least p-value reported, over a table (stratum, token, p) in
+    which a repeated token counts once; strata whose tokens are mostly text at
+    every cut are left out."""
+    once = tokens.groupBy("stratum", "token").agg(F.max("p").alias("p"))
     above = [F.sum((F.col("p") > c).cast("long")).alias(f"c{k}") for k, c in enumerate(CUTS)]
-    noise = 2 * F.col(f"c{len(CUTS) - 1}")
-    allowed = [F.when((F.col(f"c{k}") > 0) & (1 - noise * (1 - c) / F.col(f"c{k}") <= fdr), F.lit(c)) for k, c in enumerate(CUTS)]
-    chosen = tokens.groupBy("stratum").agg(*above).select("stratum", F.coalesce(*allowed).alias("cut")).where("cut IS NOT NULL")
-    return {r["stratum"]: r["cut"] for r in chosen.collect()}
+    found = {r[0]: r[1:] for r in once.groupBy("stratum").agg(F.count("*").alias("n"), *above).collect()}
+    out = {}
+    for stratum in found:
+        away = {t: abs(t - stratum) for t in found if t // 1000 == stratum // 1000}
+        for reach in sorted(set(away.values())):
+            n, *over = [sum(x) for x in zip(*[found[t] for t, d in away.items() if d <= reach])]
+            if n >= FEW:
+                break
+        cut = next((c for c, k in zip(CUTS, over) if k and 1 - 2 * over[-1] * (1 - c) / k <= fdr), None)
+        if cut is not None:
+            out[stratum] = cut
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -150,7 +165,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     base = F.array_sort(F.concat(*[ranked(k) for k in range(len(KINDS))]))
     found = found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"), _tested(F.col("token")).alias("token"))
     found = land(found, "secret-spans")
-    chosen = cuts(found.select(F.explode("token").alias("t")).select("t.stratum", "t.p"), fdr)
+    chosen = cuts(found.select(F.explode("token").alias("t")).select("t.stratum", "t.token", "t.p"), fdr)
     cut = F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]) if chosen else F.lit(None).cast("map<int,double>")
     free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
                     & F.coalesce(t["p"] > F.try_element_at(cut, t["stratum"]), F.lit(False)))

@@ -92,6 +92,19 @@ def test_random_tokens_are_told_from_words(spark):
     assert "random:3:48" in {got[i] for i in hit & noise}
 
 
+def test_cuts_count_a_token_once_and_pool_lengths(spark):
+    def cuts(rows):
+        return S.cuts(spark.createDataFrame(rows, "stratum int, token long, p double"))
+    noise = [(3010, k, (k + 0.5) / 100) for k in range(100)]
+    alone = cuts(noise)
+    assert alone == {3010: S.CUTS[0]}
+    assert cuts(noise + [(3010, 1000, 0.31)] * 1000) == alone
+    text = [(3010, 2000 + k, 0.0015) for k in range(900)]
+    assert cuts(noise + text + [(3010, 1000, 0.9)] * 1000) == cuts(noise + text + [(3010, 1000, 0.9)])
+    # a lone token goes by its neighbours' cut, one of another encoding doesn't
+    assert cuts(noise + [(3011, 1001, 0.2), (1011, 1002, 0.2)]) == {3010: S.CUTS[0], 3011: S.CUTS[0]}
+
+
 def test_p_values_of_noise_are_uniform_and_of_patterns_small(spark):
     rng = random.Random(5)
     rows = [("".join(rng.choice("0123456789abcdef") for _ in range(40)),) for _ in range(400)]
