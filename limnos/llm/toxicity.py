@@ -14,8 +14,9 @@ trained on sentences: all of a clean document's are clean, a toxic document
 has at least one toxic sentence, re-chosen between fits.  A document scores as
 its most toxic sentence, through a logistic link fitted to the same sample.
 
-The sample is bounded (``TRAIN_PER_LABEL`` documents of each label, smallest
-hash first); scoring reads every text whole.
+The sample is bounded (``TRAIN_PER_LABEL`` distinct texts of each label,
+smallest hash first); scoring reads every text whole.  Three or more one-letter
+words in a row are read as one word.
 """
 
 from __future__ import annotations
@@ -129,9 +130,27 @@ class Likeness:
 
 def split(texts: pa.Array):
     """Words of a slice: bytes, starts, ends, rows' first word, sentence of
-    each word (numbered over the slice), first sentence of each row."""
+    each word (numbered over the slice), first sentence of each row.  Letters
+    that stand apart, three at least, are closed up to one word."""
     data, off = R.buffers(texts)
     data = R.LOWER[data]
+    out = _words(data, off)
+    _, starts, ends, _, _, sentence = out
+    single = (ends - starts == 1) & (data[starts] >= 97) & (data[starts] <= 122)
+    link = single[:-1] & single[1:] & (sentence[:-1] == sentence[1:])
+    wide = np.concatenate([[False], link, [False]])
+    link &= wide[:-2] | wide[2:] if len(link) else link
+    at = np.flatnonzero(link)
+    if not len(at):
+        return out
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[ends[at]] += 1
+    edge[starts[at + 1]] -= 1
+    gap = np.cumsum(edge)[:-1] > 0
+    return _words(data[~gap], off - np.concatenate([[0], np.cumsum(gap)])[off])
+
+
+def _words(data: np.ndarray, off: np.ndarray):
     starts, ends, first = R.spans(~R.WHITE[data], off)
     for _ in range(3):  # punctuation about a word
         ends = ends - (_EDGE[data[ends - 1]] & (ends - starts > 1))
@@ -197,13 +216,17 @@ class Reader:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> DataFrame:
-    """doc_id, text, toxic of the training documents; labelled rows whose
-    crc32(doc_id) mod 5 is 0 are held out."""
+    """doc_id, text, toxic of the training documents, one for each distinct text
+    (toxic if any of its rows is); labelled rows whose crc32(doc_id) mod 5 is 0
+    are held out."""
     known = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0))
-    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    chosen = F.broadcast(land(parts[0].unionByName(parts[1]), "toxic-sample"))
-    return land(docs.join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxic-train")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
+    distinct = land(texts.select("doc_id", "content").join(known, "doc_id").groupBy("content")
+                    .agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id")).alias("first")), "toxic-texts")
+    parts = [distinct.where(F.col("toxic") == k).orderBy("first", "content").limit(per_label) for k in (0, 1)]
+    chosen = F.broadcast(land(parts[0].unionByName(parts[1]).select("content", "toxic", F.col("first.doc_id").alias("doc_id")), "toxic-sample"))
+    return land(texts.join(chosen, ["doc_id", "content"]).dropDuplicates(["doc_id", "content"]).select("doc_id", "text", "toxic"), "toxic-train")
 
 
 def landmarks(train: DataFrame, count: int = LANDMARKS, support: int = 4, evidence: float = 10.0) -> list[bytes]:
@@ -245,10 +268,10 @@ def landmarks(train: DataFrame, count: int = LANDMARKS, support: int = 4, eviden
                 hit = {(t, (word[k - 1] if k else b"") + b" " + (word[k + 1] if k + 1 < len(word) else b""))
                        for k, w in enumerate(word) for t in {w[:4], w[:5], w[:6], w[:PIECE]} if t in wanted}
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in hit], pa.binary()), pa.array([c for _, c in hit], pa.binary())], ["term", "place"])
-    # copies of one text tell a thing once
+    # a passage that several texts share tells a thing once
     apart = {bytes(r["term"]): r["n"] for r in by_partition(train.where("toxic = 1").select("text"), places, "term binary, place binary")
              .groupBy("term").agg(F.countDistinct("place").alias("n")).collect()}
-    top = [r for r in top if apart.get(bytes(r["term"]), 0) >= max(support, r["t"] / 2)]
+    top = [r for r in top if apart.get(bytes(r["term"]), 0) >= support]
     out: list[bytes] = []
     for r in top:
         term = bytes(r["term"])

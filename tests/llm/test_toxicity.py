@@ -62,6 +62,26 @@ def corpus_of(n, seed):
     return rows, labels
 
 
+def test_letters_that_stand_apart_are_one_word():
+    import pyarrow as pa
+    data, starts, ends, first, _, _ = T.split(pa.array(["You i d i o t. A b", "i a", "x y, z now"]))
+    assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"you", b"idiot", b"a", b"b", b"i", b"a", b"xyz", b"now"]
+    assert first.tolist() == [0, 4, 6, 8]
+
+
+def test_copies_hide_no_landmark(spark):
+    rng = random.Random(11)
+    words = ["river", "stone", "garden", "morning", "silver", "quiet", "small", "light", "under", "water"]
+
+    def prose(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, prose(20)) for k in range(150)] + [(200 + k, f"{prose(9)} grumblex {prose(9)}") for k in range(40)]
+    rows += [(1000 + k, f"{words[0]} grumblex {words[1]}") for k in range(300)]
+    chosen = T.sample(corpus.edge(spark, rows).select("doc_id", "text"), spark.createDataFrame([(i, int(i >= 200)) for i, _ in rows], "doc_id long, toxic int"))
+    assert chosen.count() == chosen.select("text").distinct().count()
+    assert T.landmarks(chosen) == [b"grumblex"]
+
+
 def test_held_out_accuracy(spark):
     rows, labels = corpus_of(600, 8)
     docs = corpus.edge(spark, rows)
