@@ -11,6 +11,7 @@ from limnos.llm.exact_dedup import mark_copies
 from limnos.llm.near_dedup import near_components
 from limnos.llm import license_scan, pii, secret_scan, segment, toxicity
 from limnos.llm.packing import pack
+from limnos.llm.periodic_runs import find_runs, with_planted_runs
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
 
@@ -64,6 +65,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(documents(spark, sf_dir)))
+    best = F.expr("""aggregate(runs, cast(null as struct<start:bigint, length:bigint, period:bigint>),
+                     (b, r) -> if(b is null or r.length > b.length, r, b))""")  # runs are in order of start and period
+    found = found.withColumn("best", best)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +89,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_segmentations": op9_segmentations,
     "op10_token_counts": op10_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
