@@ -12,6 +12,7 @@ from limnos.llm.near_dedup import near_components
 from limnos.llm import license_scan, pii, secret_scan, segment, toxicity
 from limnos.llm.packing import pack
 from limnos.llm.periodic_runs import find_runs, with_planted_runs
+from limnos.llm.prefix_trie import digest_turns, rebuilt, trie
 from limnos.llm.quality import judge
 from limnos.llm.token_count import count_tokens
 
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(*rebuilt(digest_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_runs(with_planted_runs(documents(spark, sf_dir)))
     best = F.expr("""aggregate(runs, cast(null as struct<start:bigint, length:bigint, period:bigint>),
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_segmentations": op9_segmentations,
     "op10_token_counts": op10_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
