@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm.common import documents
 from limnos.llm.exact_dedup import mark_copies
+from limnos.llm.html_extract import extract
 from limnos.llm.near_dedup import near_components
 from limnos.llm import license_scan, pii, secret_scan, segment, toxicity
 from limnos.llm.packing import pack
@@ -66,6 +67,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(digest_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_segmentations": op9_segmentations,
     "op10_token_counts": op10_token_counts,
+    "op11_html_text": op11_html_text,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
