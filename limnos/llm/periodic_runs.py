@@ -214,14 +214,11 @@ def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and n words, word i >= a = g % n becomes word a + (i - a) % p, where
     p = 1 + (n - a) // (3 + g % 8).  Such a text's words are joined by one
     space; all other texts, and those of a null id, stay as they are."""
-    h = F.crc32(F.col("doc_id").cast("string"))
-    rows = id_text(docs, id_col, text_col).withColumn("h", h)
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    drawn = rows.where("h % 10 = 0").withColumns({"words": words, "g": F.expr("h div 10")})
-    drawn = (drawn.withColumn("n", F.size("words").cast("long"))
-             .withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")).otherwise(0))
-             .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)")))
-    text = F.when(F.col("n") > 0, F.expr(
-        "array_join(transform(sequence(0L, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')")).otherwise(F.col("text"))
-    kept = rows.where("h IS NULL OR h % 10 <> 0").select("doc_id", "text")
-    return kept.unionByName(drawn.select("doc_id", text.alias("text")))
+    rows = id_text(docs, id_col, text_col).withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = rows.withColumn("words", F.when(F.expr("h % 10 = 0"), words))  # null where nothing is planted
+    rows = rows.withColumns({"n": F.size("words").cast("long"), "g": F.expr("h div 10")})
+    rows = rows.withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))

@@ -104,6 +104,18 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+#: The table of the crc32 polynomial, and the crc32 of a decimal number by it.
+_CRC_TABLE = """crc_step AS (
+            SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+            FROM range(256) t(i)),
+        crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_step)"""
+
+
+def _crc32(column: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({column}::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+               lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295::BIGINT)"""
+
+
 ORACLES = {
     "op1_exact_dedup": r"""
         WITH t AS (
@@ -113,4 +125,61 @@ ORACLES = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op12_prefix_trie": f"""
+        WITH {_CRC_TABLE},
+        turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                   {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (
+            SELECT conv_id, list(t ORDER BY pos) AS ts, {_crc32('conv_id')} % 9 AS h
+            FROM turns, crc_table GROUP BY conv_id, tab),
+        rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.ts[1:c.h], []), c.ts[c.h + 1:]) AS ts
+            FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+        paths AS (SELECT conv_id, d, ts[1:d] AS node, len(ts) = d AS ends FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+        nodes AS (
+            SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   CASE WHEN d > 0 THEN (count(*) - 1) * strlen(node[d].text) ELSE 0 END AS own,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM paths GROUP BY node, d),
+        kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        leaves AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.node = n.node),
+        above AS (SELECT node[1:a] AS node, own, n_children FROM (SELECT node, own, n_children, unnest(range(depth + 1)) AS a FROM leaves)),
+        below AS (SELECT node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY node)
+        SELECT l.conv_id, l.depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, b.n_leaves, b.saved_tokens, l.ends_sha256
+        FROM leaves l JOIN below b ON b.node = l.node LEFT JOIN leaves p ON l.depth > 0 AND p.node = l.node[1:l.depth - 1]""",
+    "op13_periodic_runs": rf"""
+        WITH {_CRC_TABLE},
+        docs AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                   {_crc32('doc_id')} AS h
+            FROM documents, crc_table),
+        drawn AS (SELECT doc_id, ws, len(ws) AS n, h, (h // 10) % len(ws) AS a, 1 + (len(ws) - (h // 10) % len(ws)) // (3 + (h // 10) % 8) AS p FROM docs),
+        texts AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM drawn),
+        words AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS i, unnest(ws) AS w FROM texts),
+        -- a run holds each of its words four times: split twice at words that are rarer
+        often AS (SELECT doc_id, i, w FROM words QUALIFY count(*) OVER (PARTITION BY doc_id, w) >= 4),
+        parts AS (SELECT doc_id, i, w, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part FROM often),
+        often2 AS (SELECT doc_id, i, w FROM parts QUALIFY count(*) OVER (PARTITION BY doc_id, part, w) >= 4),
+        parts2 AS (SELECT doc_id, i, w, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part FROM often2),
+        kept AS (SELECT *, count(*) OVER (PARTITION BY doc_id, part) AS size FROM parts2),
+        pairs AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM kept x JOIN kept y
+            ON x.doc_id = y.doc_id AND x.part = y.part AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.size),
+        stretches AS (
+            SELECT doc_id, q, min(i) AS s, count(*) + q AS len
+            FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs) GROUP BY doc_id, q, g
+            HAVING count(*) + q >= greatest(6, 4 * q)),
+        runs AS (SELECT doc_id, s, len, min(q) AS q FROM stretches GROUP BY doc_id, s, len),
+        by_doc AS (
+            SELECT doc_id, count(*) AS n_runs, arg_min([s, len, q], [-len, s, q]) AS best,
+                   string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS lines
+            FROM runs GROUP BY doc_id),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+        left_over AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS txt FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+        SELECT t.doc_id, t.n AS n_words, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period,
+               1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+        FROM texts t LEFT JOIN by_doc USING (doc_id) LEFT JOIN left_over USING (doc_id)""",
 }
