@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,18 @@ BROADCAST_ROWS = 200_000
 ARROW_BYTES = 4 << 20
 
 
+def share(spark: SparkSession, model) -> Callable[[], object]:
+    """Broadcast ``model`` together with the code of its classes; the workers,
+    which need no copy of this package, call the result for it."""
+    held, own = spark.sparkContext.broadcast(cloudpickle.dumps(model)), []
+
+    def get():
+        if not own:
+            own.append(pickle.loads(held.value))
+        return own[0]
+    return get
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm import ragged as R
-from limnos.llm.common import by_batch, by_partition, id_text, land
+from limnos.llm.common import by_batch, by_partition, id_text, land, share
 
 TRAIN_PER_LABEL = 4000
 LANDMARKS = 32
@@ -392,11 +392,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     like any other; an empty table gives no rows."""
     rows = id_text(docs, id_col, text_col)
     model = train(rows, labels, per_label, count)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model = held.value
+        model = held()
         reader = Reader(model.like) if model.like else None
         for b in batches:
             for x, y in R.slices(b.column(1)):
