@@ -806,6 +806,69 @@ def q_burst_average(spark, d):
                       r6("raw_avg").alias("raw_avg"), r6("millivolts").alias("millivolts"), r6("ph").alias("ph"))
 
 
+#: Milliseconds between accepted readings: the controller's second, and a
+#: spacing at which most readings of the table are refused.
+RATE_LIMITS_MS = (1000, 600_000)
+
+
+def _rate_limit_sql(limits) -> str:
+    """Next-pointers of each reading, followed from the first one on."""
+    nxt = " UNION ALL ".join(
+        f"SELECT sensor, {x} AS limit_ms, ts, min(ts) OVER (PARTITION BY sensor ORDER BY ts "
+        f"RANGE BETWEEN INTERVAL '{x} milliseconds' FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM t" for x in limits)
+    return f"""
+        WITH RECURSIVE t AS (SELECT sensor, ts, min(raw) AS raw FROM {TEL} GROUP BY sensor, ts),
+        nxt AS MATERIALIZED (SELECT * FROM ({nxt})),
+        chain AS (
+            SELECT sensor, limit_ms, min(ts) AS ts FROM nxt GROUP BY sensor, limit_ms
+            UNION ALL SELECT c.sensor, c.limit_ms, n.nx FROM chain c
+            JOIN nxt n ON n.sensor = c.sensor AND n.limit_ms = c.limit_ms AND n.ts = c.ts WHERE n.nx IS NOT NULL)
+        SELECT limit_ms, c.sensor, c.ts, raw FROM chain c JOIN t ON t.sensor = c.sensor AND t.ts = c.ts"""
+
+
+@register("rate_limit", _rate_limit_sql(RATE_LIMITS_MS))
+def q_rate_limit(spark, d):
+    from limnos.streaming import telemetry as st
+    out = None
+    for limit in RATE_LIMITS_MS:
+        kept = st.rate_limit(T.telemetry(spark, d), limit, ["sensor"]).withColumn("limit_ms", F.lit(limit))
+        out = kept if out is None else out.unionByName(kept)
+    return out.select("limit_ms", "sensor", _utc(out, "ts"), "raw")
+
+
+@register("rate_limit_stream", _rate_limit_sql(RATE_LIMITS_MS[1:]).replace("SELECT limit_ms, c.sensor", "SELECT false AS late, c.sensor"))
+def q_rate_limit_stream(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    out = run_available_now(spark, st.rate_limit_stream(_stream(spark, d, None), RATE_LIMITS_MS[1], ["sensor"]), "rate_limit")
+    out = out.withColumn("ts", F.timestamp_micros("us"))
+    return out.select("late", "sensor", _utc(out, "ts"), F.col("raw").cast("int").alias("raw"))
+
+
+_BURST_SQL = (f"SELECT device, sensor, (pos - 1) // 10 AS burst, count(*) AS n, count(*) = 10 AS complete, {R('avg(raw)')} AS raw_avg, "
+              f"{R(f'avg(raw) * {f(cal.VREF_MV / cal.ADC_LEVELS_AVG)}')} AS millivolts, CASE WHEN sensor = 'ph' THEN "
+              f"{R(f'{f(cal.PH_SLOPE)} * (avg(raw) * {f(cal.VREF_MV / cal.ADC_LEVELS_AVG)} / 1000.0) + {f(cal.PH_INTERCEPT)}')} END AS ph "
+              f"FROM (SELECT device, sensor, raw, row_number() OVER (PARTITION BY device, sensor ORDER BY ts, raw) AS pos FROM {TEL}) "
+              f"GROUP BY device, sensor, (pos - 1) // 10")
+
+
+def _burst_rows(out: DataFrame) -> DataFrame:
+    return out.select("device", "sensor", "burst", "n", "complete", *[r6(c).alias(c) for c in ("raw_avg", "millivolts", "ph")])
+
+
+@register("burst_of_ten", _BURST_SQL)
+def q_burst_of_ten(spark, d):
+    from limnos.streaming import telemetry as st
+    return _burst_rows(st.bursts(T.telemetry(spark, d)))
+
+
+@register("burst_of_ten_stream", _BURST_SQL)
+def q_burst_of_ten_stream(spark, d):
+    from limnos.streaming import telemetry as st
+    from limnos.streaming.runner import run_available_now
+    return _burst_rows(run_available_now(spark, st.bursts_stream(_stream(spark, d, None)), "burst_of_ten", keys=["device", "sensor", "burst"]))
+
+
 @register("assemble_ticks",
           f"SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, device, count(*) AS n, " +
           ", ".join(f"{R(f'max(CASE WHEN sensor = {chr(39)}{s}{chr(39)} THEN {_calibrated_sql()} END)')} AS {s}"
