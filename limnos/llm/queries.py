@@ -59,7 +59,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = segment.sample_segmentations(documents(spark, sf_dir), public_tokenizers.path(MODEL))
     return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_tokens"), "log_prob", "perturbed", "log_inclusion",
-                        F.xxhash64("ids").alias("ids_hash"), "round_trip")
+                        "ids", "round_trip")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,9 @@ SPACE = 0x2581
 SAMPLES = 2
 #: Flattens the distribution of pieces (0: all segmentations alike).
 ALPHA = 0.5
-SLICE = 1 << 19
+SLICE = 1 << 18
+#: Nodes of unit lattices that a worker remembers (some 200 bytes each).
+REMEMBERED_NODES = 1_000_000
 
 _U = np.uint64
 
@@ -110,9 +112,9 @@ def _rolled(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-class Lattice:
-    """Lattice of distinct units.  Nodes are numbered unit by unit, one for
-    each character and one for the end; edges are sorted by their start."""
+class _Part:
+    """Lattice of new units.  Nodes are numbered unit by unit, one for each
+    character and one for the end; edges are sorted by their start."""
 
     def __init__(self, pieces: Pieces, points: np.ndarray, first: np.ndarray):
         n_units = len(first) - 1
@@ -144,9 +146,9 @@ class Lattice:
         lone = node[~have[node]]
         self.point = np.zeros(self.n_nodes, np.int64)
         self.point[node] = points
-        start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
-        piece = np.concatenate([piece, np.full(len(lone), -1)])
-        order = np.lexsort((end, start))
+        start, end = np.concatenate([lone, start]), np.concatenate([lone + 1, end])
+        piece = np.concatenate([np.full(len(lone), -1), piece])
+        order = np.argsort(start, kind="stable")  # lengths ascend already
         self.start, self.end, self.piece = start[order], end[order], piece[order]
         worst = pieces.weight.min() - 10.0
         weight = np.where(self.piece >= 0, pieces.weight[self.piece], worst)
@@ -178,10 +180,80 @@ class Lattice:
         self.stop = np.zeros(self.n_nodes, bool)
         self.stop[self.node_first + size] = True
 
+
+class _Column:
+    """An array that grows at its end; ``view`` is what it holds."""
+
+    def __init__(self, kind):
+        self._room = np.empty(1 << 16, kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self._size, self.view = 0, self._room[:0]
+
+    def append(self, x: np.ndarray) -> None:
+        size = self._size + len(x)
+        if size > len(self._room):
+            room = np.empty(max(size, 4 * len(self._room)), self._room.dtype)
+            room[: self._size] = self.view
+            self._room = room
+        self._room[self._size: size] = x
+        self._size, self.view = size, self._room[:size]
+
+
+class Lattice:
+    """Lattices of distinct units, which a worker builds once and remembers
+    until they have ``nodes`` nodes; it starts anew then."""
+
+    _COLUMNS = {"degree": np.int32, "point": np.int32, "stop": bool, "edge_first": np.int64, "start": np.int32, "end": np.int32, "piece": np.int32,
+                "log_q": np.float64, "q": np.float64, "onward": np.float64, "node_first": np.int64}
+
+    def __init__(self, pieces: Pieces, nodes: int = REMEMBERED_NODES):
+        self.pieces, self.most = pieces, nodes
+        self._columns = {n: _Column(k) for n, k in self._COLUMNS.items()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.numbers = np.zeros(0, _U), np.zeros(0, np.int64)  # of the known units, by hash
+        for c in self._columns.values():
+            c.clear()
+        self._show()
+
+    def _show(self) -> None:
+        for n, c in self._columns.items():
+            setattr(self, n, c.view)
+
+    def units(self, hashes: np.ndarray, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of the distinct units points[begin:end], whose hashes
+        ascend."""
+        if len(self.stop) > self.most:
+            self._forget()
+        place = np.searchsorted(self.keys, hashes)
+        if len(self.keys):
+            near = np.minimum(place, len(self.keys) - 1)
+            number = np.where(self.keys[near] == hashes, self.numbers[near], -1)
+        else:
+            number = np.full(len(hashes), -1)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            size = end[new] - begin[new]
+            part = _Part(self.pieces, R.gather(points, begin[new], end[new]), np.concatenate([[0], np.cumsum(size)]))
+            nodes, edges, have = len(self.stop), len(self.start), len(self.node_first)
+            number[new] = have + np.arange(len(new))
+            self.keys = np.insert(self.keys, place[new], hashes[new])
+            self.numbers = np.insert(self.numbers, place[new], number[new])
+            part.start, part.end, part.node_first = part.start + nodes, part.end + nodes, part.node_first + nodes
+            # nodes without edges end each unit, so a node's edges end where the next node's begin
+            part.edge_first = part.edge_first[:-1] + edges
+            for n, c in self._columns.items():
+                c.append(getattr(part, n))
+            self._show()
+        return number
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
-        e = self.edge_first[node + 1] - 1
         first = self.edge_first[node]
+        e = first + self.degree[node] - 1
         # longest first, which mostly ends at once
         at = np.flatnonzero(e > first)
         while len(at):
@@ -196,6 +268,11 @@ def _uniform(seed: np.ndarray, at: np.ndarray, stream: int) -> np.ndarray:
     return ((h >> _U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def _truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels of location phi, given that they lie below the bound."""
     with np.errstate(divide="ignore", over="ignore"):
@@ -225,8 +302,9 @@ def _best(g: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
 class Sampler:
     """Paths of a slice of rows."""
 
-    def __init__(self, pieces: Pieces, points: np.ndarray, first: np.ndarray, seed: np.ndarray):
-        self.pieces, self.seed, self.rows = pieces, seed, len(first) - 1
+    def __init__(self, lattice: Lattice, points: np.ndarray, first: np.ndarray, seed: np.ndarray):
+        self.pieces, self.seed, self.rows = lattice.pieces, seed, len(first) - 1
+        pieces = self.pieces
         head = np.zeros(len(points), bool)
         head[first[:-1][np.diff(first) > 0]] = True
         if len(points) > 1:
@@ -236,9 +314,9 @@ class Sampler:
         end = np.append(begin[1:], len(points))
         value = np.zeros(len(points) + 1, _U)
         np.cumsum(R.mix(points.astype(_U) + _U(1)) * R._pow(R._P, len(points))[: len(points)], out=value[1:])
-        uniq, at, self.unit = np.unique(R.span_hash(value, begin, end), return_index=True, return_inverse=True)
-        size = end[at] - begin[at]
-        self.lattice = Lattice(pieces, R.gather(points, begin[at], end[at]), np.concatenate([[0], np.cumsum(size)]))
+        uniq, at, place = np.unique(R.span_hash(value, begin, end), return_index=True, return_inverse=True)
+        self.lattice = lattice
+        self.unit = lattice.units(uniq, points, begin[at], end[at])[place]
         self.begin = begin
         self.unit_first = np.searchsorted(begin, first)  # of each row
         self.row = R.owner(self.unit_first)
@@ -248,27 +326,34 @@ class Sampler:
         """Ancestral samples: for unit occurrences, from the given nodes to
         the units' ends.  Returns unit, node and edge of each step in order."""
         lat = self.lattice
-        units, nodes, edges, rounds = [], [], [], []
-        step = 0
-        while len(unit):
-            go = ~lat.stop[node]
-            unit, node = unit[go], node[go]
-            if not len(unit):
-                break
-            row = self.row[unit]
-            place = self.begin[unit] - self.base[row] + (node - lat.node_first[self.unit[unit]])
-            e = lat.draw(node, _uniform(self.seed[row], place, 2 * stream))
-            units.append(unit)
+        units, nodes, edges, places = [], [], [], []
+        n, step = len(unit), 0
+        at = np.arange(n)
+        steps = np.zeros(n, np.int64)
+        base = self.begin[unit] - self.base[self.row[unit]] - lat.node_first[self.unit[unit]]
+        seed = self.seed[self.row[unit]]
+        while len(at):
+            done = lat.stop[node]
+            if done.any():
+                go = np.flatnonzero(~done)
+                at, node = at[go], node[go]
+                if not len(at):
+                    break
+            e = lat.draw(node, _uniform(seed[at], base[at] + node, 2 * stream))
+            units.append(at)
             nodes.append(node)
             edges.append(e)
-            rounds.append(np.full(len(unit), step))
+            places.append(np.full(len(at), step))
+            steps[at] += 1
             node = lat.end[e]
             step += 1
         if not units:
             return (np.zeros(0, np.int64),) * 3
-        units, nodes, edges, rounds = map(np.concatenate, (units, nodes, edges, rounds))
-        order = np.argsort(units, kind="stable")
-        return units[order], nodes[order], edges[order]
+        at, nodes, edges, places = map(np.concatenate, (units, nodes, edges, places))
+        places += (np.cumsum(steps) - steps)[at]  # unit by unit, step by step
+        out = np.empty((3, len(at)), np.int64)
+        out[0, places], out[1, places], out[2, places] = unit[at], nodes, edges
+        return out[0], out[1], out[2]
 
     def sample(self, k: int):
         """Yields (path number, rows that have it, steps' first of each of
@@ -342,7 +427,7 @@ class Sampler:
                     continue
                 a = pf[where[active[mine]]]
                 src_at[mine] = a + pop["step"][mine]
-                idx = R.gather(np.arange(len(pu)), a, src_at[mine] + 1)
+                idx = _ranges(a, pop["step"][mine] + 1)
                 u0.append(pu[idx])
                 n0.append(pn[idx])
                 e0.append(pe[idx])
@@ -358,7 +443,7 @@ class Sampler:
             # the rest of the row: the tip's unit from where its edge ends, then all later units
             last = self.unit_first[active + 1]
             count = last - u0[tip]
-            later = np.arange(int(count.sum())) + np.repeat(u0[tip] - (np.cumsum(count) - count), count)
+            later = _ranges(u0[tip], count)
             begin_node = lat.node_first[self.unit[later]].copy()
             begin_node[np.cumsum(count) - count] = lat.end[e0[tip]]
             u1, n1, e1 = self.extend(later, begin_node, p + 1)
@@ -374,7 +459,7 @@ class Sampler:
         """An edge of each node that is not shut, by their probabilities."""
         lat = self.lattice
         first, deg = lat.edge_first[node], lat.degree[node]
-        edges = R.gather(np.arange(len(lat.q)), first, first + deg)
+        edges = _ranges(first, deg)
         own = np.repeat(np.arange(len(node)), deg)
         open_ = ~(edges[:, None] == shut[own]).any(1)
         w = np.where(open_, np.maximum(lat.q[edges], 1e-300), 0.0)
@@ -393,13 +478,15 @@ class Sampler:
         lone = np.flatnonzero(lat.piece[edge] < 0)
         if not len(lone):
             return ids, step_first
-        raw = [chr(c).encode() for c in lat.point[lat.start[edge[lone]]].tolist()]
+        points, of = np.unique(lat.point[lat.start[edge[lone]]], return_inverse=True)
+        raw = [np.frombuffer(chr(c).encode(), np.uint8) for c in points.tolist()]
+        size = np.array([len(r) for r in raw])
         width = np.ones(len(edge), np.int64)
-        width[lone] = [len(r) for r in raw]
+        width[lone] = size[of]
         begin = np.cumsum(width) - width
         out = np.repeat(ids, width)
-        for a, r in zip(begin[lone].tolist(), raw):
-            out[a: a + len(r)] = self.pieces.byte_id[np.frombuffer(r, np.uint8)]
+        first = np.cumsum(size) - size
+        out[_ranges(begin[lone], size[of])] = self.pieces.byte_id[np.concatenate(raw)[_ranges(first[of], size[of])]]
         return out, np.append(begin, len(out))[step_first]
 
 
@@ -458,15 +545,16 @@ def sample_segmentations(docs: DataFrame, model_path: str, id_col: str = "doc_id
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        pieces = None
+        lattice = None
         for b in batches:
-            pieces = pieces or Pieces(model_path, alpha)
+            lattice = lattice or Lattice(Pieces(model_path, alpha))
+            pieces = lattice.pieces
             for x, y in R.slices(b.column(2), SLICE):
                 texts = b.column(2).slice(x, y - x)
                 points, first = row_points(texts)
                 original = R.buffers(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), chr(SPACE), " "))
                 seeds = np.asarray(b.column(1).slice(x, y - x)).view(_U)
-                sampler = Sampler(pieces, points, first, seeds)
+                sampler = Sampler(lattice, points, first, seeds)
                 got = list(sampler.sample(samples))
                 kappa = got.pop()
                 for p, active, step_first, edge, log_p, value in got:

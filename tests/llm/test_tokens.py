@@ -60,7 +60,7 @@ def test_table_finds_keys():
 def draw(text, k, n):
     pieces = S.Pieces(MODEL, 0.5)
     points, first = S.row_points(pa.array([text] * n))
-    sampler = S.Sampler(pieces, points, first, R.mix(np.arange(n, dtype=np.uint64)))
+    sampler = S.Sampler(S.Lattice(pieces), points, first, R.mix(np.arange(n, dtype=np.uint64)))
     *paths, kappa = sampler.sample(k)
     out = [[] for _ in range(n)]
     for _, active, first, edge, log_p, value in paths:
@@ -111,6 +111,20 @@ def test_samples_follow_the_distribution_without_replacement(text):
     assert abs(guess / mean - 1) < 0.02
 
 
+def test_remembered_units_change_no_sample():
+    pieces = S.Pieces(MODEL, 0.5)
+    lattices = [S.Lattice(pieces), S.Lattice(pieces, nodes=1), None]
+    for texts in (["the quick fox", "日本 語🎉", ""], ["quick quick", "the", "ñandú the fox"], ["the quick fox", "日本 語🎉", ""]):
+        points, first = S.row_points(pa.array(texts))
+        got = []
+        for lattice in lattices:
+            sampler = S.Sampler(lattice or S.Lattice(pieces), points, first, R.mix(np.arange(3, dtype=np.uint64)))
+            *paths, kappa = sampler.sample(2)
+            got.append([(p, active.tolist(), [x.tolist() for x in sampler.tokens(edge, at)], log_p.tolist(), value.tolist())
+                        for p, active, at, edge, log_p, value in paths] + [kappa.tolist()])
+        assert got[0] == got[1] == got[2]
+
+
 def test_samples_end_with_the_support():
     out, kappa = draw("a", 5, 10)
     assert all(len(row) == len(segmentations("a")) for row in out) and np.isneginf(kappa).all()
