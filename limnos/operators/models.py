@@ -11,6 +11,8 @@
   the evaluation rows).  Replaces a small in-memory neural network.
 * Training curve: loss after each boosting iteration on train and
   validation rows (mean Huber loss, one distributed aggregate).
+* Robust regressor: boosting on clipped residuals (``huber_boost``); its curve
+  falls out of the fit.  The pipelines use it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions.labels import N_CLASSES
+from limnos.operators import huber_boost
 from limnos.operators.metrics import huber_term
 from limnos.operators.probabilities import align_probabilities
 from limnos.session import FIT_PARTITIONS, deal
@@ -171,6 +174,34 @@ def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols
     return ChlRegressor(inputs, model, log_target), fit_part, val_part
 
 
+# ------------------------------------------------------------------ robust regressor
+@dataclass
+class RobustRegressor:
+    model: huber_boost.HuberBoost
+    log_target: bool = True
+
+    @property
+    def curve(self) -> list[tuple]:
+        """(round, train_loss, val_loss, delta, step), the loss on the model's own scale."""
+        return self.model.curve
+
+    def predict(self, df: DataFrame, out: str = "chl_pred", clip: bool = True) -> DataFrame:
+        """Prediction in original units: expm1 of the log-scale output, ≥ 0."""
+        scored = self.model.predict(df, "_p")
+        p = F.expm1(F.col("_p")) if self.log_target else F.col("_p")
+        return scored.withColumn(out, F.greatest(p, F.lit(0.0)) if clip else p).drop("_p")
+
+
+def fit_robust_regressor(train: DataFrame, inputs: Sequence[str], target: str | Column, key_cols: Sequence[str],
+                         log_target: bool = True, **options) -> RobustRegressor:
+    """Boosting under the Huber loss; ``options`` as in ``huber_boost.fit``."""
+    y = F.col(target) if isinstance(target, str) else target
+    return RobustRegressor(huber_boost.fit(train, inputs, F.log1p(y) if log_target else y, key_cols, **options), log_target)
+
+
+ROBUST_CURVE = "iteration int, train_loss double, val_loss double, delta double, step double"
+
+
 def curve_frame(spark: SparkSession, curve: list[tuple[int, float, float]]) -> DataFrame:
     return spark.createDataFrame(curve, "iteration int, train_loss double, val_loss double")
 

@@ -45,6 +45,11 @@ class RidgeModel:
             (c, SYMBOLS.get(c, c), float(b)) for c, b in zip(self.features, self.coefs)]
         return spark.createDataFrame(rows, "term string, symbol string, coef double")
 
+    def printed(self, spark: SparkSession, digits: int = 4) -> DataFrame:
+        """The terms with their coefficients as the equation prints them."""
+        rows = [(t.term, t.symbol, t.coef, f"{t.coef:+.{digits}g}") for t in self.terms(spark).collect()]  # one a feature
+        return spark.createDataFrame(rows, "term string, symbol string, coef double, printed string")
+
     def equation(self, digits: int = 4) -> str:
         parts = [f"{self.intercept:.{digits}g}"]
         for c, b in zip(self.features, self.coefs):

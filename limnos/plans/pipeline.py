@@ -53,7 +53,7 @@ PROFILES = {
 class LakeModels:
     profile: Profile
     scaler: FT.ScalerModel
-    regressor: MD.ChlRegressor
+    regressor: MD.RobustRegressor
     rbf: MD.RbfClassifier
     knn_train: DataFrame
     curve: list
@@ -90,16 +90,18 @@ def _model_probs(models_or_parts, df_s: DataFrame, k: int = 7) -> DataFrame:
 
 
 def _matrices(df: DataFrame, truth: str, prof: Profile) -> DataFrame:
-    """RBF, kNN and regressor matrices side by side (E9), one aggregate."""
+    """RBF, kNN and regressor matrices side by side (E9), one aggregate.  A
+    regressor's value at or below zero counts as class 0, so no row is lost."""
+    df = df.withColumn("chl_nn", F.greatest("chl_nn", F.lit(1e-9)))
     return FM.fuzzy_confusion_models(df, truth, {"rbf": ("probs", "p_rbf"), "knn": ("probs", "p_knn"),
                                                  "regressor": ("pred", "chl_nn")},
                                      eps=prof.eps, low=prof.low)
 
 
 def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile = "single",
-               seed: int = 42, with_curve: bool = False) -> LakeModels:
+               seed: int = 42) -> LakeModels:
     """Path 1: clean -> split -> scale -> regressor + two classifiers ->
-    fuzzy matrices on the held-out fifth; the training curve on request."""
+    fuzzy matrices on the held-out fifth, and the training curve."""
     prof = PROFILES[profile] if isinstance(profile, str) else profile
     df = C.clean_lake(survey, prof.comma)
     rejected = 0
@@ -117,13 +119,12 @@ def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile =
         train_s = FT.drop_unlabeled(train_s)
     if prof.require_two_classes:
         FT.require_two_classes(train_s)
-    reg, fit_part, val_part = MD.fit_regressor(train_s, Z, TARGET, ["_row"], max_depth=5, seed=seed)
-    curve = reg.curve(fit_part, val_part, TARGET) if with_curve else []
+    reg = MD.fit_robust_regressor(train_s, Z, TARGET, ["_row"], seed=seed)
     rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, seed=seed)
     knn_train = _vectors(FT.drop_unlabeled(train_s)).select("_row", "features", "class_idx")
     scored = reg.predict(_model_probs((rbf, knn_train), test_s), out="chl_nn", clip=False)
     matrices = _matrices(scored, TARGET, prof)
-    return LakeModels(prof, scaler, reg, rbf, knn_train, curve, matrices, clean, rejected)
+    return LakeModels(prof, scaler, reg, rbf, knn_train, reg.curve, matrices, clean, rejected)
 
 
 def score_pond(spark: SparkSession, models: LakeModels, pond: DataFrame,
