@@ -688,6 +688,49 @@ def q_rbf_classify(spark, d):
     return per.select("class_idx", "n_test", (share >= F.least(2 * most, F.lit(0.9))).alias("gate_passed"))
 
 
+#: The weights of slack of the three lake profiles.
+MARGIN_C = (1.0, 2.0)
+
+
+def _margin_scores(spark, d) -> dict[float, DataFrame]:
+    from limnos.operators import margin_classifier
+    data = planted(spark, d)
+    train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
+    return {c: margin_classifier.fit(train, PLANT_INPUTS, "class_idx", ["l_orderkey", "l_linenumber"], c=c).predict_proba(test, "p") for c in MARGIN_C}
+
+
+@register("margin_classifier", _PLANT_SQL + "SELECT c, class_idx, count(*) AS n_test, true AS right, true AS sharp, true AS calibrated "
+                               "FROM t, (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) v(c) GROUP BY c, class_idx")
+def q_margin_classifier(spark, d):
+    """Held-out rows by class for both weights of slack, and whether the
+    classifier is right on 85 % of them, its log loss is at most 0.4, and its
+    probabilities in tenths lie within 0.03 of the hit rates on average."""
+    out = None
+    for c, scored in _margin_scores(spark, d).items():
+        hit = (F.array_position("p", F.array_max("p")) - 1 == F.col("class_idx")).cast("double")
+        loss = -F.log(F.greatest(F.element_at("p", F.col("class_idx") + 1), F.lit(1e-9)))
+        each = F.explode(F.transform("p", lambda x, k: F.struct(x.alias("p"), (k == F.col("class_idx")).cast("double").alias("hit"))))
+        tenths = (scored.select(each.alias("e")).groupBy(F.floor(F.col("e.p") * 10)).agg(
+            F.abs(F.sum("e.p") - F.sum("e.hit")).alias("off"), F.count(F.lit(1)).alias("n")).agg(F.sum("off") / F.sum("n")).first()[0])  # eleven rows
+        per = scored.groupBy("class_idx").agg(F.count(F.lit(1)).alias("n_test"), F.sum(hit).alias("hits"), F.sum(loss).alias("loss"))
+        every = Window.partitionBy()  # four classes
+        n = F.sum("n_test").over(every)
+        per = per.select(F.lit(c).alias("c"), "class_idx", "n_test", (F.sum("hits").over(every) >= 0.85 * n).alias("right"),
+                         (F.sum("loss").over(every) <= 0.4 * n).alias("sharp"), F.lit(tenths <= 0.03).alias("calibrated"))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+@register("margin_probabilities")
+def q_margin_probabilities(spark, d):
+    """The class probabilities themselves, for each held-out row."""
+    out = None
+    for c, scored in _margin_scores(spark, d).items():
+        part = scored.select(F.lit(c).alias("c"), "l_orderkey", "l_linenumber", "class_idx", *[r6(F.element_at("p", k + 1)).alias(f"p{k}") for k in range(4)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _regressor(spark, d):
     """The planted-signal regressor, fitted for this query: its fit and
     validation parts come from the training rows only."""
@@ -1034,8 +1077,8 @@ _LINE_SQL = f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(_LINE_KEYS)})),
 # are the fuzzy mass of the held-out truth, diagonals beat chance).
 @register("lake_pipeline")
 def q_lake_pipeline(spark, d):
-    """Train on the survey (split, scale, robust regressor, Fourier-feature
-    classifier, exact 7-NN): the three fuzzy matrices of the held-out fifth."""
+    """Train on the survey (split, scale, robust regressor, margin classifier
+    "rbf", exact 7-NN): the three fuzzy matrices of the held-out fifth."""
     from limnos.plans import pipeline
     m = pipeline.train_lake(spark, lake_survey_from_lineitem(spark, d), "fused")
     return m.matrices.select("model", "true_idx", "pred_idx", r6("weight").alias("weight"))

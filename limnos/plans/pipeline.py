@@ -19,6 +19,7 @@ from limnos.operators import clean as C
 from limnos.operators import features as FT
 from limnos.operators import fuzzy_matrix as FM
 from limnos.operators import knn as KNN
+from limnos.operators import margin_classifier as MC
 from limnos.operators import models as MD
 from limnos.operators import ridge as RG
 from limnos.operators.probabilities import expected_from_probs, select_truth
@@ -36,7 +37,7 @@ class Profile:
     reject_negative: bool = False          # drop (and count) negative targets
     mask_unlabeled_train: bool = False     # drop training rows without a class
     require_two_classes: bool = False
-    rbf_reg: float = 1e-3
+    svm_c: float = 1.0
     comma: str = "decimal"
 
 
@@ -44,8 +45,8 @@ class Profile:
 PROFILES = {
     "single": Profile("single", eps=SLIDER_EPS),
     "filtered": Profile("filtered", low="shoulder", reject_negative=True, mask_unlabeled_train=True,
-                   require_two_classes=True, rbf_reg=5e-4),
-    "fused": Profile("fused", rbf_reg=5e-4),
+                   require_two_classes=True, svm_c=2.0),
+    "fused": Profile("fused", svm_c=2.0),
 }
 
 
@@ -54,7 +55,7 @@ class LakeModels:
     profile: Profile
     scaler: FT.ScalerModel
     regressor: MD.RobustRegressor
-    rbf: MD.RbfClassifier
+    rbf: MC.MarginClassifier
     knn_train: DataFrame
     curve: list
     matrices: DataFrame
@@ -120,7 +121,7 @@ def train_lake(spark: SparkSession, survey: DataFrame, profile: str | Profile =
     if prof.require_two_classes:
         FT.require_two_classes(train_s)
     reg = MD.fit_robust_regressor(train_s, Z, TARGET, ["_row"], seed=seed)
-    rbf = MD.fit_rbf_classifier(train_s, Z, "class_idx", reg=prof.rbf_reg, seed=seed)
+    rbf = MC.fit(train_s, Z, "class_idx", ["_row"], c=prof.svm_c, seed=seed)
     knn_train = _vectors(FT.drop_unlabeled(train_s)).select("_row", "features", "class_idx")
     scored = reg.predict(_model_probs((rbf, knn_train), test_s), out="chl_nn", clip=False)
     matrices = _matrices(scored, TARGET, prof)
