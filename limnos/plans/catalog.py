@@ -145,6 +145,21 @@ def q_read_delimited(spark, d):
     return clean.clean_lake(canonical_headers(raw)).select("ID", *_CLEAN_COLS)
 
 
+@register("read_mixed_folder", _clean_sql())
+def q_read_mixed_folder(spark, d):
+    """The survey written as a folder of five dialects (separator, charset,
+    column order and names differ), each file read in its own."""
+    lake, base = T.lake_frame(spark, d), scratch_path(spark, "mixed-survey")
+    swapped = {"Temperatura (°C)": "Temperature °C", "Clorofila (µg/L)": "Chlorophyll (µg/L)"}
+    for k, (sep, charset) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-8"), ("|", "ISO-8859-1"), (";", "UTF-8")]):
+        part = lake.where(F.pmod(F.col("ID").cast("long"), F.lit(5)) == k)
+        if k % 2:
+            part = part.select(*[F.col(f"`{c}`").alias(swapped.get(c, c)) for c in reversed(part.columns)])
+        (part.write.option("header", True).option("sep", sep).option("encoding", charset)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/dialect {k}"))
+    return clean.clean_lake(delimited.read_folder(spark, base)).select("ID", *_CLEAN_COLS)
+
+
 @register("preview_first_10",
           f"SELECT \"ID\", sitio, fecha, {_LAKE_CELLS} FROM {LAKE_SQL} ORDER BY o_orderkey LIMIT 10")
 def q_preview_first_10(spark, d):

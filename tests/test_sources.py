@@ -4,7 +4,7 @@ BOM; sensor-log parsing (A5) of every line format."""
 import pytest
 
 from limnos.operators.clean import clean_lake
-from limnos.sources.delimited import read_delimited, sniff
+from limnos.sources.delimited import file_profiles, read_delimited, read_folder, sniff
 from limnos.sources.headers import canonical_headers
 from limnos.sources.sensor_log import parse_sensor_lines
 
@@ -57,3 +57,45 @@ def test_sensor_lines(spark):
     assert out[5].temp_c == -3.25
     assert (out[6].raw, out[6].ec_ms_cm, out[7].ec_ms_cm) == (123, 1.23, None)
     assert all(v is None for k, v in out[8].asDict().items() if k not in ("line",))
+
+
+def test_folder_of_dialects(spark, tmp_path):
+    """One file of each kind; a Latin-1 file beside UTF-8 ones garbles none."""
+    folder = tmp_path / "a folder [1]"
+    (folder / "deep").mkdir(parents=True)
+    head = ["pH", "Temperatura (°C)", "Clorofila (µg/L)", "Sitio"]
+    (folder / "utf8.csv").write_bytes(("﻿" + ",".join(head) + '\r\n8.1,20.5,"1,378.84",Peñón\r\n').encode())
+    (folder / "latin {x}.csv").write_bytes((";".join(head) + "\n8,2;21;40;Caño\n").encode("latin-1"))
+    (folder / "deep" / "tab*.tsv").write_bytes(("\t".join(reversed(head)) + "\nBahía\t7\t22\t8.3\n").encode())
+    (folder / "other.csv").write_bytes("pH;Turbidez (NTU)\n8.4;3\n".encode())
+    (folder / "same.csv").write_bytes((";".join(head) + "\n8.5;23;2;Río\n").encode("latin-1"))
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "header only.csv").write_bytes((",".join(head) + "\n").encode())
+    df = read_folder(spark, str(folder).replace("[", "\\[").replace("]", "\\]"))
+    assert set(df.columns) == {"ph", "temp_c", "chl_ug_l", "sitio", "turb_ntu"}
+    got = {r.ph: (r.temp_c, r.chl_ug_l, r.sitio, r.turb_ntu) for r in df.collect()}
+    assert got == {"8.1": ("20.5", "1,378.84", "Peñón", None), "8,2": ("21", "40", "Caño", None), "8.3": ("22", "7", "Bahía", None),
+                   "8.4": (None, None, None, "3"), "8.5": ("23", "2", "Río", None)}
+    assert file_profiles(spark, str(folder).replace("[", "\\[").replace("]", "\\]")).count() == 6
+
+
+def test_header_of_a_file_in_many_splits(spark, tmp_path):
+    """The header comes from the split that starts the file."""
+    rows = "".join(f"{k},{k / 7:.3f}\n" for k in range(20_000))
+    (tmp_path / "one.csv").write_text("pH,Turbidez (NTU)\n" + rows)
+    (tmp_path / "two.csv").write_text("Turbidez (NTU),pH\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        profiles = {r.header for r in file_profiles(spark, str(tmp_path)).collect()}
+        df = read_folder(spark, str(tmp_path))
+        assert profiles == {"pH,Turbidez (NTU)", "Turbidez (NTU),pH"} and df.count() == 40_000
+        assert df.where("ph = turb_ntu").count() <= 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_folder_without_lines(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("")
+    with pytest.raises(ValueError):
+        read_folder(spark, str(tmp_path))
