@@ -49,6 +49,30 @@ CUTS = (0.001, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 #: Distinct tokens that a stratum's cut rests on; with fewer, neighbouring
 #: lengths of the encoding join in.
 FEW = 50
+#: Items that a running value goes through before its results are put away.
+BLOCK = 64
+
+
+def running(items: Column, kind: str, nxt, out) -> Column:
+    """``out(state, item)`` (of type ``kind``) for each item of an array, the
+    state being an int that starts at 0 and goes on as ``nxt(state, item)``.
+
+    Appending to an array copies it, so items go in blocks: n items cost some
+    n * BLOCK copies and (n / BLOCK)^2 references instead of n^2."""
+    empty = F.array().cast(f"array<{kind}>")
+
+    def step(acc, x):
+        return F.struct(nxt(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(out(acc["at"], x))).alias("out"))
+
+    def block(acc, part):
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        # bound to a variable, so that it is evaluated once
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(
+            d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), 1)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")),
+                        lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(parts, start, block, lambda acc: acc["out"]))).otherwise(empty)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -57,15 +81,28 @@ def spans(text: Column, pattern: str) -> Column:
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
     empty = F.array().cast("array<struct<start:int,stop:int,hit:string>>")
-
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["gap"])
-        stop = start + F.char_length(p["hit"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), p["hit"].alias("hit")))).alias("out"))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    # lengths once, and the pairs bound to a variable
+    sized = F.transform(pairs, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.char_length(p["hit"]).alias("size"), p["hit"].alias("hit")))
+    found = F.element_at(F.transform(F.array(sized), lambda items: running(
+        items, "struct<start:int,stop:int,hit:string>", lambda at, p: at + p["gap"] + p["size"],
+        lambda at, p: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("stop"), p["hit"].alias("hit")))), 1)
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
+def apart(tokens: Column, base: Column) -> Column:
+    """The ``tokens`` (start, stop, ...) that no span of ``base`` overlaps: in
+    order of where a token stops and a base span starts, the furthest stop so far
+    tells."""
+    ends = F.transform(tokens, lambda t, k: F.struct(t["stop"].alias("key"), F.lit(0).alias("side"), k.alias("place"), t["start"].alias("edge")))
+    begins = F.transform(base, lambda s: F.struct(s["start"].alias("key"), F.lit(1).alias("side"), F.lit(0).alias("place"), s["stop"].alias("edge")))
+    events = F.array_sort(F.concat(ends, begins))
+    seen = F.element_at(F.transform(F.array(events), lambda items: running(
+        items, "struct<side:int,place:int,free:boolean>", lambda far, e: F.greatest(far, F.when(e["side"] == 1, e["edge"]).otherwise(0)),
+        lambda far, e: F.struct(e["side"].alias("side"), e["place"].alias("place"), (far <= e["edge"]).alias("free")))), 1)
+    kept = F.transform(F.filter(seen, lambda e: (e["side"] == 0) & e["free"]), lambda e: F.get(tokens, e["place"]))
+    return F.when(F.size(base) == 0, tokens).when(F.size(tokens) == 0, tokens).otherwise(kept)
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal distribution (error below 1e-7)."""
     x = F.abs(z) / F.lit(2.0 ** 0.5)
@@ -167,8 +204,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     found = land(found, "secret-spans")
     chosen = cuts(found.select(F.explode("token").alias("t")).select("t.stratum", "t.token", "t.p"), fdr)
     cut = F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]) if chosen else F.lit(None).cast("map<int,double>")
-    free = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
-                    & F.coalesce(t["p"] > F.try_element_at(cut, t["stratum"]), F.lit(False)))
+    noisy = F.filter("token", lambda t: F.coalesce(t["p"] > F.try_element_at(cut, t["stratum"]), F.lit(False)))
+    found = found.withColumn("noisy", noisy)
+    free = apart(F.col("noisy"), F.col("base"))
     extra = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(RANDOM).alias("kind"), t["stop"].alias("stop")))
 
     def joined(a):

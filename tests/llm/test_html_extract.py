@@ -12,7 +12,7 @@ from limnos.llm.html_extract import N_EVIDENCE, N_KINDS, Forest, _labels, extrac
 from limnos.llm.labelled_pages import labelled_pages
 from limnos.llm.page_tree import parse
 from limnos.llm.queries import op11_html_text
-from tests.conftest import SF_ORACLE, SF_SMALL
+from conftest import SF_ORACLE, SF_SMALL
 
 
 @pytest.fixture(scope="module")

@@ -8,8 +8,8 @@ import pytest
 
 from limnos.llm.periodic_runs import _exact, collapse, find_runs, runs_of, with_planted_runs
 from limnos.llm.queries import op13_periodic_runs
-from tests.conftest import SF_SMALL
-from tests.llm.corpus import WORD, edge, empty, table
+from conftest import SF_SMALL
+from corpus import WORD, edge, empty, table
 
 
 def brute(words):

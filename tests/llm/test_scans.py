@@ -200,3 +200,28 @@ def test_masking_leaves_the_rest(spark):
 @pytest.mark.parametrize("text,want", [("call +1 (372) 555-7739 or x@y.zz", "call [PHONE] or [EMAIL]"), ("ip 10.0.0.1.", "ip [IP]."), ("no", "no")])
 def test_mask(text, want):
     assert P.mask(text, None) == want
+
+
+def test_tokens_apart_from_spans(spark):
+    """Against every pair, over more items than one block holds."""
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for k in range(40):
+        many = 400 if k == 0 else rnd.randrange(0, 90)
+        tokens = [(a, a + rnd.randrange(1, 30)) for a in sorted(rnd.sample(range(6000), many))]
+        base = [(a, a + rnd.randrange(1, 60)) for a in sorted(rnd.sample(range(6000), rnd.randrange(0, 120)))]
+        rows.append((k, tokens, base))
+    df = spark.createDataFrame(rows, "k int, tokens array<struct<start:int,stop:int>>, base array<struct<start:int,stop:int>>")
+    got = {r.k: sorted(tuple(t) for t in r.free) for r in df.select("k", S.apart(F.col("tokens"), F.col("base")).alias("free")).collect()}
+    for k, tokens, base in rows:
+        assert got[k] == sorted(t for t in tokens if not any(b[0] < t[1] and t[0] < b[1] for b in base))
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Starts of 9,000 spans, each from all that stand before it."""
+    text = "é ".join(f"token={'k' * (8 + k % 5)}" for k in range(9000))
+    df = spark.createDataFrame([(text,)], "t string")
+    got = [tuple(s) for s in df.select(S.spans(F.col("t"), S.ASSIGN).alias("s")).first().s]
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(S.ASSIGN, text)]
+    assert got == want and len(got) == 9000

@@ -4,7 +4,7 @@ import os
 import subprocess
 import sys
 
-from tests.conftest import ROOT, SF_SMALL
+from conftest import ROOT, SF_SMALL
 
 SCRIPT = """
 import sys
