@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limnos.session import land
+
 DEFAULT_K = 7
 DEFAULT_BLOCK_ROWS = 4096
 _SLACK_REL, _SLACK_ABS = 1e-9, 1e-12
@@ -225,7 +227,7 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
         n_pivots = int(max(8, math.sqrt(max(1, train.count()))))
     pivots = choose_pivots(train, key, vec, n_pivots, seed)
     n_piv = pivots.shape[0]
-    assigned = _assign_cells(train, key, vec, label, pivots).persist()
+    assigned = land(_assign_cells(train, key, vec, label, pivots), "knn-cells")
     counts, radius, nearest = _cell_stats(assigned, k, n_piv)
     tblocks = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
     dim = pivots.shape[1]
@@ -243,7 +245,7 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
 def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_piv: int,
                 k: int, block_rows: int, seed: int) -> DataFrame:
     """Bounded (cell, train block, query block) groups -> merged top-k."""
-    routed = routed.persist()
+    routed = land(routed, "knn-routes")
     # queries per cell decide the query blocks (bounded, <= P rows to the driver)
     # (a query is routed once to every train block of a cell: count / blocks)
     qcounts = np.zeros(n_piv, dtype=np.int64)

@@ -20,13 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.session import scratch_path
-
-
-def _land(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from limnos.session import land
 
 
 def _fields(df: DataFrame) -> str:
@@ -75,7 +69,7 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column], nam
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place), pa.array(np.full(len(new), shard))], [*names, name, "__shard"])
 
     dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    shards = _land(dealt.mapInArrow(count, f"{_fields(rows)}, `{name}` long, __shard long"), "numbered")
+    shards = land(dealt.mapInArrow(count, f"{_fields(rows)}, `{name}` long, __shard long"), "numbered")
     sizes = shards.groupBy("__shard", *group).agg(F.max(name).alias("n"))
     # only a shard's first and last group can reach over its border
     edge = sizes.groupBy("__shard").agg(F.min(F.struct(*group)).alias("low"), F.max(F.struct(*group)).alias("high"))
@@ -176,7 +170,7 @@ def rate_limited(rows: DataFrame, group: Sequence[str], time: str, limit: int, t
         yield from out.to_batches(max_chunksize=10_000)
 
     dealt = rows.where(F.col(time).isNotNull()).repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
-    shards = _land(dealt.mapInArrow(first_pass, f"{_fields(rows)}, __shard long, __accepted boolean, __entry boolean, __exit long"), "rate-limit")
+    shards = land(dealt.mapInArrow(first_pass, f"{_fields(rows)}, __shard long, __accepted boolean, __entry boolean, __exit long"), "rate-limit")
 
     keys = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
 
@@ -199,7 +193,7 @@ def rate_limited(rows: DataFrame, group: Sequence[str], time: str, limit: int, t
         return result[[*group, "__shard", "__start"]]
 
     entries = shards.where("__entry").select(*group, "__shard", time, "__exit")
-    later = _land(entries.groupBy(*group).applyInPandas(join_shards, f"{keys}, __shard long, __start long"), "rate-limit-entries")
+    later = land(entries.groupBy(*group).applyInPandas(join_shards, f"{keys}, __shard long, __start long"), "rate-limit-entries")
     # at most one row a shard
     late = F.broadcast(later.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__shard").alias("__s"), "__start"))
     cond = F.col("__shard") == F.col("__s")

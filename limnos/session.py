@@ -76,6 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def land(df, name: str):
+    """``df`` written to the shared folder and read back: computed once, with a
+    lineage that every executor can read again and nothing held in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Partitions of the frames that models are fitted on.  Split candidates are
 #: drawn per partition, so a model depends on this number: it is a parameter,
 #: never the core count.  Raise it with the data.
