@@ -40,8 +40,9 @@ def mark(rows: DataFrame, key: Column, table: DataFrame, words: int = FILTER_WOR
             .drop("__word", "__bits", "word", "filter"))
 
 
-def _keyed(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int) -> DataFrame:
-    """(row, the columns of ``on``, suspect) against the landed ``keys``."""
+def marked(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """(row, the columns of ``on``, suspect) against the landed ``keys``: a row
+    whose key the filter does not contain is no suspect."""
     names = list(on)
     word, bits = signature(F.struct(*[F.col(n) for n in names]), words)
     table = land(build(keys.select(word.alias("word"), bits.alias("bits"))), "bloom")
@@ -52,14 +53,14 @@ def _keyed(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int)
 def rows_in(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """Rows whose key (``on``: key column -> expression over ``rows``) stands
     in ``keys``; only those that the filter lets through shuffle."""
-    hit = _keyed(rows, on, keys, words).where("suspect")
+    hit = marked(rows, on, keys, words).where("suspect")
     return hit.join(keys, same(hit, keys, *on), "left_semi").select("row.*")
 
 
 def rows_not_in(rows: DataFrame, on: dict[str, Column], keys: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """Rows whose key does not stand in ``keys``; those that the filter does
     not contain pass without a shuffle."""
-    marked = _keyed(rows, on, keys, words)
-    hit = marked.where("suspect")
+    all_rows = marked(rows, on, keys, words)
+    hit = all_rows.where("suspect")
     left = hit.join(keys, same(hit, keys, *on), "left_anti").select("row.*")
-    return marked.where("NOT suspect").select("row.*").unionByName(left)
+    return all_rows.where("NOT suspect").select("row.*").unionByName(left)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from limnos.llm import bloom
 from limnos.llm import ragged as R
-from limnos.llm.common import by_batch, by_partition, land, row_of, same, small
+from limnos.llm.common import by_batch, by_partition, land, same, small
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -327,12 +327,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     key = {"doc_id": F.col(id_col), "content": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
     names = docs.columns
     place, width = docs.columns.index(text_col), len(docs.columns)
-    keys = told.select("doc_id", "content")
-    plain = bloom.rows_not_in(docs, key, keys)
-    plain = plain.select(row_of(plain).alias("row"), F.lit(None).cast(told.schema["terms"].dataType).alias("terms"))
-    hit = bloom.rows_in(docs, key, keys)
-    hit = hit.select(row_of(hit).alias("row"), *[c.alias(n) for n, c in key.items()])
-    hit = hit.join(told, same(hit, told, "doc_id", "content")).select("row", "terms")
+    # one pass marks the rows, and the texts of those marked shuffle once
+    marked = bloom.marked(docs, key, told.select("doc_id", "content"))
+    plain = marked.where("NOT suspect").select("row", F.lit(None).cast(told.schema["terms"].dataType).alias("terms"))
+    hit = marked.where("suspect")
+    hit = hit.join(told, same(hit, told, "doc_id", "content"), "left").select("row", "terms")
 
     def run(b):
         whole = b.column(0).flatten()
