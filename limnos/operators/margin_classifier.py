@@ -5,7 +5,10 @@
   kernel matrix (Nyström), turns a row into a short vector.
 * One against one: a linear machine with squared hinge loss for each pair of
   classes, by Newton steps.  A step is one job in which every block of rows adds
-  to the gradients and Hessians of all machines at once.
+  to the gradients and Hessians of all machines at once, over kernel values; the
+  driver whitens the sums.  A pair's machines differ little, so rows with slack
+  under all of them enter one product that they share, and only the others
+  enter products of their own.
 * Calibration: rows fall into folds by a hash of their key; next to the machine
   on all rows, each fold has one that was fitted without it.  Margins of rows
   under the machine that has not seen them go into one histogram a pair, on which
@@ -20,7 +23,7 @@ by rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 from limnos.functions.labels import N_CLASSES
 from limnos.session import scratch_path
 
-#: Rows of a block and of a partition.
-BLOCK_ROWS, PART_ROWS, LEAST_ROWS = 20_000, 250_000, 20_000
+#: Rows of a partition: at most, and at least while that leaves cores idle.  A
+#: step hands on some megabytes a partition.
+PART_ROWS, LEAST_ROWS = 2_000_000, 20_000
 #: Weight of the mean squared slack against the norm at c = 1.
 SLACK = 100.0
 #: Margins are counted in classes of 1/64 from -8 to 8; those beyond lie in the outermost.
@@ -51,11 +55,25 @@ class MarginClassifier:
     weights: np.ndarray          # pairs x (m + 1)
     sigmoids: np.ndarray         # pairs x 2: slope, offset
 
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        """Rows (n x d) as n x (m + 1): kernel values, a constant last."""
+        out = np.ones((len(x), len(self.landmarks) + 1))
+        k = out[:, :-1]
+        np.matmul(x, 2 * self.gamma * self.landmarks.T, out=k)
+        k -= self.gamma * (x**2).sum(1)[:, None]
+        k -= self.gamma * (self.landmarks**2).sum(1)[None]
+        np.exp(np.minimum(k, 0.0, out=k), out=k)
+        return out
+
+    def whitening(self) -> np.ndarray:
+        """Turns kernel values into vectors; the constant stays."""
+        out = np.eye(len(self.landmarks) + 1)
+        out[:-1, :-1] = self.white
+        return out
+
     def vectors(self, x: np.ndarray) -> np.ndarray:
         """Rows (n x d) as n x (m + 1), a constant last."""
-        d2 = (x**2).sum(1)[:, None] - 2 * x @ self.landmarks.T + (self.landmarks**2).sum(1)[None]
-        k = np.exp(-self.gamma * np.maximum(d2, 0.0)) @ self.white
-        return np.hstack([k, np.ones((len(x), 1))])
+        return self.kernel(x) @ self.whitening()
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """n x N_CLASSES, zeros for classes without training rows; a row with a
@@ -63,7 +81,7 @@ class MarginClassifier:
         n, c = len(x), len(self.classes)
         out = np.zeros((n, N_CLASSES))
         known = np.isfinite(x).all(1)
-        margins = self.vectors(np.where(known[:, None], x, 0.0)) @ self.weights.T
+        margins = self.kernel(np.where(known[:, None], x, 0.0)) @ (self.whitening() @ self.weights.T)
         r = np.full((n, c, c), 0.5)
         for k, (i, j) in enumerate(combinations(range(c), 2)):
             p = 1 / (1 + np.exp(-np.clip(self.sigmoids[k, 0] * margins[:, k] + self.sigmoids[k, 1], -30, 30)))
@@ -98,12 +116,14 @@ def couple(r: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, n_rows: int, d: int) -> DataFrame:
-    """(x, y, fold) packed: few, large values for the fit's many jobs."""
+    """(x, y, fold) packed, by class and fold within a block: few, large values
+    for the fit's many jobs."""
     def pack(batches):
         for b in batches:
             if b.num_rows:
                 *x, y, fold = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-                values = np.stack([v.astype(float) for v in x], axis=1), y.astype(np.int8), fold.astype(np.int8)
+                order = np.lexsort((fold, y))
+                values = np.stack([v.astype(float)[order] for v in x], axis=1), y.astype(np.int8)[order], fold.astype(np.int8)[order]
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "y", "fold"])
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "margin-rows")
     parts = max(min(-(-n_rows // LEAST_ROWS), spark.sparkContext.defaultParallelism), -(-n_rows // PART_ROWS))
@@ -144,9 +164,16 @@ def _sigmoid(low: np.ndarray, high: np.ndarray) -> tuple[float, float]:
     return float(slope), float(offset)
 
 
-def fit(train: DataFrame, inputs: Sequence[str], label: str, key_cols: Sequence[str], c: float = 1.0, gamma: float | None = None,
-        n_landmarks: int = 96, folds: int = 3, steps: int = 12, seed: int = 42) -> MarginClassifier:
-    """Fit on the rows of ``train`` with a class (0 to 3) and all inputs.
+def fit(train: DataFrame, inputs: Sequence[str], label: str, key_cols: Sequence[str], c: float = 1.0, **options) -> MarginClassifier:
+    """Fit on the rows of ``train`` with a class (0 to 3) and all inputs;
+    ``options`` as in :func:`fit_each`."""
+    return fit_each(train, inputs, label, key_cols, (c,), **options)[0]
+
+
+def fit_each(train: DataFrame, inputs: Sequence[str], label: str, key_cols: Sequence[str], cs: Sequence[float], gamma: float | None = None,
+             n_landmarks: int = 96, folds: int = 3, steps: int = 12, seed: int = 42) -> list[MarginClassifier]:
+    """A classifier for each of ``cs``, fitted side by side: a step of all of
+    them is one job.
 
     ``c`` (times ``SLACK``) weighs the mean squared slack of a pair's rows, each
     class counting half, against the norm; ``n_landmarks`` bounds the sample of landmarks.
@@ -169,10 +196,10 @@ def fit(train: DataFrame, inputs: Sequence[str], label: str, key_cols: Sequence[
     value, vector = np.linalg.eigh(kernel)
     white = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-8))) @ vector.T
     pairs = list(combinations(range(len(classes)), 2))
-    model = MarginClassifier(inputs, float(gamma), marks, white, classes, np.zeros((len(pairs), len(marks) + 1)), np.tile([1.0, 0.0], (len(pairs), 1)))
+    bare = MarginClassifier(inputs, float(gamma), marks, white, classes, np.zeros((len(pairs), len(marks) + 1)), np.tile([1.0, 0.0], (len(pairs), 1)))
     data = _blocks(rows.drop("_key"), sum(sizes.values()), d)
     try:
-        return _train(data, model, pairs, sizes, c, folds, steps)
+        return _train(data, bare, pairs, sizes, cs, folds, steps)
     finally:
         data.unpersist()
 
@@ -184,58 +211,81 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _train(data, model, pairs, sizes, c, folds, steps) -> MarginClassifier:
-    d, w, classes = len(model.inputs), len(model.landmarks) + 1, model.classes
-    n_models = len(pairs) * (folds + 1)  # of each pair: one on all rows, one without each fold
-    weights = np.zeros((n_models, w))
-    part = w + w * w
+def _ranges(y: np.ndarray, fold: np.ndarray, classes: list[int], folds: int) -> list[np.ndarray]:
+    """Of each class: where its folds begin and end in a block's sorted rows."""
+    code = y.astype(np.int64) * folds + fold
+    return [np.searchsorted(code, cls * folds + np.arange(folds + 1)) for cls in classes]
+
+
+def _train(data, bare, pairs, sizes, cs, folds, steps) -> list[MarginClassifier]:
+    d, w, classes = len(bare.inputs), len(bare.landmarks) + 1, bare.classes
+    per = folds + 1  # machines of a pair: one on all rows, one without each fold
+    n_models = len(pairs) * per
+    white, upper = bare.whitening(), np.triu_indices(w)
+    part = w + len(upper[0])
     ridge = np.eye(w)
     ridge[-1, -1] = 1e-6
+    weights = np.zeros((len(cs), n_models, w))
+    going = list(range(len(cs)))
 
     for _ in range(steps):
-        now = weights.copy()
+        now = np.ascontiguousarray((weights[going].reshape(-1, w) @ white.T).T)  # for kernel values
 
         def moments(x, y, fold):
             """Gradient and Hessian sums of every machine's squared slack."""
-            out = np.zeros((n_models, part))
-            v = model.vectors(x)
-            for k, (i, j) in enumerate(pairs):
-                at = np.flatnonzero((y == classes[i]) | (y == classes[j]))
-                if not len(at):
-                    continue
-                sign = np.where(y[at] == classes[i], 1.0, -1.0)
-                share = np.where(sign > 0, 0.5 / sizes[classes[i]], 0.5 / sizes[classes[j]])
-                slack = 1 - sign[:, None] * (v[at] @ now[k * (folds + 1): (k + 1) * (folds + 1)].T)
-                for f in range(folds + 1):
-                    on = np.flatnonzero((slack[:, f] > 0) & (fold[at] != f - 1))
-                    a = v[at[on]]
-                    out[k * (folds + 1) + f, :w] = a.T @ (share[on] * sign[on] * slack[on, f])
-                    out[k * (folds + 1) + f, w:] = ((a * share[on][:, None]).T @ a).ravel()
+            out = np.zeros((len(now.T) // per, per, part))
+            v, ranges = bare.kernel(x), _ranges(y, fold, classes, folds)
+            margins = v @ now
+            for k, (_, (i, j)) in enumerate((c, pair) for c in range(len(out) // len(pairs)) for pair in pairs):
+                for cls, sign in ((i, 1.0), (j, -1.0)):
+                    at = ranges[cls]
+                    if at[0] == at[-1]:
+                        continue
+                    own, share = v[at[0]: at[-1]], 0.5 / sizes[classes[cls]]
+                    slack = np.maximum(1 - sign * margins[at[0]: at[-1], k * per: (k + 1) * per], 0.0)
+                    for f in range(folds):
+                        slack[at[f] - at[0]: at[f + 1] - at[0], f + 1] = 0.0  # not on its own rows
+                    out[k, :, :w] += share * sign * (slack.T @ own)
+                    on = slack > 0
+                    for f in range(folds):
+                        rows = slice(at[f] - at[0], at[f + 1] - at[0])
+                        others = [m for m in range(per) if m != f + 1]
+                        every = on[rows][:, others].all(1)
+                        a = own[rows][every]
+                        out[k, others, w:] += share * (a.T @ a)[upper]
+                        on[rows] &= ~every[:, None]
+                    for m in range(per):
+                        a = own[on[:, m]]
+                        if len(a):
+                            out[k, m, w:] += share * (a.T @ a)[upper]
             return out.ravel()
 
-        total = _each(data, d, n_models * part, moments).reshape(n_models, part)
-        moved = 0.0
-        for k in range(n_models):
-            hess = ridge + c * SLACK * total[k, w:].reshape(w, w)
-            step = np.linalg.solve(hess, c * SLACK * total[k, :w] - ridge @ weights[k])
-            weights[k] += step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-6:
+        total = _each(data, d, len(going) * n_models * part, moments).reshape(len(going), n_models, part)
+        moved = np.zeros(len(going))
+        for k, c in enumerate(going):
+            for m in range(n_models):
+                hess = np.zeros((w, w))
+                hess[upper] = total[k, m, w:]
+                hess = white.T @ (hess + np.triu(hess, 1).T) @ white
+                step = np.linalg.solve(ridge + cs[c] * SLACK * hess, cs[c] * SLACK * (white.T @ total[k, m, :w]) - ridge @ weights[c, m])
+                weights[c, m] += step
+                moved[k] = max(moved[k], float(np.abs(step).max()))
+        going = [c for c, far in zip(going, moved) if far >= 1e-6]
+        if not going:
             break
-    model.weights = weights[:: folds + 1]
+    now = np.ascontiguousarray((weights.reshape(-1, w) @ white.T).T)
 
     def histogram(x, y, fold):
         """Out-of-fold margins of each pair's rows, by class."""
-        out = np.zeros((len(pairs), 2, _BINS))
-        v = model.vectors(x)
-        for k, (i, j) in enumerate(pairs):
-            for f in range(folds):
-                own = (fold == f) & ((y == classes[i]) | (y == classes[j]))
-                at = np.clip(((v[own] @ weights[k * (folds + 1) + f + 1] + _REACH) * _STEP).astype(int), 0, _BINS - 1)
-                for side, cls in enumerate((classes[j], classes[i])):
-                    out[k, side] += np.bincount(at[y[own] == cls], minlength=_BINS)
+        out = np.zeros((len(cs) * len(pairs), 2, _BINS))
+        margins, ranges = bare.kernel(x) @ now, _ranges(y, fold, classes, folds)
+        for k, (i, j) in enumerate(pairs * len(cs)):
+            for side, cls in enumerate((j, i)):
+                for f in range(folds):
+                    own = margins[ranges[cls][f]: ranges[cls][f + 1], k * per + f + 1]
+                    at = np.clip(((own + _REACH) * _STEP).astype(int), 0, _BINS - 1)
+                    out[k, side] += np.bincount(at, minlength=_BINS)
         return out.ravel()
 
-    counted = _each(data, d, len(pairs) * 2 * _BINS, histogram).reshape(len(pairs), 2, _BINS)
-    model.sigmoids = np.array([_sigmoid(*h) for h in counted])
-    return model
+    counted = _each(data, d, len(cs) * len(pairs) * 2 * _BINS, histogram).reshape(len(cs), len(pairs), 2, _BINS)
+    return [replace(bare, weights=own[::per], sigmoids=np.array([_sigmoid(*h) for h in hists])) for own, hists in zip(weights, counted)]

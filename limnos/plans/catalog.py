@@ -711,7 +711,8 @@ def _margin_scores(spark, d) -> dict[float, DataFrame]:
     from limnos.operators import margin_classifier
     data = planted(spark, d)
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    return {c: margin_classifier.fit(train, PLANT_INPUTS, "class_idx", ["l_orderkey", "l_linenumber"], c=c).predict_proba(test, "p") for c in MARGIN_C}
+    models = margin_classifier.fit_each(train, PLANT_INPUTS, "class_idx", ["l_orderkey", "l_linenumber"], MARGIN_C)
+    return {c: model.predict_proba(test, "p") for c, model in zip(MARGIN_C, models)}
 
 
 @register("margin_classifier", _PLANT_SQL + "SELECT c, class_idx, count(*) AS n_test, true AS right, true AS sharp, true AS calibrated "
