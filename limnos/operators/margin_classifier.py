@@ -6,9 +6,9 @@
 * One against one: a linear machine with squared hinge loss for each pair of
   classes, by Newton steps.  A step is one job in which every block of rows adds
   to the gradients and Hessians of all machines at once, over kernel values; the
-  driver whitens the sums.  A pair's machines differ little, so rows with slack
-  under all of them enter one product that they share, and only the others
-  enter products of their own.
+  driver whitens the sums.  A Hessian rests on the rows with slack, so after the
+  first step only those that gained or lost theirs enter a product; a pair's
+  machines differ little, so where all of them agree the product is shared.
 * Calibration: rows fall into folds by a hash of their key; next to the machine
   on all rows, each fold has one that was fitted without it.  Margins of rows
   under the machine that has not seen them go into one histogram a pair, on which
@@ -225,55 +225,79 @@ def _train(data, bare, pairs, sizes, cs, folds, steps) -> list[MarginClassifier]
     part = w + len(upper[0])
     ridge = np.eye(w)
     ridge[-1, -1] = 1e-6
-    weights = np.zeros((len(cs), n_models, w))
-    going = list(range(len(cs)))
+    weights, curved = np.zeros((len(cs), n_models, w)), np.zeros((len(cs), n_models, part - w))
+    going, before = list(range(len(cs))), None
+
+    def columns(of):  # for kernel values
+        return np.ascontiguousarray((weights[of].reshape(-1, w) @ white.T).T)
 
     for _ in range(steps):
-        now = np.ascontiguousarray((weights[going].reshape(-1, w) @ white.T).T)  # for kernel values
+        n_going, now = len(going), columns(going)
+        both = now if before is None else np.hstack([now, before])
 
         def moments(x, y, fold):
-            """Gradient and Hessian sums of every machine's squared slack."""
-            out = np.zeros((len(now.T) // per, per, part))
+            """Gradient sums of every machine's squared slack, and what its
+            Hessian gained since the step before."""
+            out = np.zeros((n_going * len(pairs), per, part))
             v, ranges = bare.kernel(x), _ranges(y, fold, classes, folds)
-            margins = v @ now
-            for k, (_, (i, j)) in enumerate((c, pair) for c in range(len(out) // len(pairs)) for pair in pairs):
+            margins, whole = v @ both, {}
+
+            def slacks(cls, sign, first):
+                at = ranges[cls]
+                slack = np.maximum(1 - sign * margins[at[0]: at[-1], first: first + per], 0.0)
+                for f in range(folds):
+                    slack[at[f] - at[0]: at[f + 1] - at[0], f + 1] = 0.0  # not on its own rows
+                return slack
+
+            for k, (i, j) in enumerate(pairs * n_going):
                 for cls, sign in ((i, 1.0), (j, -1.0)):
                     at = ranges[cls]
                     if at[0] == at[-1]:
                         continue
                     own, share = v[at[0]: at[-1]], 0.5 / sizes[classes[cls]]
-                    slack = np.maximum(1 - sign * margins[at[0]: at[-1], k * per: (k + 1) * per], 0.0)
-                    for f in range(folds):
-                        slack[at[f] - at[0]: at[f + 1] - at[0], f + 1] = 0.0  # not on its own rows
+                    slack = slacks(cls, sign, k * per)
                     out[k, :, :w] += share * sign * (slack.T @ own)
                     on = slack > 0
-                    for f in range(folds):
-                        rows = slice(at[f] - at[0], at[f + 1] - at[0])
-                        others = [m for m in range(per) if m != f + 1]
-                        every = on[rows][:, others].all(1)
-                        a = own[rows][every]
-                        out[k, others, w:] += share * (a.T @ a)[upper]
-                        on[rows] &= ~every[:, None]
-                    for m in range(per):
-                        a = own[on[:, m]]
-                        if len(a):
-                            out[k, m, w:] += share * (a.T @ a)[upper]
+                    was = slacks(cls, sign, now.shape[1] + k * per) > 0 if before is not None else np.zeros_like(on)
+                    for weight, moved in ((share, on & ~was), (-share, was & ~on)):
+                        for f in range(folds):
+                            rows = slice(at[f] - at[0], at[f + 1] - at[0])
+                            others = [m for m in range(per) if m != f + 1]
+                            every = moved[rows][:, others].all(1)
+                            if not every.any():
+                                continue
+                            if not every.all():
+                                a = own[rows][every]
+                                product = (a.T @ a)[upper]
+                            else:  # as in the first step
+                                if (cls, f) not in whole:
+                                    whole[cls, f] = (own[rows].T @ own[rows])[upper]
+                                product = whole[cls, f]
+                            out[k, others, w:] += weight * product
+                            moved[rows] &= ~every[:, None]
+                        for m in range(per):
+                            a = own[moved[:, m]]
+                            if len(a):
+                                out[k, m, w:] += weight * (a.T @ a)[upper]
             return out.ravel()
 
-        total = _each(data, d, len(going) * n_models * part, moments).reshape(len(going), n_models, part)
-        moved = np.zeros(len(going))
+        total = _each(data, d, n_going * n_models * part, moments).reshape(n_going, n_models, part)
+        curved[going] += total[:, :, w:]
+        moved = np.zeros(n_going)
         for k, c in enumerate(going):
             for m in range(n_models):
                 hess = np.zeros((w, w))
-                hess[upper] = total[k, m, w:]
+                hess[upper] = curved[c, m]
                 hess = white.T @ (hess + np.triu(hess, 1).T) @ white
                 step = np.linalg.solve(ridge + cs[c] * SLACK * hess, cs[c] * SLACK * (white.T @ total[k, m, :w]) - ridge @ weights[c, m])
                 weights[c, m] += step
                 moved[k] = max(moved[k], float(np.abs(step).max()))
-        going = [c for c, far in zip(going, moved) if far >= 1e-6]
+        left = [k for k, far in enumerate(moved) if far >= 1e-6]
+        going = [going[k] for k in left]
+        before = now.reshape(w, n_going, n_models)[:, left].reshape(w, -1)
         if not going:
             break
-    now = np.ascontiguousarray((weights.reshape(-1, w) @ white.T).T)
+    now = columns(slice(None))
 
     def histogram(x, y, fold):
         """Out-of-fold margins of each pair's rows, by class."""

@@ -78,3 +78,17 @@ def test_probabilities_query(spark):
     assert all(r.p0 + r.p1 + r.p2 + r.p3 == pytest.approx(1, abs=1e-5) for r in rows)
     hits = [max(range(4), key=lambda k: r[f"p{k}"]) == r.class_idx for r in rows]
     assert sum(hits) > 0.8 * len(hits)
+
+
+def test_fits_side_by_side_equal_single_ones(spark):
+    x, _, df = frame(spark)
+    both = mc.fit_each(df, ["a", "b"], "y", ["k"], (0.02, 2.0), n_landmarks=20)
+    for c, model in zip((0.02, 2.0), both):
+        alone = mc.fit(df.repartition(5), ["a", "b"], "y", ["k"], c=c, n_landmarks=20)
+        assert np.allclose(model.probabilities(x), alone.probabilities(x), atol=1e-6)
+    assert not np.allclose(both[0].weights, both[1].weights, atol=1e-3)
+
+
+def test_a_partition_holds_many_rows():
+    # a step's sums reach the driver once a partition: few of them at any size
+    assert mc.PART_ROWS >= 1_000_000
