@@ -36,8 +36,9 @@ UNITS = float(1 << 20)
 _OCTAVE, _LOWEST, _CLASSES = 16, -20, 16 * 40
 
 #: Rows of a partition of the cached bins: at most, and at least while that
-#: leaves cores idle.  The model does not depend on them.
-PART_ROWS, LEAST_ROWS = 250_000, 20_000
+#: leaves cores idle.  The model does not depend on them.  A fit has a hundred
+#: jobs and more, so a partition's rows must outweigh its task.
+PART_ROWS, LEAST_ROWS = 2_000_000, 20_000
 
 #: Delta of the loss that the curve reports (fixed value).
 CURVE_DELTA = 1.0
@@ -54,13 +55,16 @@ class Tree:
 
     def leaf(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Place in the level that lies ``levels`` below the root."""
-        at = np.zeros(x.shape[1], np.int16)
-        for level in range(self.depth if levels is None else levels):
-            right = np.zeros(len(at), bool)
-            for k in range(1 << level):  # whole columns at a time: no gathers
-                node = (1 << level) - 1 + k
-                np.copyto(right, x[self.inputs[node]] > self.bins[node], where=at == k)
-            at = 2 * at + right
+        levels = self.depth if levels is None else levels
+        at = np.zeros(x.shape[1], np.uint8 if levels <= 8 else np.int64)
+        turns: list[np.ndarray] = []
+        for level in range(levels):  # whole columns at a time: no gathers
+            first = (1 << level) - 1
+            right = [x[self.inputs[first + k]] > self.bins[first + k] for k in range(1 << level)]
+            for turn in reversed(turns):  # of two neighbours the one that lies on the row's way
+                right = [(turn & b) | (~turn & a) for a, b in zip(right[::2], right[1::2])]
+            turns.append(right[0])
+            at = 2 * at + right[0]
         return at
 
 
@@ -101,8 +105,8 @@ def _huber(r: np.ndarray, delta: float) -> np.ndarray:
 
 def _pass(data: DataFrame, model: HuberBoost, tree: Tree, level: int, delta: float, n_bins: int,
           report: float = CURVE_DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over the rows: histograms (clipped, within delta, count) by node,
-    input and bin; (rows, loss) of training and validation; classes of absolute
+    """Sums over the rows: histograms (clipped; within delta, on the last level
+    only; count) by node, input and bin; (rows, loss) of training and validation; classes of absolute
     residuals of the training rows."""
     p, nodes = len(model.inputs), 1 << level
 
@@ -112,24 +116,29 @@ def _pass(data: DataFrame, model: HuberBoost, tree: Tree, level: int, delta: flo
         for x, y, val in (block for b in batches for block in zip(*(c.to_pylist() for c in b.columns))):
             y, val = np.frombuffer(y), np.frombuffer(val, bool)
             x = np.frombuffer(x, np.uint8).reshape(p, -1)
+            fitted = int(np.searchsorted(val, True))  # the validation rows come last
+            if level:
+                x, y = x[:, :fitted], y[:fitted]
             r = y - model.raw(x)
             if level == 0:
-                for k, own in enumerate((~val, val)):
-                    loss[2 * k] += int(own.sum())
-                    loss[2 * k + 1] += int(np.round(_huber(r[own], report) * UNITS).astype(np.int64).sum())
-            x, r = x[:, ~val], r[~val]
+                for k, own in enumerate((r[:fitted], r[fitted:])):
+                    loss[2 * k] += len(own)
+                    loss[2 * k + 1] += int(np.round(_huber(own, report) * UNITS).astype(np.int64).sum())
+            x, r = x[:, :fitted], r[:fitted]
             if level == 0:
                 place = np.floor(_OCTAVE * (np.log2(np.maximum(np.abs(r), 2.0**_LOWEST)) - _LOWEST)).astype(np.int64)
                 sizes += np.bincount(np.minimum(place, _CLASSES - 1), minlength=_CLASSES)
             clipped = np.round(np.clip(r, -delta, delta) / delta * UNITS)
-            inside = np.abs(r) <= delta
-            node = tree.leaf(x, level).astype(np.int64) * (p * n_bins)
-            for k in range(p):
-                at = node + (k * n_bins + x[k].astype(np.int64))
+            last = level == tree.depth - 1  # only leaves' values need what lies within delta
+            inside = (np.abs(r) <= delta).astype(float) if last else None
+            node = tree.leaf(x, level).astype(np.int64) * n_bins
+            for k, part in enumerate(hist.reshape(3, nodes, p, n_bins).transpose(2, 0, 1, 3)):
+                at = node + x[k]
                 # exact: doubles hold the integer sums of a batch
-                hist[0] += np.bincount(at, clipped, hist.shape[1]).astype(np.int64)
-                hist[1] += np.bincount(at, inside, hist.shape[1]).astype(np.int64)
-                hist[2] += np.bincount(at, minlength=hist.shape[1])
+                part[0] += np.bincount(at, clipped, nodes * n_bins).astype(np.int64).reshape(nodes, n_bins)
+                if last:
+                    part[1] += np.bincount(at, inside, nodes * n_bins).astype(np.int64).reshape(nodes, n_bins)
+                part[2] += np.bincount(at, minlength=nodes * n_bins).reshape(nodes, n_bins)
         yield pa.RecordBatch.from_arrays([pa.array([hist.tobytes()], pa.binary()), pa.array([loss.tobytes()], pa.binary()),
                                           pa.array([sizes.tobytes()], pa.binary())], ["hist", "loss", "sizes"])
 
@@ -204,7 +213,8 @@ def fit(train: DataFrame, inputs: Sequence[str], label: Column, key_cols: Sequen
         for b in batches:
             if b.num_rows:
                 *x, y, val = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-                x = bare.binned([c.astype(float) for c in x])
+                order = np.argsort(val.astype(bool), kind="stable")  # validation rows last
+                x, y, val = bare.binned([c.astype(float)[order] for c in x]), y[order], val[order]
                 yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (x, y.astype(float), val.astype(bool))], ["x", "y", "val"])
 
     spark, path = train.sparkSession, scratch_path(train.sparkSession, "boost-bins")

@@ -103,3 +103,8 @@ def test_training_curve_query(spark):
     assert [r.iteration for r in rows] == list(range(1, len(rows) + 1)) and len(rows) >= 10
     assert rows[-1].train_loss < 0.5 * rows[0].train_loss
     assert all(r.val_loss is not None and r.delta > 0 and 0 < r.step <= 0.3 for r in rows)
+
+
+def test_a_fit_has_few_tasks_for_many_rows():
+    # each of its jobs has a task a partition: at 250,000 rows the tasks cost more than the rows
+    assert -(-100_000_000 // hb.PART_ROWS) <= 100
