@@ -33,7 +33,7 @@ from limnos.functions.labels import N_CLASSES
 from limnos.operators import huber_boost
 from limnos.operators.metrics import huber_term
 from limnos.operators.probabilities import align_probabilities
-from limnos.session import FIT_PARTITIONS, deal
+from limnos.session import deal, fit_partitions
 
 K = N_CLASSES
 
@@ -90,28 +90,28 @@ class RbfClassifier:
 
 def fit_rbf_classifier(train: DataFrame, inputs: Sequence[str], label: str = "class_idx",
                        n_features: int = 64, gamma: float | None = None, reg: float = 1e-3,
-                       max_iter: int = 100, seed: int = 42, partitions: int = FIT_PARTITIONS) -> RbfClassifier:
+                       max_iter: int = 100, seed: int = 42, partitions: int | None = None) -> RbfClassifier:
     """Balanced-weight multinomial logistic regression on Fourier features.
 
-    One pass deals and caches the input columns and counts the classes; the
-    counts (at most four) become literal weights."""
+    One pass counts the classes; the counts (at most four) become literal weights
+    and give the number of partitions, unless ``partitions`` does.  One deals and
+    caches the input columns; the features are made from them as the fit, which
+    keeps its own blocks of them, reads them."""
     fmap = FourierMap.make(inputs, n_features, gamma, seed)
-    base = deal(train.filter(F.col(label).isNotNull()).select(*inputs, F.col(label).cast("double").alias("_y")),
-                "_y", *inputs, partitions=partitions).persist()
-    sizes = {int(r["_y"]): r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}   # <= 4 rows
+    rows = train.filter(F.col(label).isNotNull()).select(*inputs, F.col(label).cast("double").alias("_y"))
+    sizes = {int(r["_y"]): r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}   # <= 4 rows
     present = sorted(sizes)
     if len(present) < 2:
-        base.unpersist()
         raise ValueError("fewer than 2 classes in the training rows")
+    base = deal(rows, "_y", *inputs, partitions=partitions or fit_partitions(sum(sizes.values()))).persist()
     total, weight = sum(sizes.values()), F.lit(None).cast("double")
     for c in present:
         weight = F.when(F.col("_y") == c, F.lit(total / (len(present) * sizes[c]))).otherwise(weight)
     tmp = RbfClassifier(fmap, None, present)  # type: ignore[arg-type]
-    feats = tmp.features(base.withColumn("_w", weight)).select("_rff", "_y", "_w").persist()
+    feats = tmp.features(base.withColumn("_w", weight)).select("_rff", "_y", "_w")
     lr = LogisticRegression(featuresCol="_rff", labelCol="_y", weightCol="_w", family="multinomial",
                             regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
     model = lr.fit(feats)
-    feats.unpersist()
     base.unpersist()
     return RbfClassifier(fmap, model, present)
 
@@ -153,17 +153,18 @@ class ChlRegressor:
 def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols: Sequence[str],
                   log_target: bool = True, max_iter: int = 60, max_depth: int = 4,
                   step: float = 0.1, valid_fraction: float = 0.1, tol: float = 1e-4,
-                  seed: int = 42, partitions: int = FIT_PARTITIONS) -> tuple[ChlRegressor, DataFrame, DataFrame]:
+                  seed: int = 42, partitions: int | None = None) -> tuple[ChlRegressor, DataFrame, DataFrame]:
     """GBT with early stopping on a hash-chosen validation slice of ``train``.
 
-    Returns the model and the (fit, validation) parts used.
+    ``partitions`` follows the number of rows unless it is given.  Returns the
+    model and the (fit, validation) parts used.
     """
     inputs = list(inputs)
     h = F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed + 7)), F.lit(10_000))
     marked = train.withColumn("_val", h < int(valid_fraction * 10_000))
     y = F.log1p(F.col(target)) if log_target else F.col(target)
     data = deal(VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y)),
-                *key_cols, partitions=partitions).select("_x", "_y", "_val").persist()
+                *key_cols, partitions=partitions or fit_partitions(train.count())).select("_x", "_y", "_val").persist()
     gbt = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step, validationIndicatorCol="_val",
                        validationTol=tol, seed=seed, lossType="squared")

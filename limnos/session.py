@@ -86,8 +86,13 @@ def land(df, name: str):
 
 #: Partitions of the frames that models are fitted on.  Split candidates are
 #: drawn per partition, so a model depends on this number: it is a parameter,
-#: never the core count.  Raise it with the data.
-FIT_PARTITIONS = 8
+#: never the core count.  Beyond FIT_ROWS rows a partition their number grows
+#: with the rows, so that no task grows with the input.
+FIT_PARTITIONS, FIT_ROWS = 8, 250_000
+
+
+def fit_partitions(rows: int) -> int:
+    return max(FIT_PARTITIONS, -(-rows // FIT_ROWS))
 
 
 def deal(df, *keys, partitions: int = FIT_PARTITIONS):

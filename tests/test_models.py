@@ -57,3 +57,15 @@ def test_regressor_beats_mean_and_is_reproducible(spark, planted):
     a = reg.predict(test).select("chl_pred").orderBy("chl_pred").limit(20).collect()
     b = reg2.predict(test).select("chl_pred").orderBy("chl_pred").limit(20).collect()
     assert a == b
+
+
+def test_partitions_of_a_fit_grow_with_the_rows(spark, monkeypatch):
+    from limnos import session
+    from limnos.operators import models as md
+    seen = []
+    monkeypatch.setattr(session, "FIT_ROWS", 20)
+    monkeypatch.setattr(md, "deal", lambda df, *keys, partitions: seen.append(partitions) or session.deal(df, *keys, partitions=partitions))
+    df = spark.range(400).selectExpr("id k", "double(id % 20) a", "double(id % 7) b", "int(id % 2) y")
+    md.fit_rbf_classifier(df, ["a", "b"], "y", n_features=4, max_iter=3)
+    md.fit_regressor(df, ["a", "b"], "a", ["k"], max_iter=2, max_depth=2)
+    assert seen == [20, 20]
