@@ -105,6 +105,14 @@ def _in_order(frames) -> pd.DataFrame:
     return part[part["_us"].notna()].sort_values(["_us", "raw"], kind="stable", na_position="last")
 
 
+def _counts_in_order(frames) -> np.ndarray:
+    """Counts of one probe's readings (none null) by time, then count: probes
+    are many and their readings few, so this goes without pandas' indexes."""
+    frames = list(frames)
+    us, raw = (np.concatenate([f[c].to_numpy(np.int64) for f in frames]) for c in ("_us", "raw"))
+    return raw[np.lexsort((raw, us))]
+
+
 def rate_limit_stream(df: DataFrame, every_ms: int = 1000, keys: Sequence[str] = PROBE, ts: str = "ts") -> DataFrame:
     """:func:`rate_limit` on a stream: (keys, us, raw, late), us being the time in
     microseconds since 1970.
@@ -173,7 +181,7 @@ def bursts_stream(df: DataFrame, size: int = BURST, keys: Sequence[str] = PROBE,
     rows = _micros(df, ts).where("_us IS NOT NULL AND raw IS NOT NULL").select(*keys, "_us", "raw")
 
     def fill(key, frames, state):
-        raw = _in_order(frames)["raw"].to_numpy(np.int64)
+        raw = _counts_in_order(frames)
         burst, n, total = state.get if state.exists else (0, 0, 0)
         place = burst * size + n + np.arange(len(raw))
         numbers, first = np.unique(place // size, return_index=True)
@@ -185,10 +193,9 @@ def bursts_stream(df: DataFrame, size: int = BURST, keys: Sequence[str] = PROBE,
         if len(numbers):
             full = counts[-1] == size
             state.update((int(numbers[-1]) + int(full), 0 if full else int(counts[-1]), 0 if full else int(sums[-1])))
-        out = pd.DataFrame({"burst": numbers, "_n": counts, "_total": sums})
-        for name, value in zip(keys, key):
-            out[name] = value
-        yield out[[*keys, "burst", "_n", "_total"]]
+        # built with its keys at once: a column set on a finished frame costs more than all the rest
+        own = {name: np.full(len(numbers), value, object if value is None or isinstance(value, str) else None) for name, value in zip(keys, key)}
+        yield pd.DataFrame(own | {"burst": numbers, "_n": counts, "_total": sums})
 
     filled = rows.groupBy(*keys).applyInPandasWithState(
         fill, f"{_key_fields(df, keys)}, burst long, _n long, _total long", "burst long, n long, total long", "update", "NoTimeout")

@@ -110,3 +110,10 @@ def test_bursts_of_a_split_probe(spark, many_shards):
     got = {r.burst: r for r in telemetry.bursts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(got) == 101 and got[100].n == 5 and not got[100].complete
     assert all(got[b].raw_avg == sum(k % 1024 for k in range(10 * b, 10 * b + 10)) / 10 for b in range(100))
+
+
+def test_counts_of_a_probe_come_by_time_then_count():
+    import pandas as pd
+    from limnos.streaming import telemetry
+    frames = [pd.DataFrame({"_us": [3, 1], "raw": [5, 9]}), pd.DataFrame({"_us": [1, 2], "raw": [7, 1]})]
+    assert telemetry._counts_in_order(iter(frames)).tolist() == [7, 9, 1, 5]
