@@ -5,15 +5,17 @@ survive scale.  The plan here is the pivot-partitioned kNN join:
 
 1. ``P`` pivots are drawn from the training rows (smallest hash of the key:
    deterministic, a bounded top-P).  Each training row joins the cell of its
-   nearest pivot; per cell we keep only its size, its radius and the ``k``
-   smallest pivot distances (``P·(k+2)`` numbers reach the driver).
+   nearest pivot; per cell we keep only its size and its radius (``2·P``
+   numbers reach the driver).
 2. For a query q with pivot distances d(q, p_c), every training point t in
-   cell c satisfies ``d(q,p_c) - r_c <= d(q,t) <= d(q,p_c) + d(p_c,t)``
-   (triangle inequality).  Phase 1 searches only the (at most k) "seed"
-   cells holding the k smallest upper bounds — they contain k real points,
-   so each query gets a true k-th-neighbour distance.  Phase 2 routes the
-   query to every cell whose lower bound is within that distance and to no
-   other: exactness is kept, no pair outside the candidate cells is formed.
+   cell c satisfies ``d(q,p_c) - r_c <= d(q,t)`` (triangle inequality).
+   Phase 1 searches only the "seed" cells, the nearest ones that together hold
+   k real points, so each query gets a distance within which k neighbours lie.
+   Phase 2 routes the query to every cell whose lower bound is within that
+   distance and to no other: exactness is kept, no pair outside the candidate
+   cells is formed.  Many distances at once come from matrix products, with a
+   bound on their rounding error that only ever widens a search; those that
+   decide are computed from the differences.
    About sqrt(n) pivots keep cells small enough for the bound to prune.
 3. A cell may be hot (a third of all rows): training cells are cut into
    blocks of at most ``block_rows`` rows and the queries of a cell into
@@ -41,7 +43,8 @@ from limnos.session import land
 DEFAULT_K = 7
 DEFAULT_BLOCK_ROWS = 4096
 _SLACK_REL, _SLACK_ABS = 1e-9, 1e-12
-_ROUTE_CELLS = 8_000_000
+#: Numbers that a step of a worker holds in one array.
+_CELLS = 2_000_000
 
 
 def _cols(prefix: str, dim: int) -> list[str]:
@@ -55,13 +58,21 @@ def _flat(df: DataFrame, vec: str, prefix: str, dim: int) -> list:
     return [v.getItem(i).alias(f"{prefix}{i}") for i in range(dim)]
 
 
-def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Euclidean distances (n × P) by explicit differences (no cancellation)."""
-    out = np.empty((x.shape[0], pivots.shape[0]))
-    for j in range(pivots.shape[0]):
-        diff = x - pivots[j]
-        out[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return out
+def _distances(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Euclidean distances (n × m) by products, and for each row of ``x`` a
+    bound of their errors."""
+    centre = y.mean(axis=0)
+    x, y = x - centre, y - centre
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    out = x @ (-2.0 * y.T)
+    out += xx[:, None]
+    out += yy[None, :]
+    np.sqrt(np.maximum(out, 0.0, out=out), out=out)
+    return out, np.sqrt(1e-12 * (xx + yy.max()))
+
+
+def _exact(diff: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
 
 def choose_pivots(train: DataFrame, key: str, vec: str, n_pivots: int, seed: int = 42) -> np.ndarray:
@@ -83,11 +94,11 @@ def _assign_cells(train: DataFrame, key: str, vec: str, label: str, pivots: np.n
             if len(pdf) == 0:
                 continue
             x = pdf[tcols].to_numpy(dtype=np.float64)
-            d = _pivot_distances(x, pivots)
-            cell = d.argmin(axis=1)
+            step = max(1, _CELLS // len(pivots))
+            cell = np.concatenate([_distances(x[s:s + step], pivots)[0].argmin(axis=1) for s in range(0, len(x), step)])
             out = pdf[["tkey", "label"]].astype({"tkey": "int64", "label": "int32"})
             out["cell"] = cell.astype("int32")
-            out["dp"] = d[np.arange(len(x)), cell]
+            out["dp"] = _exact(x - pivots[cell])
             yield pd.concat([out.reset_index(drop=True), pdf[tcols].reset_index(drop=True)], axis=1)
 
     src = train.select(F.col(key).cast("long").alias("tkey"), F.col(label).cast("int").alias("label"),
@@ -95,82 +106,70 @@ def _assign_cells(train: DataFrame, key: str, vec: str, label: str, pivots: np.n
     return src.mapInPandas(assign, schema)
 
 
-def _cell_stats(assigned: DataFrame, k: int, n_pivots: int):
-    """(count, radius, k smallest pivot distances) per cell — bounded."""
-    agg = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r")).collect()
-    w = Window.partitionBy("cell").orderBy("dp", "tkey")
-    small = (assigned.select("cell", "dp", "tkey").withColumn("_rk", F.row_number().over(w))
-             .filter(F.col("_rk") <= k).select("cell", "dp").collect())
+def _cell_stats(assigned: DataFrame, n_pivots: int):
+    """(count, radius) per cell — bounded."""
     counts = np.zeros(n_pivots, dtype=np.int64)
     radius = np.full(n_pivots, -np.inf)
-    nearest = np.full((n_pivots, k), np.inf)
-    for r in agg:
+    for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dp").alias("r")).collect():
         counts[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
-    fill = np.zeros(n_pivots, dtype=np.int64)
-    for r in sorted(small, key=lambda r: (r["cell"], r["dp"])):
-        c = r["cell"]
-        nearest[c, fill[c]] = r["dp"]
-        fill[c] += 1
-    return counts, radius, nearest
-
-
-def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, nearest: np.ndarray,
-                   counts: np.ndarray, tblocks: np.ndarray, k: int, mode: str = "bound") -> DataFrame:
+    return counts, radius
+
+
+def _seeds(d: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Of each row of distances: the nearest cells that hold ``k`` rows together."""
+    d = np.where(counts[None, :] > 0, d, np.inf)
+    cand = np.zeros(d.shape, dtype=bool)
+    rows, m = np.arange(len(d)), min(4, d.shape[1])
+    while len(rows):
+        near = np.argpartition(d[rows], m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d[rows], near, axis=1), axis=1), axis=1)
+        held = np.cumsum(counts[near], axis=1)
+        cand[rows[:, None], near] = held - counts[near] < k
+        rows = rows[held[:, -1] < k] if m < d.shape[1] else rows[:0]
+        m = min(8 * m, d.shape[1])
+    return cand & (counts[None, :] > 0)
+
+
+def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, counts: np.ndarray,
+                   tblocks: np.ndarray, k: int) -> DataFrame:
     """Each query (qkey, q0..q{d-1}[, dk]) -> one row per (candidate cell,
-    train block of that cell).
-
-    ``mode="seed"``: only the (at most k) cells whose pivot bounds give the
-    k smallest upper bounds — together they hold at least k points.
-    ``mode="bound"``: every cell whose lower bound is within the query's
-    radius: the column ``dk`` when present (a true k-th distance), else the
-    k-th smallest pivot upper bound.
-    """
+    train block of that cell): with ``dk``, a distance within which k rows lie,
+    every cell whose lower bound is within it; without, the seed cells.  Rows
+    leave in pieces of bounded size however many cells a query goes to."""
     dim = pivots.shape[1]
     qcols = _cols("q", dim)
+    bounded = ["dk"] if "dk" in queries.columns else []
     schema = T.StructType([T.StructField("qkey", T.LongType()), T.StructField("cell", T.IntegerType()),
                            T.StructField("tblock", T.IntegerType())]
-                          + [T.StructField(c, T.DoubleType()) for c in qcols])
-    nonempty = counts > 0
+                          + [T.StructField(c, T.DoubleType()) for c in qcols + bounded])
+    piece = max(1, _CELLS // (dim * int(tblocks.max())))
 
     def route(batches):
         for whole in batches:
-            step = max(1, _ROUTE_CELLS // (len(pivots) * nearest.shape[1]))    # bounded (step × P × k) temporaries
+            step = max(1, _CELLS // len(pivots))
             for s in range(0, len(whole), step):
                 yield from route_chunk(whole.iloc[s:s + step])
 
     def route_chunk(pdf):
-        if len(pdf) == 0:
-            return
-        q = pdf[qcols].to_numpy(dtype=np.float64)
-        d = _pivot_distances(q, pivots)                           # nq × P
-        ub_all = (d[:, :, None] + nearest[None, :, :]).reshape(len(q), -1)
-        kk = min(k, ub_all.shape[1])
-        if mode == "seed":
-            best = np.argpartition(ub_all, kk - 1, axis=1)[:, :kk] // nearest.shape[1]
-            cand = np.zeros(d.shape, dtype=bool)
-            np.put_along_axis(cand, best, True, axis=1)
-            cand &= nonempty[None, :]
+        q, keys = pdf[qcols].to_numpy(dtype=np.float64), pdf["qkey"].to_numpy().astype("int64")
+        d, off = _distances(q, pivots)                            # nq × P
+        if bounded:
+            dk = pdf["dk"].to_numpy(dtype=np.float64)
+            ub = np.where(np.isfinite(dk), dk * (1 + _SLACK_REL) + _SLACK_ABS, np.inf)
+            cand = ((d - radius[None, :]) <= (ub + off)[:, None]) & (counts > 0)[None, :]
         else:
-            if "dk" in pdf.columns:
-                ub = pdf["dk"].to_numpy(dtype=np.float64)
-            else:
-                ub = np.partition(ub_all, kk - 1, axis=1)[:, kk - 1]
-            ub = np.where(np.isfinite(ub), ub * (1 + _SLACK_REL) + _SLACK_ABS, np.inf)
-            cand = ((d - radius[None, :]) <= ub[:, None]) & nonempty[None, :]
-        qi, ci = np.nonzero(cand)
-        reps = tblocks[ci]
-        qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
-        starts = np.repeat(np.cumsum(reps) - reps, reps)
-        tb = np.arange(len(qi)) - starts
-        out = pd.DataFrame({"qkey": pdf["qkey"].to_numpy()[qi].astype("int64"),
-                            "cell": ci.astype("int32"), "tblock": tb.astype("int32")})
-        vals = q[qi]
-        for i, c in enumerate(qcols):
-            out[c] = vals[:, i]
-        yield out
-
-    cols = ["qkey", *qcols] + (["dk"] if "dk" in queries.columns else [])
-    return queries.select(*cols).mapInPandas(route, schema)
+            cand = _seeds(d, counts, k)
+        every_q, every_c = np.nonzero(cand)
+        for s in range(0, len(every_q), piece):
+            qi, ci = every_q[s:s + piece], every_c[s:s + piece]
+            reps = tblocks[ci]
+            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
+            tb = np.arange(len(qi)) - np.repeat(np.cumsum(reps) - reps, reps)
+            out = {"qkey": keys[qi], "cell": ci.astype("int32"), "tblock": tb.astype("int32")}
+            out |= {c: q[qi, i] for i, c in enumerate(qcols)}
+            yield pd.DataFrame(out | ({"dk": dk[qi]} if bounded else {}))
+
+    return queries.select("qkey", *qcols, *bounded).mapInPandas(route, schema)
 
 
 def _block_topk(k: int):
@@ -184,36 +183,28 @@ def _block_topk(k: int):
         q = qdf[[c for c in qdf.columns if c.startswith("q") and c[1:].isdigit()]].to_numpy(dtype=np.float64)
         qkeys = qdf["qkey"].to_numpy()
         kk = min(k, len(t))
-        step = max(1, int(8_000_000 // max(1, t.size)))        # bounded temporary
-        out_q, out_t, out_l, out_d = [], [], [], []
+        step = max(1, _CELLS // max(1, t.size))                # bounded temporary
+        at_q, at_t, at_d = [], [], []
         for s in range(0, len(q), step):
-            diff = q[s:s + step, None, :] - t[None, :, :]
-            dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
-            inside = dist <= kth                                # >= kk per row
-            counts = inside.sum(axis=1)
-            plain = np.nonzero(counts == kk)[0]                 # no tie at the k-th place
-            if len(plain):
-                cols = np.nonzero(inside[plain])[1].reshape(len(plain), kk)
-                dsel = dist[plain[:, None], cols]
-                order = np.lexsort((tkeys[cols], dsel), axis=1)   # (distance, train key)
-                cols = np.take_along_axis(cols, order, axis=1)
-                out_q.append(np.repeat(qkeys[s + plain], kk))
-                out_t.append(tkeys[cols].ravel())
-                out_l.append(labels[cols].ravel())
-                out_d.append(np.take_along_axis(dsel, order, axis=1).ravel())
-            for i in np.nonzero(counts > kk)[0]:                # ties: resolve by key
-                row = dist[i]
-                cand = np.nonzero(inside[i])[0]
-                idx = cand[np.lexsort((tkeys[cand], row[cand]))[:kk]]
-                out_q.append(np.full(kk, qkeys[s + i]))
-                out_t.append(tkeys[idx])
-                out_l.append(labels[idx])
-                out_d.append(row[idx])
-        return pd.DataFrame({"qkey": np.concatenate(out_q).astype("int64"),
-                             "tkey": np.concatenate(out_t).astype("int64"),
-                             "label": np.concatenate(out_l).astype("int32"),
-                             "dist": np.concatenate(out_d)})
+            d, off = _distances(q[s:s + step], t)
+            kth = np.full(len(d), np.inf)
+            if "dk" in qdf.columns:
+                kth = qdf["dk"].to_numpy(dtype=np.float64)[s:s + step] * (1 + _SLACK_REL) + _SLACK_ABS
+            wide = ~np.isfinite(kth)
+            if wide.any():                                      # no distance known yet: the block's own k-th one
+                kth[wide] = np.partition(d[wide], kk - 1, axis=1)[:, kk - 1] + off[wide]
+            row, col = np.nonzero(d <= (kth + off)[:, None])
+            dist = _exact(q[s + row] - t[col])
+            order = np.lexsort((tkeys[col], dist, row))         # (distance, train key)
+            row, col, dist = row[order], col[order], dist[order]
+            first = np.searchsorted(row, np.arange(len(d)))
+            best = np.arange(len(row)) - first[row] < kk
+            at_q.append(s + row[best])
+            at_t.append(col[best])
+            at_d.append(dist[best])
+        at_q, at_t = np.concatenate(at_q), np.concatenate(at_t)
+        return pd.DataFrame({"qkey": qkeys[at_q].astype("int64"), "tkey": tkeys[at_t].astype("int64"),
+                             "label": labels[at_t].astype("int32"), "dist": np.concatenate(at_d)})
     return fn
 
 
@@ -228,17 +219,17 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
     pivots = choose_pivots(train, key, vec, n_pivots, seed)
     n_piv = pivots.shape[0]
     assigned = land(_assign_cells(train, key, vec, label, pivots), "knn-cells")
-    counts, radius, nearest = _cell_stats(assigned, k, n_piv)
+    counts, radius = _cell_stats(assigned, n_piv)
     tblocks = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
     dim = pivots.shape[1]
     qsrc = queries.select(F.col(query_key).cast("long").alias("qkey"), *_flat(queries, vec, "q", dim))
     # phase 1: the seed cells give every query k real neighbours -> its radius
-    seeds = _route_queries(qsrc, pivots, radius, nearest, counts, tblocks, k, "seed")
+    seeds = _route_queries(qsrc, pivots, radius, counts, tblocks, k)
     first = _block_join(assigned, seeds, tblocks, n_piv, k, block_rows, seed)
     dk = (first.groupBy("qkey").agg(F.max("dist").alias("dk"), F.count(F.lit(1)).alias("_n"))
           .select("qkey", F.when(F.col("_n") >= k, F.col("dk")).otherwise(F.lit(float("inf"))).alias("dk")))
     # phase 2: only cells that can hold a point within that radius
-    routed = _route_queries(qsrc.join(dk, "qkey"), pivots, radius, nearest, counts, tblocks, k, "bound")
+    routed = _route_queries(qsrc.join(dk, "qkey"), pivots, radius, counts, tblocks, k)
     return _block_join(assigned, routed, tblocks, n_piv, k, block_rows, seed)
 
 
@@ -265,7 +256,7 @@ def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_p
                   .withColumn("qblock", F.pmod(F.xxhash64("qkey", F.lit(seed + 2)),
                                                F.element_at(qb_arr, cell1).cast("long")).cast("int"))
                   .select("cell", "tblock", "qblock", "qkey",
-                          *[c for c in routed.columns if c.startswith("q") and c[1:].isdigit()]))
+                          *[c for c in routed.columns if c == "dk" or c.startswith("q") and c[1:].isdigit()]))
     gkeys = ["cell", "tblock", "qblock"]
     partial = (train_side.groupBy(*gkeys).cogroup(query_side.groupBy(*gkeys))
                .applyInPandas(_block_topk(k), "qkey long, tkey long, label int, dist double"))

@@ -68,3 +68,35 @@ def test_ridge_matches_closed_form(spark):
     r2 = ridge.r2_of(df, m, "y").first()[0]
     pred = m.intercept + x @ np.array(m.coefs)
     assert r2 == pytest.approx(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum())
+
+
+def test_a_step_is_bounded_whatever_the_cells_and_dimensions(spark, monkeypatch):
+    """Every query goes to every cell (64 inputs, nothing prunes); the pieces
+    that a worker handles at once hold at most ``_CELLS`` numbers."""
+    rng = np.random.default_rng(7)
+    pts = rng.normal(size=(260, 64))
+    rows = [(i, [float(v) for v in pts[i]], i % 3) for i in range(200)]
+    tdf = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    qdf = spark.createDataFrame([(500 + i, [float(v) for v in pts[200 + i]]) for i in range(60)], "id long, features array<double>")
+    monkeypatch.setattr(knn, "_CELLS", 640)
+    routed = knn._route_queries(qdf.select(F.col("id").alias("qkey"), *knn._flat(qdf, "features", "q", 64), F.lit(float("inf")).alias("dk")),
+                                pts[:20], np.full(20, 99.0), np.full(20, 10), np.full(20, 2), 7)
+    assert routed.count() == 60 * 20 * 2
+    got = {(r.qkey, r["rank"]): r.tkey for r in knn.knn_neighbours(tdf, qdf, k=7, n_pivots=20).collect()}
+    for i in range(60):
+        order = np.argsort(np.linalg.norm(pts[:200] - pts[200 + i], axis=1))[:7]
+        assert [got[500 + i, n + 1] for n in range(7)] == order.tolist()
+
+
+def test_seeds_hold_k_rows():
+    d = np.array([[3.0, 1.0, 2.0, 9.0, 8.0], [1.0, 2.0, 3.0, 4.0, 5.0]])
+    assert knn._seeds(d, np.array([5, 2, 0, 1, 4]), 7).tolist() == [[True, True, False, False, False]] * 2
+    assert knn._seeds(d, np.array([1, 0, 0, 1, 1]), 7).tolist() == [[True, False, False, True, True]] * 2
+
+
+def test_errors_of_products_stay_within_their_bound():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 5)) * 1e-3 + 1e5
+    y = np.vstack([x[:20], rng.normal(size=(30, 5)) + 1e5])
+    d, off = knn._distances(x, y)
+    assert (np.abs(d - np.linalg.norm(x[:, None] - y[None], axis=2)) <= off[:, None]).all()
