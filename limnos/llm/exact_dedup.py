@@ -63,12 +63,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return alone.select(*out).unionByName(grouped.select(*out))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                filter_words: int = FILTER_WORDS) -> DataFrame:
-    """``docs`` without the copies, every column as it was.
-
-    Rows that a second filter, of dropped and of fully repeated rows, does not
-    contain keep their place without a shuffle."""
+def _suspects(docs: DataFrame, id_col: str, text_col: str, filter_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` as (row, doc_id, content, suspect), its suspects alone, and the
+    landed (doc_id, content, kept) of dropped and of fully repeated rows."""
     marks = mark_copies(docs, id_col, text_col, filter_words)
     key = ["doc_id", "content"]
     touched = land(marks.where("group_size > 1").groupBy(*key)
@@ -80,6 +77,29 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("content"))
     marked = bloom.mark(keys, F.struct(*key), repeated, filter_words)
     hit = marked.where("suspect").select("row", *key)
+    return marked, hit, touched
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                filter_words: int = FILTER_WORDS) -> DataFrame:
+    """``docs`` without the copies, every column as it was.
+
+    Rows that a second filter, of dropped and of fully repeated rows, does not
+    contain keep their place without a shuffle."""
+    marked, hit, touched = _suspects(docs, id_col, text_col, filter_words)
+    key = ["doc_id", "content"]
     gone = touched.where("NOT kept").select(*key)
     left = hit.join(gone, same(hit, gone, *key), "left_anti").dropDuplicates(key)
     return marked.where("NOT suspect").select("row.*").unionByName(left.select("row.*"))
+
+
+def flag_copies(docs: DataFrame, flag: str, id_col: str = "doc_id", text_col: str = "text",
+                filter_words: int = FILTER_WORDS) -> DataFrame:
+    """``docs`` with ``flag``: whether :func:`drop_copies` keeps the row.  Of
+    rows repeated in full (same id and text) one is left."""
+    marked, hit, touched = _suspects(docs, id_col, text_col, filter_words)
+    key = ["doc_id", "content"]
+    of = touched.select(*[F.col(c).alias(f"of_{c}") for c in key], F.col("kept").alias("stays"))
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("content").eqNullSafe(F.col("of_content"))
+    told = hit.join(of, on, "left").dropDuplicates(key).select("row.*", F.coalesce("stays", F.lit(True)).alias(flag))
+    return marked.where("NOT suspect").select("row.*", F.lit(True).alias(flag)).unionByName(told)

@@ -1,36 +1,43 @@
 """Quality rules: repetition counts and n-gram perplexity bands.
 
-The language model is a modified Kneser-Ney model over five symbols.  Texts
-are read as symbols of a fixed alphabet of 32 classes, so an n-gram is an
-integer of 25 bits and the model has at most 2^25 entries whatever the corpus;
-that bounds its broadcast.  Every n-gram of every distinct text is counted:
+Two modified Kneser-Ney models of five symbols read every text.  The spelling
+model (``spelling``) is over code points, one for each language: its alphabet
+is open and it grows with the corpus.  The shape model is one for all
+languages: texts are read as symbols of a fixed alphabet of 32 classes, so an
+n-gram is an integer of 25 bits and the model has at most 2^25 entries whatever
+the corpus; that bounds its broadcast.  Every n-gram of every distinct text is counted:
 workers add up their partition, Spark sums the partial counts.  The model is kept in arrays
 sorted by n-gram; Kneser-Ney's lower orders count distinct left extensions of
 the higher one.
 
-A document's perplexity is held against bands of its language, which rest on
-quartiles over all distinct texts of that language.  Texts that are equal but
-for white space count once, in the model as in the quartiles, so that copying a
-text moves no band.
+A document's perplexity under each model is held against bands of its
+language, which rest on quartiles over all distinct texts of that language.
+Texts that are equal but for white space count once (in the spelling model once
+in each language), in the models as in the quartiles, so that copying a text
+moves no band.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm import bloom
+from limnos.llm import bloom, spelling
 from limnos.llm import ragged as R
 from limnos.llm.common import by_batch, by_partition, land, share, small
-from limnos.llm.exact_dedup import drop_copies, normalised
+from limnos.llm.exact_dedup import drop_copies, flag_copies, normalised
 
 ORDER = 5
 BITS = 5
 GRAMS = 1 << (ORDER * BITS)
 #: Band half-widths in robust standard deviations of the language.
 LOWER, UPPER = 10.0, 3.5
+#: Least spreads of a language, in bits per symbol.  Where texts are much alike,
+#: a number or a quoted passage moves the spelling by tenths of a bit; text that
+#: is none of the language's moves it by several.
+SPREAD, SPELL_SPREAD = 0.01, 0.25
 #: Symbols at which a text's own sampling error counts as much as the spread.
 SETTLED = 400
 
@@ -186,16 +193,18 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """doc_id, lang, content, the counts, n_grams and bits (per symbol; null
-    without n-grams) of rows (doc_id, lang, text, content)."""
-    held = share(docs.sparkSession, model)
+def measure(docs: DataFrame, model: KneserNey, head: dict) -> DataFrame:
+    """doc_id, lang, content, row, the counts, n_grams and bits (per symbol;
+    null without n-grams), and of the spelling model the n-grams, the bits of
+    those in its ``head`` and the other ones, of rows (doc_id, lang, text,
+    content, row)."""
+    held, spelled = share(docs.sparkSession, model), share(docs.sparkSession, head)
     kind = docs.schema["doc_id"].dataType.simpleString()
     cache: dict = {}
 
     def run(b):
         if "bits" not in cache:
-            cache["bits"] = held().bits()
+            cache["bits"], cache["reader"] = held().bits(), spelling.Reader(spelled())
         table = cache["bits"]
         for x, y in R.slices(b.column(2)):
             data, off = R.buffers(b.column(2).slice(x, y - x))
@@ -210,41 +219,64 @@ def measure(docs: DataFrame, model: KneserNey) -> DataFrame:
             np.cumsum(cost, out=sums[1:], dtype=np.float64)
             n = R.per_row(whole, off)
             bits = np.round((sums[off[1:]] - sums[off[:-1]]) / np.maximum(n, 1), 6)
+            of_row, spell_bits, tail = cache["reader"].score(b.column(1).slice(x, y - x), data, off)
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(k).slice(x, y - x) for k in (0, 1, 3)], *[pa.array(counts[c]) for c in COUNTS],
-                 pa.array(n), pa.array(bits, mask=n == 0)],
-                ["doc_id", "lang", "content", *COUNTS, "n_grams", "bits"])
-    return by_batch(docs, run, f"doc_id {kind}, lang string, content long, {', '.join(f'{c} long' for c in COUNTS)}, n_grams long, bits double")
+                [*[b.column(k).slice(x, y - x) for k in (0, 1, 3, 4)], *[pa.array(counts[c]) for c in COUNTS],
+                 pa.array(n), pa.array(bits, mask=n == 0), pa.array(of_row), pa.array(spell_bits), tail],
+                ["doc_id", "lang", "content", "row", *COUNTS, "n_grams", "bits", "spell_grams", "spell_bits", "tail"])
+    return by_batch(docs, run, f"doc_id {kind}, lang string, content long, row long, {', '.join(f'{c} long' for c in COUNTS)}, "
+                               f"n_grams long, bits double, spell_grams long, spell_bits double, tail {spelling.TAIL}")
+
+
+def spelling_model(rows: DataFrame) -> DataFrame:
+    """The spelling model of rows (doc_id, lang, text).  Of texts of a language
+    that are equal but for white space one counts."""
+    tag = F.lpad(F.hex(F.xxhash64("lang")), 16, "0")
+    tagged = rows.select("doc_id", "lang", F.concat(tag, F.coalesce("text", F.lit(""))).alias("text"))
+    return spelling.model(flag_copies(tagged, "own").select("lang", F.expr("substring(text, 17)").alias("text"), "own"))
+
+
+def spread(name: str, least: float) -> list[Column]:
+    """Centre and spread of a language's texts from the quartiles of ``name``."""
+    q = F.percentile_approx(name, [0.25, 0.5, 0.75], 10000)
+    return [q[1].alias(f"{name}_centre"), F.greatest((q[2] - q[0]) / 1.349, F.lit(least)).alias(f"{name}_spread")]
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, bits and the language's band for
-    each row of ``docs``.
+    """doc_id, the counts, base_failed, kept, bits and deviation from the
+    language's band under the shape model, n_grams, lang, and spell_bits and
+    spell_deviation under the spelling model for each row of ``docs``.
 
     A document fails the base rules with under ten words, or with over a fifth
     of its words in repeated five-word windows.  Among the others one goes whose
-    bits per symbol lie beyond its language's band: median - lower * spread to
-    median + upper * spread, spread from the quartiles over distinct texts,
-    deviations of short texts shrunk by their sampling error.  A null language is a language of its
-    own.  A null or empty text has no words and fails; rows that repeat, or have
-    a null id, are judged like any other; an empty table gives no rows."""
+    bits per symbol under either model lie beyond its language's band: median -
+    lower * spread to median + upper * spread, spread from the quartiles over
+    distinct texts, deviations of short texts shrunk by their sampling error.
+    A null language is a language of its own.  A null or empty text has no words
+    and fails; rows that repeat, or have a null id, are judged like any other;
+    an empty table gives no rows."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     model = train(drop_copies(rows).select("text"))
-    measured = land(measure(rows.withColumn("content", F.xxhash64(normalised(F.col("text")))), model), "quality-measures")
-    distinct = measured.where("bits IS NOT NULL").groupBy("lang", "content").agg(F.min("bits").alias("bits"))
-    bands = land(distinct.groupBy("lang")
-                 .agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10000).alias("q"))
-                 .select(F.col("lang").alias("of"), F.col("q")[1].alias("centre"),
-                         F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.01)).alias("spread")), "quality-bands")
-    settled = F.sqrt(F.col("n_grams") / (F.col("n_grams") + SETTLED))
-    z = (F.col("bits") - F.col("centre")) / F.col("spread") * settled
+    spelled = spelling_model(rows)
+    numbered = rows.withColumns({"content": F.xxhash64(normalised(F.col("text"))), "row": F.monotonically_increasing_id()})
+    measured = land(measure(numbered, model, spelling.head(spelled)), "quality-measures")
+    spell = F.when(F.col("spell_grams") > 0, F.round(F.col("spell_bits") / F.col("spell_grams"), 6))
+    measured = spelling.add_tail(measured, spelled).withColumn("spell_bits", spell)
+    distinct = measured.where("bits IS NOT NULL").groupBy("lang", "content").agg(F.min("bits").alias("bits"), F.min("spell_bits").alias("spell_bits"))
+    bands = land(distinct.groupBy(F.col("lang").alias("of")).agg(*spread("bits", SPREAD), *spread("spell_bits", SPELL_SPREAD)), "quality-bands")
+
+    def deviation(name: str, n: str) -> Column:
+        settled = F.sqrt(F.col(n) / (F.col(n) + SETTLED))
+        return (F.col(name) - F.col(f"{name}_centre")) / F.col(f"{name}_spread") * settled
+    z, spell_z = deviation("bits", "n_grams"), deviation("spell_bits", "spell_grams")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = F.coalesce(z.between(-lower, upper), F.lit(True))
+    inside = F.coalesce(z.between(-lower, upper), F.lit(True)) & F.coalesce(spell_z.between(-lower, upper), F.lit(True))
     return (measured.join(small(bands), F.col("lang") == F.col("of"), "left")
             .select("doc_id", *COUNTS, base_failed.alias("base_failed"), (~base_failed & inside).alias("kept"),
-                    "bits", F.round(z, 6).alias("deviation"), "n_grams", "lang"))
+                    "bits", F.round(z, 6).alias("deviation"), "n_grams", "lang",
+                    "spell_bits", F.round(spell_z, 6).alias("spell_deviation")))
 
 
 def drop_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bands) -> DataFrame:

@@ -40,7 +40,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "deviation")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "deviation",
+        "spell_bits", "spell_deviation")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
