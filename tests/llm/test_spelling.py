@@ -10,6 +10,7 @@ from limnos.llm import ragged as R
 from limnos.llm import spelling as S
 
 import corpus
+import corpus_pipeline
 
 
 def kneser_ney(texts, wanted):
@@ -65,6 +66,15 @@ def test_garbage_of_other_scripts_is_rejected(spark):
     assert not any(r.base_failed or r.kept for r in bad) and all(r.spell_deviation > 3.5 for r in bad)
 
 
+def test_pipelines_first_stage_drops_garbage_of_other_scripts(spark):
+    rng = np.random.default_rng(9)
+    rows = prose(5, 30) + [("zh", " ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, 6)) for _ in range(60)))]
+    docs = frame(spark, rows)
+    left = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "")
+    ids = {r.doc_id for r in left.collect()}
+    assert left.columns == docs.columns and 60 not in ids and len(ids) >= 50
+
+
 @pytest.mark.parametrize("most", [1 << 19, 40, 0])
 def test_bits_match_plain_dictionaries(spark, monkeypatch, most):
     """Whatever part of the model is broadcast; copies of one language, with
