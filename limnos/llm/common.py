@@ -22,12 +22,16 @@ ARROW_BYTES = 4 << 20
 
 def share(spark: SparkSession, model) -> Callable[[], object]:
     """Broadcast ``model`` together with the code of its classes; the workers,
-    which need no copy of this package, call the result for it."""
-    held, own = spark.sparkContext.broadcast(cloudpickle.dumps(model)), []
+    which need no copy of this package, call the result for it.  Its arrays
+    travel beside its pickle, so that a worker holds them once."""
+    arrays: list[pickle.PickleBuffer] = []
+    body = cloudpickle.dumps(model, protocol=5, buffer_callback=arrays.append)
+    held, own = spark.sparkContext.broadcast((body, arrays)), []
 
     def get():
         if not own:
-            own.append(pickle.loads(held.value))
+            body, arrays = held.value
+            own.append(pickle.loads(body, buffers=arrays))
         return own[0]
     return get
 

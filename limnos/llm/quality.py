@@ -135,12 +135,28 @@ class KneserNey:
             out[miss] = weight * self.probability(keys[miss] & ((1 << (BITS * (order - 1))) - 1), order - 1)
         return out
 
-    def bits(self) -> np.ndarray:
-        """-log2 P by n-gram as a direct table; NaN where none was counted."""
-        table = np.full(GRAMS, np.nan, np.float16)
-        key, p = self.levels[ORDER][:2]
-        table[key] = -np.log2(p)
-        return table
+    def bits(self) -> Costs:
+        """-log2 P by n-gram; NaN where none was counted."""
+        return Costs(self)
+
+
+class Costs:
+    """-log2 P by n-gram, a block for each context that was counted: as large
+    as the contexts are many (a table of every n-gram takes 64 MB).  Contexts
+    without n-grams share the first block."""
+
+    def __init__(self, model: KneserNey):
+        key, p, ctx, _ = model.levels[ORDER]
+        self.block = np.zeros(GRAMS >> BITS, np.int32)
+        self.block[ctx] = np.arange(1, len(ctx) + 1)
+        self.table = np.full((len(ctx) + 1) << BITS, np.nan, np.float16)
+        self.table[self.place(key)] = -np.log2(p)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (self.block[keys >> BITS] << BITS) | (keys & ((1 << BITS) - 1))
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[self.place(keys)]
 
 
 def train(texts: DataFrame) -> KneserNey:
@@ -206,7 +222,7 @@ def measure(docs: DataFrame, model: KneserNey, head: dict) -> DataFrame:
         if "bits" not in cache:
             cache["bits"], cache["reader"] = held().bits(), spelling.Reader(spelled())
         table = cache["bits"]
-        for x, y in R.slices(b.column(2)):
+        for x, y in R.slices(b.column(2), spelling.SLICE):
             data, off = R.buffers(b.column(2).slice(x, y - x))
             counts = base_counts(data, off)
             key, whole = grams(data, off)

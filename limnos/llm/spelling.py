@@ -38,10 +38,14 @@ MASK = (1 << BITS) - 1
 POINTS = 0x110000
 #: N-grams that are broadcast to the workers at most.
 HEAD = 1 << 19
-#: Windows that are worked on at once.
-CHUNK = 1 << 19
+#: Bytes of text, of whole rows, that are worked on at once.
+SLICE = 1 << 17
+#: Windows of a longer text that are.
+CHUNK = 1 << 17
 #: Distinct n-grams that a worker holds before it hands on their sums.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Sums that wait to be added to those at least.
+WAITING = 1 << 18
 
 
 def points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +134,7 @@ class Counter:
         if not own.all():
             keys = np.unique(key[~own])
             self.pending.append((keys, np.zeros(len(keys), np.int64)))
-        if len(self.pending) >= 16:
+        if sum(len(k) for k, _ in self.pending) >= max(WAITING, len(self.keys) // 2):
             self.fold()
             if len(self.keys) > HELD:
                 yield from self.flush()
@@ -164,7 +168,7 @@ def count_points(texts: DataFrame) -> DataFrame:
     def run(batches):
         counter = Counter()
         for b in batches:
-            for x, y in R.slices(b.column(1)):
+            for x, y in R.slices(b.column(1), SLICE):
                 lang = b.column(0).slice(x, y - x).dictionary_encode()
                 code, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
                 own = b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False)
@@ -243,7 +247,7 @@ def head(probabilities: DataFrame, most: int | None = None) -> dict:
             break
         least = s
     t = probabilities.where(step >= least).select("lang", "a", "b", "bits").toArrow()
-    lang = pa.array(t.column("lang").to_pylist(), pa.string()).dictionary_encode()
+    lang = t.column("lang").combine_chunks().dictionary_encode()
     return {"names": lang.dictionary.to_pylist(), "lang": lang.indices.to_numpy(zero_copy_only=False).astype(np.int32),
             **{c: t.column(c).to_numpy() for c in ("a", "b", "bits")}}
 

@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from limnos.llm import quality as Q
 from limnos.llm import ragged as R
 from limnos.llm import spelling as S
+from limnos.llm.common import share
 
 import corpus
 import corpus_pipeline
@@ -127,3 +129,49 @@ def test_code_points_of_odd_bytes():
     broken = np.frombuffer(b"a\xe6\xb0|\xffb", np.uint8)
     cp, off = S.points(broken, np.asarray([0, 3, 6]))
     assert cp.tolist() == [97, 0xFFFD, 124, 0xFFFD, 98] and off.tolist() == [0, 2, 5]
+
+
+def test_a_worker_holds_little_beside_the_models(spark, monkeypatch):
+    """Texts are measured in pieces, and the shape model's table has no room
+    for contexts that were not counted."""
+    docs = frame(spark, prose(6, 40))
+    model, head = Q.train(docs.select("text")), S.head(Q.spelling_model(docs))
+    step = {}
+    monkeypatch.setattr(Q, "by_batch", lambda df, fn, schema: step.setdefault("run", fn))
+    Q.measure(docs, model, head)
+    texts = [t for _, t in prose(6, 400)]
+    columns = {"doc_id": list(range(len(texts))), "lang": ["ru"] * len(texts), "text": texts, "content": [0] * len(texts), "row": [0] * len(texts)}
+    batch = pa.RecordBatch.from_pydict(columns)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in step["run"](batch))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and batch.nbytes > 400_000 and peak < 64 << 20
+
+
+def test_sums_that_wait_are_bounded(monkeypatch):
+    """A task folds its counts by their number, not by that of its pieces."""
+    rng = np.random.default_rng(8)
+    counter, most = S.Counter(), 0
+    for _ in range(12):
+        cp = rng.integers(97, 123, 1 << 17).astype(np.int32)
+        at = np.arange(len(cp) - 4)
+        list(counter.add(cp, at, ["en"], np.zeros(len(at), np.int64), np.ones(len(at), bool)))
+        most = max(most, sum(len(k) for k, _ in counter.pending) - len(counter.keys) // 2)
+    assert most < 1 << 18
+
+
+def test_a_shared_models_arrays_are_held_once(spark):
+    get = share(spark, {"a": np.arange(1 << 20), "name": "x"})
+
+    def run(batches):
+        for _ in batches:
+            tracemalloc.start()
+            held = get()
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            yield pa.RecordBatch.from_pydict({"peak": [peak], "total": [int(held["a"].sum())], "name": [held["name"]]})
+    got = spark.range(1).coalesce(1).mapInArrow(run, "peak long, total long, name string").first()
+    assert got.name == "x" and got.total == sum(range(1 << 20)) and got.peak < 12 << 20
