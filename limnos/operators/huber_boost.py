@@ -13,6 +13,8 @@ are dealt: the model is the same on any number of partitions.
   count of residuals within delta, from the last level's histograms.
 * The same jobs sum the Huber loss over training and validation rows after each
   round, so the training curve falls out of the fit.
+* The predicted value so far stands beside the bins and is brought up to date
+  every few rounds, so a pass evaluates the trees since then and not all of them.
 * The step is halved when the validation loss stands still for some rounds; the
   fit ends after more of them, and the rounds up to the best one are kept.
 """
@@ -40,6 +42,9 @@ _OCTAVE, _LOWEST, _CLASSES = 16, -20, 16 * 40
 #: jobs and more, so a partition's rows must outweigh its task.
 PART_ROWS, LEAST_ROWS = 2_000_000, 20_000
 
+#: Rounds until the predicted values beside the bins are brought up to date.
+AHEAD = 8
+
 #: Delta of the loss that the curve reports (fixed value).
 CURVE_DELTA = 1.0
 
@@ -82,9 +87,10 @@ class HuberBoost:
         """Bins by input; NaN (no value) lies in the last one."""
         return np.stack([np.searchsorted(np.asarray(c), x) for c, x in zip(self.cuts, columns)]).astype(np.uint8)
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(x.shape[1], self.base)
-        for tree, step in zip(self.trees, self.steps):
+    def raw(self, x: np.ndarray, start: np.ndarray | None = None, since: int = 0) -> np.ndarray:
+        """Predicted values; ``start``: those after the first ``since`` trees."""
+        out = np.full(x.shape[1], self.base) if start is None else start.copy()
+        for tree, step in zip(self.trees[since:], self.steps[since:]):
             out += step * tree.values[tree.leaf(x)]
         return out
 
@@ -103,9 +109,20 @@ def _huber(r: np.ndarray, delta: float) -> np.ndarray:
     return np.where(a <= delta, 0.5 * a * a, delta * a - 0.5 * delta * delta)
 
 
-def _pass(data: DataFrame, model: HuberBoost, tree: Tree, level: int, delta: float, n_bins: int,
+def _predicted(blocks: DataFrame, model: HuberBoost) -> DataFrame:
+    """The blocks with the values that the trees so far predict, cached."""
+    p, so_far = len(model.inputs), HuberBoost(model.inputs, model.cuts, model.base, model.trees[:], model.steps[:])
+
+    def add(batches):
+        for b in batches:
+            values = [so_far.raw(np.frombuffer(x, np.uint8).reshape(p, -1)).tobytes() for x in b.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.binary())], [*b.schema.names, "f"])
+    return blocks.mapInArrow(add, "x binary, y binary, val binary, f binary").persist()
+
+
+def _pass(data: DataFrame, model: HuberBoost, since: int, tree: Tree, level: int, delta: float, n_bins: int,
           report: float = CURVE_DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over the rows: histograms (clipped; within delta, on the last level
+    """Sums over the rows, whose values after the first ``since`` trees are at hand: histograms (clipped; within delta, on the last level
     only; count) by node, input and bin; (rows, loss) of training and validation; classes of absolute
     residuals of the training rows."""
     p, nodes = len(model.inputs), 1 << level
@@ -113,13 +130,13 @@ def _pass(data: DataFrame, model: HuberBoost, tree: Tree, level: int, delta: flo
     def run(batches):
         hist = np.zeros((3, nodes * p * n_bins), np.int64)
         loss, sizes = np.zeros(4, np.int64), np.zeros(_CLASSES, np.int64)
-        for x, y, val in (block for b in batches for block in zip(*(c.to_pylist() for c in b.columns))):
-            y, val = np.frombuffer(y), np.frombuffer(val, bool)
+        for x, y, val, f in (block for b in batches for block in zip(*(c.to_pylist() for c in b.columns))):
+            y, val, f = np.frombuffer(y), np.frombuffer(val, bool), np.frombuffer(f)
             x = np.frombuffer(x, np.uint8).reshape(p, -1)
             fitted = int(np.searchsorted(val, True))  # the validation rows come last
             if level:
-                x, y = x[:, :fitted], y[:fitted]
-            r = y - model.raw(x)
+                x, y, f = x[:, :fitted], y[:fitted], f[:fitted]
+            r = y - model.raw(x, f, since)
             if level == 0:
                 for k, own in enumerate((r[:fitted], r[fitted:])):
                     loss[2 * k] += len(own)
@@ -222,44 +239,48 @@ def fit(train: DataFrame, inputs: Sequence[str], label: Column, key_cols: Sequen
     parts = max(min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism), -(-n // PART_ROWS))
     blocks = rows.repartition(parts, *[F.col(c) for c in rows.columns[:-1]]).mapInArrow(to_blocks, "x binary, y binary, val binary")
     blocks.write.parquet(path)
-    data = spark.read.schema(blocks.schema).parquet(path).persist()
+    return _grow(spark.read.schema(blocks.schema).parquet(path), model, rounds, depth, n_bins, step, quantile, least, wait, patience)
+
+
+def _grow(blocks, model, rounds, depth, n_bins, step, quantile, least, wait, patience) -> HuberBoost:
+    data = _predicted(blocks, model)
     try:
-        return _grow(data, model, rounds, depth, n_bins, step, quantile, least, wait, patience)
+        width = n_bins + 1
+        best, best_at, stale = np.inf, 0, 0
+        since = 0
+        unbounded = 2.0 ** (_CLASSES / _OCTAVE + _LOWEST)
+        report = CURVE_DELTA if quantile is not None else unbounded
+        _, _, sizes = _pass(data, model, 0, Tree(depth, None, None, None), 0, 1.0, width)
+        for number in range(1, rounds + 2):
+            delta = _delta(sizes, quantile) if quantile is not None else unbounded
+            tree = Tree(depth, np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, width), np.zeros(1 << depth))
+            for level in range(depth):
+                hist, loss, seen = _pass(data, model, since, tree, level, delta, width, report)
+                if level == 0:
+                    sizes = seen  # the next round's delta
+                    if number > 1:  # the loss after the round before
+                        have = loss[1] / UNITS / max(loss[0], 1), loss[3] / UNITS / loss[2] if loss[2] else None
+                        model.curve.append((number - 1, float(have[0]), None if have[1] is None else float(have[1]), last_delta, model.steps[-1]))
+                        judged = have[0] if have[1] is None else have[1]
+                        if judged < best - 1e-6:
+                            best, best_at, stale = judged, number - 1, 0
+                        else:
+                            stale += 1
+                            step = step / 2 if stale % wait == 0 else step
+                    if number > rounds or stale >= patience:
+                        keep = best_at if loss[2] else len(model.trees)
+                        del model.trees[keep:], model.steps[keep:]
+                        return model
+                first = (1 << level) - 1
+                tree.inputs[first: first + (1 << level)], tree.bins[first: first + (1 << level)] = _split(hist, least)
+            first = (1 << (depth - 1)) - 1
+            tree.values = _leaf_values(hist, tree.inputs[first:], tree.bins[first:], delta)
+            model.trees.append(tree)
+            model.steps.append(step)
+            if len(model.trees) - since >= AHEAD:
+                data.unpersist()
+                data, since = _predicted(blocks, model), len(model.trees)
+            last_delta = delta
+        return model
     finally:
         data.unpersist()
-
-
-def _grow(data, model, rounds, depth, n_bins, step, quantile, least, wait, patience) -> HuberBoost:
-    width = n_bins + 1
-    best, best_at, stale = np.inf, 0, 0
-    unbounded = 2.0 ** (_CLASSES / _OCTAVE + _LOWEST)
-    report = CURVE_DELTA if quantile is not None else unbounded
-    _, _, sizes = _pass(data, model, Tree(depth, None, None, None), 0, 1.0, width)
-    for number in range(1, rounds + 2):
-        delta = _delta(sizes, quantile) if quantile is not None else unbounded
-        tree = Tree(depth, np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, width), np.zeros(1 << depth))
-        for level in range(depth):
-            hist, loss, seen = _pass(data, model, tree, level, delta, width, report)
-            if level == 0:
-                sizes = seen  # the next round's delta
-                if number > 1:  # the loss after the round before
-                    have = loss[1] / UNITS / max(loss[0], 1), loss[3] / UNITS / loss[2] if loss[2] else None
-                    model.curve.append((number - 1, float(have[0]), None if have[1] is None else float(have[1]), last_delta, model.steps[-1]))
-                    judged = have[0] if have[1] is None else have[1]
-                    if judged < best - 1e-6:
-                        best, best_at, stale = judged, number - 1, 0
-                    else:
-                        stale += 1
-                        step = step / 2 if stale % wait == 0 else step
-                if number > rounds or stale >= patience:
-                    keep = best_at if loss[2] else len(model.trees)
-                    del model.trees[keep:], model.steps[keep:]
-                    return model
-            first = (1 << level) - 1
-            tree.inputs[first: first + (1 << level)], tree.bins[first: first + (1 << level)] = _split(hist, least)
-        first = (1 << (depth - 1)) - 1
-        tree.values = _leaf_values(hist, tree.inputs[first:], tree.bins[first:], delta)
-        model.trees.append(tree)
-        model.steps.append(step)
-        last_delta = delta
-    return model

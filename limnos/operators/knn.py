@@ -26,6 +26,13 @@ survive scale.  The plan here is the pivot-partitioned kNN join:
    (Catalyst applies the group limit before the shuffle), then the votes
    (weight 1/d; where a distance is 0 only the zero-distance neighbours vote)
    are summed per class and normalised.
+
+Rows of few inputs take boxes instead of pivots, as a row then finds its cell by
+some ten comparisons and not by √n distances: a tree of median cuts over a
+bounded sample gives cells of about ``CELL_ROWS`` rows, whose boxes (smallest and
+largest value of each input) prune by the distance to them.  The two phases are
+the same; a worker cuts its block further, by the same kind of tree, down to
+leaves of some hundred rows, so a query meets a few leaves and never a whole cell.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +53,13 @@ DEFAULT_BLOCK_ROWS = 4096
 _SLACK_REL, _SLACK_ABS = 1e-9, 1e-12
 #: Numbers that a step of a worker holds in one array.
 _CELLS = 2_000_000
+#: Inputs up to which rows are dealt by boxes, not by pivots.
+BOX_DIM = 8
+#: Training rows of a cell: aimed at, and at least where that leaves cores idle;
+#: cells at most; rows of the sample for each cell.
+CELL_ROWS, LEAST_ROWS, MAX_CELLS, CELL_SAMPLE = 50_000, 2_000, 4096, 32
+#: Rows of a block of a larger cell, rows of a leaf, and queries of a step within a worker.
+BOX_ROWS, LEAF_ROWS, STEP_ROWS = 500_000, 256, 4096
 
 
 def _cols(prefix: str, dim: int) -> list[str]:
@@ -214,8 +229,11 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, key: str = "id", vec: s
                    query_key: str | None = None) -> DataFrame:
     """Exact k nearest training rows of every query: (qkey, tkey, label, dist, rank)."""
     query_key = query_key or key
-    if n_pivots is None:                 # about sqrt(n) cells of about sqrt(n) rows
-        n_pivots = int(max(8, math.sqrt(max(1, train.count()))))
+    if n_pivots is None:
+        size = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
+        if 0 < (size["dim"] or 0) <= BOX_DIM:
+            return _box_neighbours(train, queries, key, vec, label, k, size["n"], size["dim"], seed, query_key)
+        n_pivots = int(max(8, math.sqrt(max(1, size["n"]))))     # about sqrt(n) cells of about sqrt(n) rows
     pivots = choose_pivots(train, key, vec, n_pivots, seed)
     n_piv = pivots.shape[0]
     assigned = land(_assign_cells(train, key, vec, label, pivots), "knn-cells")
@@ -264,6 +282,274 @@ def _block_join(assigned: DataFrame, routed: DataFrame, tblocks: np.ndarray, n_p
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+# ------------------------------------------------------------------ few inputs: boxes
+class Boxes:
+    """A tree of boxes over rows.  An inner node cuts the longest side of its box
+    at the median: rows up to the cut go to node ``kid``, the others to the next.
+    A leaf (``kid`` is itself) has at most ``leaf_rows`` rows, or equal ones only.
+    ``order`` lists the rows by leaf, ``first`` and ``last`` are a node's in it."""
+
+    def __init__(self, x: np.ndarray, leaf_rows: int):
+        order, side, cut, kid, spans, depth = np.arange(len(x)), [0], [np.inf], [0], [(0, len(x))], [0]
+        node = 0
+        while node < len(kid):
+            first, last = spans[node]
+            own = order[first:last]
+            if last - first > leaf_rows:
+                part = x[own]
+                low, high = part.min(axis=0), part.max(axis=0)
+                at = int((high - low).argmax())
+                if high[at] > low[at]:
+                    v = part[:, at]
+                    c = np.partition(v, len(v) // 2)[len(v) // 2]
+                    c = v[v < c].max() if c == high[at] else c
+                    left = v <= c
+                    middle = first + int(left.sum())
+                    order[first:last] = np.concatenate([own[left], own[~left]])
+                    side[node], cut[node], kid[node] = at, c, len(kid)
+                    for span in ((first, middle), (middle, last)):
+                        side.append(0), cut.append(np.inf), kid.append(len(kid))
+                        spans.append(span), depth.append(depth[node] + 1)
+            node += 1
+        self.order, self.depth = order, max(depth)
+        self.side, self.cut, self.kid = np.array(side), np.array(cut), np.array(kid)
+        self.first, self.last = np.array(spans).T
+        self.leaves = np.nonzero(self.kid == np.arange(len(kid)))[0]
+        self.leaves = self.leaves[np.argsort(self.first[self.leaves])]
+        self.parent = np.zeros(len(kid), dtype=np.int64)
+        inner = np.nonzero(self.kid != np.arange(len(kid)))[0]
+        self.parent[self.kid[inner]] = self.parent[self.kid[inner] + 1] = inner
+
+    def fill(self, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Rows and box of each leaf (in the order of ``leaves``); inner nodes follow."""
+        n = len(self.kid)
+        self.count = np.zeros(n, dtype=np.int64)
+        self.low, self.high = np.full((n, low.shape[1]), np.inf), np.full((n, low.shape[1]), -np.inf)
+        self.count[self.leaves], self.low[self.leaves], self.high[self.leaves] = count, low, high
+        for node in range(n - 1, -1, -1):  # children come after their parent
+            a = self.kid[node]
+            if a != node:
+                self.count[node] = self.count[a] + self.count[a + 1]
+                self.low[node] = np.minimum(self.low[a], self.low[a + 1])
+                self.high[node] = np.maximum(self.high[a], self.high[a + 1])
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The leaf node that each row falls into."""
+        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            at = self.kid[at] + (x[rows, self.side[at]] > self.cut[at])
+        return at
+
+    def roomy(self, k: int) -> np.ndarray:
+        """Of each node: the nearest one upwards that holds ``k`` rows, or the root."""
+        out = np.arange(len(self.kid))
+        for node in range(1, len(out)):
+            if self.count[node] < k:
+                out[node] = out[self.parent[node]]
+        return out
+
+    def reach(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf node) for every leaf whose box lies within the row's bound."""
+        row, at, found = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), []
+        limit = bound * bound
+        while len(row):
+            gap = np.maximum(np.maximum(self.low[at] - x[row], x[row] - self.high[at]), 0.0)
+            near = (np.einsum("ij,ij->i", gap, gap) <= limit[row]) & (self.count[at] > 0)
+            row, at = row[near], at[near]
+            leaf = self.kid[at] == at
+            found.append((row[leaf], at[leaf]))
+            row, at = row[~leaf], self.kid[at[~leaf]]
+            row, at = np.concatenate([row, row]), np.concatenate([at, at + 1])
+        return tuple(np.concatenate(part) for part in zip(*found)) if found else (row, at)
+
+
+def _runs(v: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    ends = np.append(np.nonzero(v[1:] != v[:-1])[0] + 1, len(v)) if len(v) else np.array([], dtype=np.int64)
+    return list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist()))
+
+
+def _nearest(row: np.ndarray, dist: np.ndarray, tkey: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` first of each row by (distance, train key), by row."""
+    order = np.lexsort((tkey, dist, row))
+    row = row[order]
+    begin = np.searchsorted(row, row)
+    return order[np.arange(len(row)) - begin < k]
+
+
+def _search(t: np.ndarray, tkeys: np.ndarray, labels: np.ndarray, q: np.ndarray, dk: np.ndarray, k: int):
+    """For pieces of the queries: (query, train key, label, distance) of the ``k``
+    nearest rows among those within ``dk``, by query."""
+    tree = Boxes(t, LEAF_ROWS)
+    rows = tree.order
+    keep = np.ones(len(rows), dtype=bool)
+    for a, b in zip(tree.first[tree.leaves], tree.last[tree.leaves]):
+        if b - a > LEAF_ROWS:  # equal rows: more than k of them never count
+            keep[a:b][np.argsort(tkeys[rows[a:b]], kind="stable")[k:]] = False
+    place = np.append(0, np.cumsum(keep))
+    first, last = place[tree.first], place[tree.last]
+    rows = rows[keep]
+    t, tkeys, labels = t[rows], tkeys[rows], labels[rows]
+    begin = first[tree.leaves]
+    tree.fill(last[tree.leaves] - begin, np.minimum.reduceat(t, begin), np.maximum.reduceat(t, begin))
+    own = tree.roomy(k)[tree.find(q)]
+    by_leaf = np.argsort(own, kind="stable")
+    for s in range(0, len(q), STEP_ROWS):
+        at = by_leaf[s:s + STEP_ROWS]
+        x, bound = q[at], dk[at] * (1 + _SLACK_REL) + _SLACK_ABS
+        for a, b in _runs(own[at]):
+            lo, hi = first[own[at[a]]], last[own[at[a]]]
+            step = max(1, _CELLS // max(1, hi - lo))
+            for c in range(a, b, step) if hi - lo >= k else ():
+                d, off = _distances(x[c:min(b, c + step)], t[lo:hi])
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off
+                bound[c:c + len(d)] = np.fmin(bound[c:c + len(d)], kth)
+        row, node = tree.reach(x, bound)
+        order = np.argsort(node, kind="stable")
+        row, node = row[order], node[order]
+        found = []
+        for a, b in _runs(node):
+            lo, hi = first[node[a]], last[node[a]]
+            step = max(1, _CELLS // (hi - lo))
+            for c in range(a, b, step):
+                r = row[c:min(b, c + step)]
+                d, off = _distances(x[r], t[lo:hi])
+                i, j = np.nonzero(d <= (bound[r] + off)[:, None])
+                dist = _exact(x[r[i]] - t[lo + j])
+                best = _nearest(r[i], dist, tkeys[lo + j], k) if len(i) > k else slice(None)
+                found.append((r[i][best], (lo + j)[best], dist[best]))
+        if found:
+            r, j, dist = (np.concatenate(part) for part in zip(*found))
+            best = _nearest(r, dist, tkeys[j], k)
+            r, j, dist = r[best], j[best], dist[best]
+            within = dist <= bound[r]
+            r, j, dist = r[within], j[within], dist[within]
+            yield at[r], tkeys[j], labels[j], dist
+
+
+_NEAR = "array<struct<dist: double, tkey: bigint, label: int>>"
+
+
+def _box_join(assigned: DataFrame, routed: DataFrame, tree: Boxes, dim: int, k: int, seed: int) -> DataFrame:
+    """(cell, train block, query block) groups -> (qkey, q0.., near, cells): one
+    row for each query and group, ``near`` its nearest rows there in order."""
+    tcols, qcols = _cols("t", dim), _cols("q", dim)
+    counts = dict(zip(tree.leaves.tolist(), tree.count[tree.leaves].tolist()))
+    # only cells larger than a block are named in the plan
+    tblocks = {c: -(-n // BOX_ROWS) for c, n in counts.items() if n > BOX_ROWS}
+    asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}   # a number for each cell
+    qblocks = {c: -(-n // BOX_ROWS) for c, n in asked.items() if n > BOX_ROWS}
+
+    def of(blocks: dict[int, int]) -> Column:
+        if not blocks:
+            return F.lit(1)
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair]), F.col("cell")), F.lit(1))
+
+    def every(blocks: dict[int, int]) -> Column:
+        return F.explode(F.sequence(F.lit(0), of(blocks) - 1)) if blocks else F.lit(0)
+
+    def drawn(key: str, salt: int, blocks: dict[int, int]) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(seed + salt)), of(blocks).cast("long")).cast("int") if blocks else F.lit(0)
+
+    groups = ["cell", "tblock", "qblock"]
+    parts = max(assigned.sparkSession.sparkContext.defaultParallelism, -(-len(tree.leaves) // 4))
+    train_side = (assigned.withColumn("tblock", drawn("tkey", 1, tblocks)).withColumn("qblock", every(qblocks))
+                  .select(*groups, "tkey", "label", *tcols).repartition(parts, *groups))
+    query_side = (routed.withColumn("tblock", every(tblocks)).withColumn("qblock", drawn("qkey", 2, qblocks))
+                  .select(*groups, "qkey", "dk", *qcols).repartition(parts, *groups))
+
+    def nearest(train: pa.Table, asked: pa.Table) -> pa.Table:
+        q = np.stack([asked.column(c).to_numpy() for c in qcols], axis=1)
+        qkeys = asked.column("qkey").to_numpy()
+        offsets, parts = [np.zeros(1, dtype=np.int64)], []
+        rows: list[np.ndarray] = []
+        if len(qkeys) and train.num_rows:
+            t = np.stack([train.column(c).to_numpy() for c in tcols], axis=1)
+            pieces = _search(t, train.column("tkey").to_numpy(), train.column("label").to_numpy(), q, asked.column("dk").to_numpy(), k)
+            for at, tkey, label, dist in pieces:
+                runs = _runs(at)
+                rows.append(at[[a for a, _ in runs]])
+                offsets.append(offsets[-1][-1] + np.array([b for _, b in runs], dtype=np.int64))
+                parts.append((dist, tkey, label))
+        dist, tkey, label = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        rows = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        struct = pa.StructArray.from_arrays([pa.array(dist), pa.array(tkey), pa.array(label, pa.int32())], ["dist", "tkey", "label"])
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), struct)
+        return pa.table([pa.array(qkeys[rows]), *[pa.array(q[rows, i]) for i in range(dim)], near], ["qkey", *qcols, "near"])
+
+    schema = ", ".join(["qkey bigint", *[f"{c} double" for c in qcols], f"near {_NEAR}"])
+    return train_side.groupBy(*groups).cogroup(query_side.groupBy(*groups)).applyInArrow(nearest, schema)
+
+
+def _box_neighbours(train: DataFrame, queries: DataFrame, key: str, vec: str, label: str, k: int, n: int, dim: int, seed: int,
+                    query_key: str) -> DataFrame:
+    """As :func:`knn_neighbours`, for few inputs.  Rows with a missing or infinite
+    input lie nowhere: they are nobody's neighbours and have none."""
+    tcols, qcols = _cols("t", dim), _cols("q", dim)
+    cells = min(MAX_CELLS, max(1, n // min(CELL_ROWS, max(LEAST_ROWS, n // 32))))
+    sample = choose_pivots(train, key, vec, cells * CELL_SAMPLE, seed)
+    sample = sample[np.isfinite(sample).all(axis=1)]
+    tree = Boxes(sample if len(sample) else np.zeros((1, dim)), CELL_SAMPLE)
+    names = ["qkey", "cell", "dk", *qcols]
+    routes = ", ".join(["qkey bigint", "cell int", "dk double", *[f"{c} double" for c in qcols]])
+
+    def assign(batches):
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in tcols], axis=1)
+            known = np.isfinite(x).all(axis=1)
+            at = pa.array(tree.find(np.where(known[:, None], x, 0.0)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("tkey"), b.column("label"), at, *[b.column(c) for c in tcols]],
+                                             ["tkey", "label", "cell", *tcols]).filter(pa.array(known))
+
+    source = train.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("tkey"), F.col(label).cast("int").alias("label"), *_flat(train, vec, "t", dim))
+    schema = ", ".join(["tkey bigint", "label int", "cell int", *[f"{c} double" for c in tcols]])
+    assigned = land(source.mapInArrow(assign, schema), "knn-cells")
+    seen = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"low{c}") for c in tcols],
+                                                                *[F.max(c).alias(f"high{c}") for c in tcols]).collect()}   # a row for each cell
+    tree.fill(np.array([seen[c]["n"] if c in seen else 0 for c in tree.leaves]),
+              np.array([[seen[c][f"low{i}"] if c in seen else np.inf for i in tcols] for c in tree.leaves]),
+              np.array([[seen[c][f"high{i}"] if c in seen else -np.inf for i in tcols] for c in tree.leaves]))
+    roomy = tree.roomy(k)
+
+    def route(batches, seeds: bool):
+        """To the cells under the nearest node upwards that holds ``k`` rows; then
+        to every other one within ``dk``."""
+        for b in batches:
+            whole = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in qcols], axis=1)
+            keys, every_dk = b.column("qkey").to_numpy(), None if seeds else b.column("dk").to_numpy()
+            step = max(1, _CELLS // (dim * len(tree.leaves)))
+            for s in range(0, len(whole), step):
+                x = whole[s:s + step]
+                home = roomy[tree.find(x)]
+                first, last = tree.first[home][:, None], tree.last[home][:, None]
+                if seeds:
+                    dk = np.full(len(x), np.inf)
+                    row, at = np.nonzero((tree.first[tree.leaves] >= first) & (tree.last[tree.leaves] <= last) & (tree.count[tree.leaves] > 0))
+                    at = tree.leaves[at]
+                else:
+                    dk = every_dk[s:s + step]
+                    row, at = tree.reach(x, dk * (1 + _SLACK_REL) + _SLACK_ABS)
+                    other = (tree.first[at] < first[row, 0]) | (tree.last[at] > last[row, 0])
+                    row, at = row[other], at[other]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[s + row]), pa.array(at.astype(np.int32)), pa.array(dk[row])]
+                                                 + [pa.array(x[row, i]) for i in range(dim)], names)
+
+    def merged(found: DataFrame) -> DataFrame:
+        near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+        return found.groupBy("qkey").agg(*[F.first(c).alias(c) for c in qcols], near.alias("near"))
+
+    known = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) <> double('Infinity')" for c in qcols)
+    asked = queries.select(F.col(query_key).cast("long").alias("qkey"), *_flat(queries, vec, "q", dim)).where(f"qkey IS NOT NULL AND {known}")
+    routed = land(asked.mapInArrow(lambda b: route(b, True), routes), "knn-routes")
+    first = land(merged(_box_join(assigned, routed, tree, dim, k, seed)), "knn-first")
+    bounded = first.withColumn("dk", F.when(F.size("near") >= k, F.col("near")[k - 1]["dist"]).otherwise(F.lit(float("inf")))).drop("near")
+    others = land(bounded.mapInArrow(lambda b: route(b, False), routes), "knn-routes")
+    best = merged(first.unionByName(_box_join(assigned, others, tree, dim, k, seed)))
+    return (best.select("qkey", F.posexplode("near").alias("_place", "_near"))
+            .select("qkey", F.col("_near.tkey").alias("tkey"), F.col("_near.label").alias("label"), F.col("_near.dist").alias("dist"),
+                    (F.col("_place") + 1).alias("rank")))
+
+
 def knn_vote(neigh: DataFrame) -> DataFrame:
     """Distance-weighted class probabilities per query (qkey, label, prob)."""
     w_all = Window.partitionBy("qkey")

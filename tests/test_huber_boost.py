@@ -108,3 +108,16 @@ def test_training_curve_query(spark):
 def test_a_fit_has_few_tasks_for_many_rows():
     # each of its jobs has a task a partition: at 250,000 rows the tasks cost more than the rows
     assert -(-100_000_000 // hb.PART_ROWS) <= 100
+
+
+def test_predicted_values_are_kept_beside_the_bins(spark, monkeypatch):
+    """A pass evaluates the trees of the last ``AHEAD`` rounds, not all of them;
+    the model is the same to the bit however often the values are renewed."""
+    df, renewed, plain = frame(spark, 1500), [], hb._predicted
+    monkeypatch.setattr(hb, "_predicted", lambda blocks, model: renewed.append(len(model.trees)) or plain(blocks, model))
+    monkeypatch.setattr(hb, "AHEAD", 100)
+    whole = hb.fit(df, INPUTS, F.col("y"), ["k"], rounds=7)
+    monkeypatch.setattr(hb, "AHEAD", 2)
+    often = hb.fit(df, INPUTS, F.col("y"), ["k"], rounds=7)
+    assert renewed == [0, 0, 2, 4, 6]
+    assert often.curve == whole.curve and all(np.array_equal(a.values, b.values) for a, b in zip(often.trees, whole.trees))

@@ -100,3 +100,60 @@ def test_errors_of_products_stay_within_their_bound():
     y = np.vstack([x[:20], rng.normal(size=(30, 5)) + 1e5])
     d, off = knn._distances(x, y)
     assert (np.abs(d - np.linalg.norm(x[:, None] - y[None], axis=2)) <= off[:, None]).all()
+
+
+def _neighbours(spark, train, queries, k=7):
+    """By (distance, key), and by ``knn_neighbours`` with its own choice of cells."""
+    tdf = spark.createDataFrame([(n, [float(v) for v in x], n % 4) for n, x in enumerate(train)], "id long, features array<double>, label int")
+    qdf = spark.createDataFrame([(1000 + n, [float(v) for v in x]) for n, x in enumerate(queries)], "id long, features array<double>")
+    got = {}
+    for r in knn.knn_neighbours(tdf, qdf, k=k).collect():
+        got.setdefault(r.qkey, {})[r["rank"]] = (r.tkey, r.label, r.dist)
+    want = {}
+    for n, x in enumerate(queries):
+        d = np.sqrt(((train - x) ** 2).sum(axis=1))
+        want[1000 + n] = {m + 1: (int(t), int(t) % 4, pytest.approx(d[t])) for m, t in enumerate(np.lexsort((np.arange(len(d)), d))[:k])}
+    return got, want
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "hot", "few"])
+def test_boxes_match_brute_force(spark, monkeypatch, kind):
+    """Many small cells and blocks: rows spread out, on a grid with ties, most of
+    them at one spot, and fewer than k."""
+    rng = np.random.default_rng(5)
+    train = rng.normal(size=(600, 3))
+    if kind == "grid":
+        train = rng.integers(0, 3, size=(600, 3)).astype(float)
+    if kind == "hot":
+        train[:560] = train[0]
+    if kind == "few":
+        train = train[:5]
+    queries = np.vstack([train[rng.integers(0, len(train), 30)], 2 * rng.normal(size=(30, 3)), [[50.0, 0.0, 0.0]]])
+    monkeypatch.setattr(knn, "LEAST_ROWS", 20)
+    monkeypatch.setattr(knn, "CELL_ROWS", 30)
+    monkeypatch.setattr(knn, "CELL_SAMPLE", 4)
+    monkeypatch.setattr(knn, "BOX_ROWS", 25)
+    got, want = _neighbours(spark, train, queries)
+    assert got == want
+
+
+def test_few_inputs_meet_no_cell_by_cell_comparison(spark, monkeypatch):
+    """Up to BOX_DIM inputs a row finds its cell by cuts and a query its leaves by
+    boxes: of 20,000 rows only a small part is compared with any one query."""
+    rng = np.random.default_rng(6)
+    t, q = rng.normal(size=(20_000, 5)), rng.normal(size=(500, 5))
+    compared, plain = [], knn._distances
+    monkeypatch.setattr(knn, "_distances", lambda x, y: compared.append(len(x) * len(y)) or plain(x, y))
+    found = list(knn._search(t, np.arange(20_000), np.zeros(20_000, np.int32), q, np.full(500, np.inf), 7))
+    assert sum(len(at) for at, *_ in found) == 500 * 7
+    assert sum(compared) < 0.35 * 500 * 20_000
+    monkeypatch.setattr(knn, "_assign_cells", lambda *a: pytest.fail("distances to pivots"))
+    got, want = _neighbours(spark, t[:300], q[:10])
+    assert got == want
+
+
+def test_rows_with_missing_inputs_have_and_are_no_neighbours(spark):
+    tdf = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [1.0, None], 1), (3, [float("nan"), 0.0], 1), (4, [float("inf"), 0.0], 1), (5, [3.0, 4.0], 2)],
+                                "id long, features array<double>, label int")
+    qdf = spark.createDataFrame([(7, [0.0, 0.0]), (8, [None, 0.0]), (9, [float("-inf"), 0.0])], "id long, features array<double>")
+    assert [(r.qkey, r.tkey, r.dist) for r in knn.knn_neighbours(tdf, qdf, k=2).orderBy("rank").collect()] == [(7, 1, 0.0), (7, 5, 5.0)]
