@@ -1,11 +1,13 @@
 """Models (D2-D4, D7) on Spark ML.
 
 * RBF-kernel classifier: random Fourier features (Rahimi & Recht, 2007) for
-  the kernel exp(-γ‖x−y‖²) built as plain column expressions (``cos`` of a
-  short dot product — codegen'd, no UDF), then a multinomial
-  ``LogisticRegression`` with balanced class weights, which yields class
-  probabilities directly.  Replaces an in-memory kernel SVM whose solver
-  does not distribute.
+  the kernel exp(-γ‖x−y‖²), then multinomial logistic regression with balanced
+  class weights, which yields class probabilities directly.  Only the inputs are
+  kept; each pass makes the features anew, block by block, and hands on the loss
+  and the gradient over all rows.  Steps are quasi-Newton ones that start from
+  the curvature on a bounded sample: it decides how many passes it takes, not
+  where they end.  Replaces an in-memory kernel SVM whose solver does not
+  distribute.
 * Nonlinear regressor: ``GBTRegressor`` on the log1p target with early
   stopping on a validation slice carved from the training rows (never from
   the evaluation rows).  Replaces a small in-memory neural network.
@@ -18,13 +20,14 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +35,14 @@ from pyspark.sql import functions as F
 from limnos.functions.labels import N_CLASSES
 from limnos.operators import huber_boost
 from limnos.operators.metrics import huber_term
-from limnos.operators.probabilities import align_probabilities
-from limnos.session import deal, fit_partitions
+from limnos.session import deal, fit_partitions, land
 
 K = N_CLASSES
+#: Rows of the sample that gives the first curvature, about; rows of a step in a
+#: worker; lengths of a step that one pass tries.
+CURVE_ROWS, STEP_ROWS, LENGTHS = 20_000, 2048, (1.0, 0.25, 1 / 16)
+#: The fit ends where a step promises less than this share of the loss.
+PROMISE = 1e-9
 
 
 # ------------------------------------------------------------------ RBF classifier
@@ -66,26 +73,134 @@ class FourierMap:
             out.append((F.lit(scale) * F.cos(dot)).alias(f"_rff{j}"))
         return out
 
+    def vectors(self, x: np.ndarray) -> np.ndarray:
+        """Rows (n × d) as n × (D + 1), a constant last."""
+        out = np.ones((len(x), len(self.offsets) + 1))
+        z = out[:, :-1]
+        np.matmul(x, self.weights.T, out=z)
+        z += self.offsets
+        np.cos(z, out=z)
+        z *= math.sqrt(2.0 / len(self.offsets))
+        return out
+
+
+def _matrix(columns: Sequence[np.ndarray]) -> np.ndarray:
+    x = np.stack([np.asarray(c, dtype=np.float64) for c in columns], axis=1)
+    if np.isnan(x).any():
+        raise ValueError("a row of the classifier has a missing input")
+    return x
+
 
 @dataclass
 class RbfClassifier:
     fmap: FourierMap
-    model: LogisticRegressionModel
+    coefs: np.ndarray        # (D + 1) × classes, the intercepts last
     classes: list[int]
 
-    def features(self, df: DataFrame) -> DataFrame:
-        cols = self.fmap.columns()
-        df = df.select("*", *cols)
-        return VectorAssembler(inputCols=[f"_rff{j}" for j in range(len(cols))],
-                               outputCol="_rff").transform(df).drop(*[f"_rff{j}" for j in range(len(cols))])
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """n × N_CLASSES, zeros for classes without training rows."""
+        out = np.zeros((len(x), K))
+        for s in range(0, len(x), STEP_ROWS):
+            out[s:s + STEP_ROWS, self.classes] = _softmax(self.fmap.vectors(x[s:s + STEP_ROWS]) @ self.coefs)[0]
+        return out
 
     def predict_proba(self, df: DataFrame, out: str = "probs") -> DataFrame:
         """Adds ARRAY<DOUBLE>[4] class probabilities in class-index order."""
-        scored = self.model.transform(self.features(df))
-        arr = vector_to_array(F.col("probability"))
-        n_model = self.model.numClasses
-        aligned = align_probabilities({c: F.element_at(arr, c + 1) for c in self.classes if c < n_model})
-        return scored.withColumn(out, aligned).drop("_rff", "rawPrediction", "probability", "prediction")
+        model = self
+
+        @F.pandas_udf("array<double>")
+        def probs(*columns: pd.Series) -> pd.Series:
+            return pd.Series(list(model.probabilities(_matrix(columns))))
+        return df.withColumn(out, probs(*[F.col(c).cast("double") for c in self.fmap.inputs]))
+
+
+def _softmax(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities by row, and the logarithm of their common divisor."""
+    top = scores.max(axis=1, keepdims=True)
+    p = np.exp(scores - top)
+    total = p.sum(axis=1, keepdims=True)
+    return p / total, (top + np.log(total))[:, 0]
+
+
+def _loss(z: np.ndarray, y: np.ndarray, weight: np.ndarray, coefs: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted sum of the log loss, its gradient, and the class probabilities."""
+    scores = z @ coefs
+    p, log_total = _softmax(scores)
+    rows = np.arange(len(y))
+    off = p.copy()
+    off[rows, y] -= 1.0
+    off *= weight[:, None]
+    return float((weight * (log_total - scores[rows, y])).sum()), z.T @ off, p
+
+
+def _curvature(z: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Second derivatives of the weighted log loss, coefficients by class."""
+    width, c = z.shape[1], p.shape[1]
+    out = np.zeros((c, width, c, width))
+    for i in range(c):
+        for j in range(i, c):
+            part = z.T @ (z * (weight * p[:, i] * (float(i == j) - p[:, j]))[:, None])
+            out[i, :, j], out[j, :, i] = part, part
+    return out.reshape(c * width, c * width)
+
+
+def _minimise(everywhere, sample, reg: float, width: int, c: int, max_iter: int) -> np.ndarray:
+    """Coefficients (width × c) of the least mean log loss plus ``reg`` / 2 times
+    their squares, intercepts (the last ones) left out.
+
+    ``everywhere(list of coefficients)`` gives (mean loss, gradient) of each over
+    all rows; ``sample`` is (features, classes, weights that sum to 1).  The
+    sample's own minimum is the start and its curvature there the first guess,
+    which each step corrects by the gradients over all rows (BFGS)."""
+    ridge = np.full((width, c), reg)
+    ridge[-1] = 0.0
+    by_class = ridge.T.ravel()                 # vectors are laid out by class
+
+    def vector(m: np.ndarray) -> np.ndarray:
+        return m.T.ravel()
+
+    def matrix(v: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(v.reshape(c, width).T)
+
+    def whole(loss: float, grad: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        return loss + 0.5 * float((ridge * w * w).sum()), vector(grad + ridge * w)
+
+    z, y, weight = sample
+    w, inverse = np.zeros((width, c)), np.eye(width * c)
+    for _ in range(50):
+        loss, grad, p = _loss(z, y, weight, w)
+        loss, g = whole(loss, grad, w)
+        inverse = np.linalg.inv(_curvature(z, weight, p) + np.diag(by_class + 1e-9))
+        step = inverse @ g
+        if g @ step <= 1e-12 * max(loss, 1e-12):
+            break
+        for length in 0.5 ** np.arange(30):
+            trial = w - length * matrix(step)
+            if whole(*_loss(z, y, weight, trial)[:2], trial)[0] < loss:
+                w = trial
+                break
+        else:
+            break
+    loss, g = whole(*everywhere([w])[0], w)
+    reach = 1.0
+    for _ in range(max_iter):
+        step = inverse @ g
+        if 0.5 * (g @ step) <= PROMISE * max(loss, 1e-12) or reach < 1e-6:
+            break
+        trials = [w - reach * length * matrix(step) for length in LENGTHS]
+        seen = [whole(*got, trial) for got, trial in zip(everywhere(trials), trials)]
+        best = int(np.argmin([got[0] for got in seen]))
+        if seen[best][0] >= loss:
+            reach *= LENGTHS[-1] / 4
+            continue
+        s, change = vector(trials[best] - w), seen[best][1] - g
+        w, (loss, g), reach = trials[best], seen[best], 1.0
+        if s @ change > 1e-18:
+            rho = 1.0 / (s @ change)
+            left = np.eye(len(s)) - rho * np.outer(s, change)
+            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
+    w[-1] -= w[-1].mean()
+    return w
 
 
 def fit_rbf_classifier(train: DataFrame, inputs: Sequence[str], label: str = "class_idx",
@@ -93,27 +208,70 @@ def fit_rbf_classifier(train: DataFrame, inputs: Sequence[str], label: str = "cl
                        max_iter: int = 100, seed: int = 42, partitions: int | None = None) -> RbfClassifier:
     """Balanced-weight multinomial logistic regression on Fourier features.
 
-    One pass counts the classes; the counts (at most four) become literal weights
-    and give the number of partitions, unless ``partitions`` does.  One deals and
-    caches the input columns; the features are made from them as the fit, which
-    keeps its own blocks of them, reads them."""
-    fmap = FourierMap.make(inputs, n_features, gamma, seed)
+    One pass counts the classes; the counts (at most four) become weights and give
+    the number of partitions, unless ``partitions`` does.  One deals, packs and
+    caches the inputs; each pass of the fit, at most ``max_iter`` of them, makes
+    the features of a block anew and sums up loss and gradient over all rows."""
+    fmap, d = FourierMap.make(inputs, n_features, gamma, seed), len(inputs)
     rows = train.filter(F.col(label).isNotNull()).select(*inputs, F.col(label).cast("double").alias("_y"))
     sizes = {int(r["_y"]): r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}   # <= 4 rows
-    present = sorted(sizes)
+    present, total = sorted(sizes), sum(sizes.values())
     if len(present) < 2:
         raise ValueError("fewer than 2 classes in the training rows")
-    base = deal(rows, "_y", *inputs, partitions=partitions or fit_partitions(sum(sizes.values()))).persist()
-    total, weight = sum(sizes.values()), F.lit(None).cast("double")
-    for c in present:
-        weight = F.when(F.col("_y") == c, F.lit(total / (len(present) * sizes[c]))).otherwise(weight)
-    tmp = RbfClassifier(fmap, None, present)  # type: ignore[arg-type]
-    feats = tmp.features(base.withColumn("_w", weight)).select("_rff", "_y", "_w")
-    lr = LogisticRegression(featuresCol="_rff", labelCol="_y", weightCol="_w", family="multinomial",
-                            regParam=reg, elasticNetParam=0.0, maxIter=max_iter, standardization=False)
-    model = lr.fit(feats)
-    base.unpersist()
-    return RbfClassifier(fmap, model, present)
+    width, c = n_features + 1, len(present)
+    class_weight = np.array([1.0 / (c * sizes[k]) for k in present])     # all rows weigh 1 together
+    share = np.minimum(1.0, CURVE_ROWS / c / np.array([sizes[k] for k in present]))
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                *x, y = (col.to_numpy(zero_copy_only=False) for col in b.columns)
+                values = _matrix(x), np.searchsorted(present, y).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["x", "y"])
+
+    def blocks(batches):
+        for b in batches:
+            for x, y in zip(*(col.to_pylist() for col in b.columns)):
+                yield np.frombuffer(x).reshape(-1, d), np.frombuffer(y, np.int8)
+
+    def draw(batches):
+        """Of each class a share of the rows, by a generator that a block's content seeds."""
+        for x, y in blocks(batches):
+            own = np.random.default_rng([zlib.crc32(x.tobytes()), len(x), seed]).random(len(x)) < share[y]
+            yield pa.RecordBatch.from_arrays([pa.array([v[own].tobytes()], pa.binary()) for v in (x, y)], ["x", "y"])
+
+    dealt = deal(rows.select(*[F.col(k).cast("double").alias(k) for k in inputs], "_y"), "_y", *inputs, partitions=partitions or fit_partitions(total))
+    data = land(dealt.mapInArrow(pack, "x binary, y binary"), "rbf-rows").persist()
+
+    def everywhere(trials: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        n = len(trials)
+
+        def run(batches):
+            loss, grad = np.zeros(n), np.zeros((n, width, c))
+            for x, y in blocks(batches):
+                for s in range(0, len(x), STEP_ROWS):
+                    z, own = fmap.vectors(x[s:s + STEP_ROWS]), y[s:s + STEP_ROWS]
+                    for k, coefs in enumerate(trials):
+                        part, slope, _ = _loss(z, own, class_weight[own], coefs)
+                        loss[k] += part
+                        grad[k] += slope
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (loss, grad)], ["loss", "grad"])
+
+        loss, grad = np.zeros(n), np.zeros((n, width, c))
+        for r in data.mapInArrow(run, "loss binary, grad binary").collect():   # one small row a partition
+            loss += np.frombuffer(r["loss"])
+            grad += np.frombuffer(r["grad"]).reshape(grad.shape)
+        return list(zip(loss.tolist(), grad))
+
+    try:
+        drawn = data.mapInArrow(draw, "x binary, y binary").collect()          # about CURVE_ROWS rows
+        x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, d) for r in drawn])
+        y = np.concatenate([np.frombuffer(r["y"], np.int8) for r in drawn])
+        weight = 1.0 / (c * np.maximum(1, np.bincount(y, minlength=c)))[y]
+        coefs = _minimise(everywhere, (fmap.vectors(x), y, weight / weight.sum()), reg, width, c, max_iter)
+    finally:
+        data.unpersist()
+    return RbfClassifier(fmap, coefs, present)
 
 
 # ------------------------------------------------------------------ GBT regressor

@@ -69,3 +69,46 @@ def test_partitions_of_a_fit_grow_with_the_rows(spark, monkeypatch):
     md.fit_rbf_classifier(df, ["a", "b"], "y", n_features=4, max_iter=3)
     md.fit_regressor(df, ["a", "b"], "a", ["k"], max_iter=2, max_depth=2)
     assert seen == [20, 20]
+
+
+def _classes(spark, n=3000):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 2))
+    r = (x ** 2).sum(1)
+    y = np.where(r < 0.5, 0, np.where(r < 2.0, 2, 3))
+    return x, y, spark.createDataFrame([(*map(float, v), int(k)) for v, k in zip(x, y)], "a double, b double, y int")
+
+
+def test_rbf_fit_ends_at_the_minimum_over_all_rows(spark, monkeypatch):
+    """Whatever sample the curvature comes from, the coefficients are those of
+    Spark's own multinomial regression on the same features and weights."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    x, y, df = _classes(spark)
+    fits = []
+    for rows in (150, 100_000):
+        monkeypatch.setattr(models, "CURVE_ROWS", rows)
+        fits.append(models.fit_rbf_classifier(df, ["a", "b"], "y", n_features=16, partitions=3))
+    assert fits[0].classes == [0, 2, 3]
+    assert np.abs(fits[0].coefs - fits[1].coefs).max() < 1e-3
+    # the gradient over all rows vanishes
+    z, place = fits[0].fmap.vectors(x), np.searchsorted([0, 2, 3], y)
+    weight = (1 / (3 * np.bincount(place)))[place]
+    _, grad, _ = models._loss(z, place, weight, fits[0].coefs)
+    ridge = 1e-3 * fits[0].coefs * np.append(np.ones(16), 0)[:, None]
+    assert np.abs(grad + ridge).max() < 1e-5
+    feats = spark.createDataFrame([(*map(float, v[:-1]), float(k), float(w) * len(y)) for v, k, w in zip(z, place, weight)],
+                                  [f"z{i}" for i in range(16)] + ["k", "w"])
+    spark_fit = LogisticRegression(featuresCol="z", labelCol="k", weightCol="w", family="multinomial", regParam=1e-3, maxIter=500,
+                                   tol=1e-10, standardization=False).fit(VectorAssembler(inputCols=[f"z{i}" for i in range(16)], outputCol="z").transform(feats))
+    got = models._softmax(z @ fits[0].coefs)[0]
+    want = models._softmax(z @ np.vstack([spark_fit.coefficientMatrix.toArray().T, spark_fit.interceptVector.toArray()]))[0]
+    assert np.abs(got - want).max() < 1e-3
+
+
+def test_rbf_probabilities_leave_out_classes_without_rows(spark):
+    x, y, df = _classes(spark, 600)
+    fit = models.fit_rbf_classifier(df, ["a", "b"], "y", n_features=32, partitions=2)
+    rows = fit.predict_proba(df).collect()
+    assert all(r.probs[1] == 0 and abs(sum(r.probs) - 1) < 1e-9 for r in rows)
+    assert np.mean([int(np.argmax(r.probs)) == r.y for r in rows]) > 0.85
