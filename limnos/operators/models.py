@@ -8,9 +8,10 @@
   the curvature on a bounded sample: it decides how many passes it takes, not
   where they end.  Replaces an in-memory kernel SVM whose solver does not
   distribute.
-* Nonlinear regressor: ``GBTRegressor`` on the log1p target with early
-  stopping on a validation slice carved from the training rows (never from
-  the evaluation rows).  Replaces a small in-memory neural network.
+* Nonlinear regressor: gradient-boosted trees (``squared_boost``; the model is
+  Spark's ``GBTRegressionModel``) on the log1p target with early stopping on a
+  validation slice carved from the training rows (never from the evaluation
+  rows).  Replaces a small in-memory neural network.
 * Training curve: loss after each boosting iteration on train and
   validation rows (mean Huber loss, one distributed aggregate).
 * Robust regressor: boosting on clipped residuals (``huber_boost``); its curve
@@ -28,12 +29,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.functions.labels import N_CLASSES
-from limnos.operators import huber_boost
+from limnos.operators import huber_boost, squared_boost
 from limnos.operators.metrics import huber_term
 from limnos.session import deal, fit_partitions, land
 
@@ -321,13 +322,9 @@ def fit_regressor(train: DataFrame, inputs: Sequence[str], target: str, key_cols
     h = F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], F.lit(seed + 7)), F.lit(10_000))
     marked = train.withColumn("_val", h < int(valid_fraction * 10_000))
     y = F.log1p(F.col(target)) if log_target else F.col(target)
-    data = deal(VectorAssembler(inputCols=inputs, outputCol="_x").transform(marked.withColumn("_y", y)),
-                *key_cols, partitions=partitions or fit_partitions(train.count())).select("_x", "_y", "_val").persist()
-    gbt = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=max_iter,
-                       maxDepth=max_depth, stepSize=step, validationIndicatorCol="_val",
-                       validationTol=tol, seed=seed, lossType="squared")
-    model = gbt.fit(data)
-    data.unpersist()
+    rows = marked.select(*inputs, *[k for k in key_cols if k not in inputs], y.alias("_y"), "_val")
+    data = deal(rows, *key_cols, partitions=partitions or fit_partitions(train.count()))
+    model = squared_boost.fit(rows, data, inputs, max_iter, max_depth, step, tol)
     fit_part = marked.filter(~F.col("_val")).drop("_val")
     val_part = marked.filter(F.col("_val")).drop("_val")
     return ChlRegressor(inputs, model, log_target), fit_part, val_part

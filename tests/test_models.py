@@ -112,3 +112,45 @@ def test_rbf_probabilities_leave_out_classes_without_rows(spark):
     rows = fit.predict_proba(df).collect()
     assert all(r.probs[1] == 0 and abs(sum(r.probs) - 1) < 1e-9 for r in rows)
     assert np.mean([int(np.argmax(r.probs)) == r.y for r in rows]) > 0.85
+
+
+def _steps(spark, n=1500):
+    """Inputs of ten values each, so that every split of theirs is a candidate."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 10, size=(n, 3)).astype(float)
+    y = np.sin(x[:, 0]) + 0.3 * x[:, 1] * (x[:, 2] > 4) + rng.normal(0, 0.3, n)
+    return spark.createDataFrame([(k, *map(float, v), float(t)) for k, (v, t) in enumerate(zip(x, y))], "k long, a double, b double, c double, y double")
+
+
+@pytest.mark.parametrize("tol", [1e-4, 0.02])
+def test_trees_are_those_of_sparks_own_boosting(spark, tmp_path, tol):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    df = _steps(spark)
+    reg, fit_part, val_part = models.fit_regressor(df, ["a", "b", "c"], "y", ["k"], log_target=False, max_iter=25, max_depth=4, tol=tol)
+    vec = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform
+    own = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="own", maxIter=25, maxDepth=4, stepSize=0.1, validationIndicatorCol="v",
+                       validationTol=tol, lossType="squared").fit(vec(fit_part.withColumn("v", F.lit(False)).unionByName(val_part.withColumn("v", F.lit(True)))))
+    assert len(reg.model.trees) == len(own.trees) and list(reg.model.treeWeights) == list(own.treeWeights)
+    off = reg.predict(own.transform(vec(df)), "mine", clip=False).agg(F.max(F.abs(F.col("mine") - F.col("own"))), F.stddev("own")).first()
+    assert off[0] < 1e-5 < off[1]
+    assert [t.depth for t in reg.model.trees] == [t.depth for t in own.trees]
+    assert np.abs(reg.model.featureImportances.toArray() - own.featureImportances.toArray()).max() < 1e-5
+    models.save_regressor(reg, str(tmp_path / "gbt"))
+    again = models.load_regressor(str(tmp_path / "gbt"), ["a", "b", "c"], log_target=False)
+    both = again.predict(reg.predict(df, "p", clip=False), "q", clip=False)
+    assert both.where("p <> q").count() == 0
+
+
+def test_regressor_keeps_bytes_and_not_vectors(spark, monkeypatch):
+    """What a fit caches is a block of bins, labels and predicted values; the
+    trees do not depend on the partitions; missing inputs are an error."""
+    from limnos.operators import squared_boost
+    df, kept, plain = _steps(spark), [], squared_boost.huber_boost._predicted
+    monkeypatch.setattr(squared_boost.huber_boost, "_predicted", lambda blocks, model: kept.append((blocks.dtypes, len(model.trees))) or plain(blocks, model))
+    fits = [models.fit_regressor(d, ["a", "b", "c"], "y", ["k"], log_target=False, max_iter=6, max_depth=3, tol=0.0, partitions=n)[0]
+            for d, n in ((df, 2), (df.orderBy(F.rand(3)), 5))]
+    assert kept == [([("x", "binary"), ("y", "binary"), ("val", "binary")], at) for at in (0, 4)] * 2
+    assert fits[0].model.toDebugString.split("\n", 1)[1] == fits[1].model.toDebugString.split("\n", 1)[1]
+    with pytest.raises(Exception, match="missing input or label"):
+        models.fit_regressor(df.withColumn("a", F.expr("if(k = 7, null, a)")), ["a", "b", "c"], "y", ["k"], log_target=False, max_iter=2)
