@@ -348,16 +348,31 @@ class Boxes:
                 out[node] = out[self.parent[node]]
         return out
 
-    def reach(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf node) for every leaf whose box lies within the row's bound."""
-        row, at, found = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), []
+    def reach(self, x: np.ndarray, bound: np.ndarray):
+        """(row, leaf node) for every leaf whose box lies within the row's bound, in
+        pieces: each holds all of its rows' leaves, and the pairs of nodes under
+        way at once hold at most ``_CELLS`` numbers, or are those of one row."""
+        left = [(0, len(x))]
+        while left:
+            a, b = left.pop()
+            got = self._reach(x[a:b], bound[a:b], max(_CELLS // x.shape[1], 2) if b - a > 1 else None)
+            if got is None:
+                left += [((a + b) // 2, b), (a, (a + b) // 2)]
+            else:
+                yield a + got[0], got[1]
+
+    def _reach(self, x: np.ndarray, bound: np.ndarray, most: int | None):
+        row, at, found, pairs = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), [], 0
         limit = bound * bound
         while len(row):
+            if most is not None and pairs + len(row) > max(most, 2 * len(x)):
+                return None
             gap = np.maximum(np.maximum(self.low[at] - x[row], x[row] - self.high[at]), 0.0)
             near = (np.einsum("ij,ij->i", gap, gap) <= limit[row]) & (self.count[at] > 0)
             row, at = row[near], at[near]
             leaf = self.kid[at] == at
             found.append((row[leaf], at[leaf]))
+            pairs += len(found[-1][0])
             row, at = row[~leaf], self.kid[at[~leaf]]
             row, at = np.concatenate([row, row]), np.concatenate([at, at + 1])
         return tuple(np.concatenate(part) for part in zip(*found)) if found else (row, at)
@@ -404,27 +419,26 @@ def _search(t: np.ndarray, tkeys: np.ndarray, labels: np.ndarray, q: np.ndarray,
                 d, off = _distances(x[c:min(b, c + step)], t[lo:hi])
                 kth = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * off
                 bound[c:c + len(d)] = np.fmin(bound[c:c + len(d)], kth)
-        row, node = tree.reach(x, bound)
-        order = np.argsort(node, kind="stable")
-        row, node = row[order], node[order]
-        found = []
-        for a, b in _runs(node):
-            lo, hi = first[node[a]], last[node[a]]
-            step = max(1, _CELLS // (hi - lo))
-            for c in range(a, b, step):
-                r = row[c:min(b, c + step)]
-                d, off = _distances(x[r], t[lo:hi])
-                i, j = np.nonzero(d <= (bound[r] + off)[:, None])
-                dist = _exact(x[r[i]] - t[lo + j])
-                best = _nearest(r[i], dist, tkeys[lo + j], k) if len(i) > k else slice(None)
-                found.append((r[i][best], (lo + j)[best], dist[best]))
-        if found:
-            r, j, dist = (np.concatenate(part) for part in zip(*found))
-            best = _nearest(r, dist, tkeys[j], k)
-            r, j, dist = r[best], j[best], dist[best]
-            within = dist <= bound[r]
-            r, j, dist = r[within], j[within], dist[within]
-            yield at[r], tkeys[j], labels[j], dist
+        for row, node in tree.reach(x, bound):
+            order = np.argsort(node, kind="stable")
+            row, node = row[order], node[order]
+            found = []
+            for a, b in _runs(node):
+                lo, hi = first[node[a]], last[node[a]]
+                step = max(1, _CELLS // (hi - lo))
+                for c in range(a, b, step):
+                    r = row[c:min(b, c + step)]
+                    d, off = _distances(x[r], t[lo:hi])
+                    i, j = np.nonzero(d <= (bound[r] + off)[:, None])
+                    dist = _exact(x[r[i]] - t[lo + j])
+                    best = _nearest(r[i], dist, tkeys[lo + j], k) if len(i) > k else slice(None)
+                    found.append((r[i][best], (lo + j)[best], dist[best]))
+            if found:
+                r, j, dist = (np.concatenate(part) for part in zip(*found))
+                best = _nearest(r, dist, tkeys[j], k)
+                r, j, dist = r[best], j[best], dist[best]
+                within = dist <= bound[r]
+                yield at[r[within]], tkeys[j[within]], labels[j[within]], dist[within]
 
 
 _NEAR = "array<struct<dist: double, tkey: bigint, label: int>>"
@@ -510,29 +524,36 @@ def _box_neighbours(train: DataFrame, queries: DataFrame, key: str, vec: str, la
               np.array([[seen[c][f"low{i}"] if c in seen else np.inf for i in tcols] for c in tree.leaves]),
               np.array([[seen[c][f"high{i}"] if c in seen else -np.inf for i in tcols] for c in tree.leaves]))
     roomy = tree.roomy(k)
+    # the cells under a home that is not one itself
+    under = {node: tree.leaves[(tree.first[tree.leaves] >= tree.first[node]) & (tree.last[tree.leaves] <= tree.last[node]) & (tree.count[tree.leaves] > 0)]
+             for node in set(roomy[tree.leaves].tolist()) if tree.kid[node] != node}
 
     def route(batches, seeds: bool):
         """To the cells under the nearest node upwards that holds ``k`` rows; then
         to every other one within ``dk``."""
         for b in batches:
             whole = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in qcols], axis=1)
-            keys, every_dk = b.column("qkey").to_numpy(), None if seeds else b.column("dk").to_numpy()
-            step = max(1, _CELLS // (dim * len(tree.leaves)))
-            for s in range(0, len(whole), step):
-                x = whole[s:s + step]
+            keys = b.column("qkey").to_numpy()
+            for s in range(0, len(whole), STEP_ROWS):
+                x = whole[s:s + STEP_ROWS]
                 home = roomy[tree.find(x)]
-                first, last = tree.first[home][:, None], tree.last[home][:, None]
                 if seeds:
                     dk = np.full(len(x), np.inf)
-                    row, at = np.nonzero((tree.first[tree.leaves] >= first) & (tree.last[tree.leaves] <= last) & (tree.count[tree.leaves] > 0))
-                    at = tree.leaves[at]
+                    alone = np.nonzero(tree.kid[home] == home)[0]
+                    pairs = [(alone, home[alone])]
+                    for node in set(home.tolist()) & set(under):
+                        rows, step = np.nonzero(home == node)[0], max(1, _CELLS // (dim * max(1, len(under[node]))))
+                        pairs += [(np.repeat(rows[c:c + step], len(under[node])), np.tile(under[node], len(rows[c:c + step])))
+                                  for c in range(0, len(rows), step)]
                 else:
-                    dk = every_dk[s:s + step]
-                    row, at = tree.reach(x, dk * (1 + _SLACK_REL) + _SLACK_ABS)
-                    other = (tree.first[at] < first[row, 0]) | (tree.last[at] > last[row, 0])
-                    row, at = row[other], at[other]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[s + row]), pa.array(at.astype(np.int32)), pa.array(dk[row])]
-                                                 + [pa.array(x[row, i]) for i in range(dim)], names)
+                    dk = b.column("dk").to_numpy()[s:s + STEP_ROWS]
+                    pairs = tree.reach(x, dk * (1 + _SLACK_REL) + _SLACK_ABS)
+                for row, at in pairs:
+                    if not seeds:
+                        other = (tree.first[at] < tree.first[home[row]]) | (tree.last[at] > tree.last[home[row]])
+                        row, at = row[other], at[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[s + row]), pa.array(at.astype(np.int32)), pa.array(dk[row])]
+                                                     + [pa.array(x[row, i]) for i in range(dim)], names)
 
     def merged(found: DataFrame) -> DataFrame:
         near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)

@@ -133,6 +133,7 @@ def test_boxes_match_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(knn, "CELL_ROWS", 30)
     monkeypatch.setattr(knn, "CELL_SAMPLE", 4)
     monkeypatch.setattr(knn, "BOX_ROWS", 25)
+    monkeypatch.setattr(knn, "_CELLS", 120)  # pieces of a few rows
     got, want = _neighbours(spark, train, queries)
     assert got == want
 
@@ -157,3 +158,19 @@ def test_rows_with_missing_inputs_have_and_are_no_neighbours(spark):
                                 "id long, features array<double>, label int")
     qdf = spark.createDataFrame([(7, [0.0, 0.0]), (8, [None, 0.0]), (9, [float("-inf"), 0.0])], "id long, features array<double>")
     assert [(r.qkey, r.tkey, r.dist) for r in knn.knn_neighbours(tdf, qdf, k=2).orderBy("rank").collect()] == [(7, 1, 0.0), (7, 5, 5.0)]
+
+
+def test_pairs_under_way_are_bounded(monkeypatch):
+    rng = np.random.default_rng(8)
+    t, x = rng.normal(size=(500, 3)), rng.normal(size=(200, 3))
+    tree = knn.Boxes(t, 10)
+    own = t[tree.order]
+    begin = tree.first[tree.leaves]
+    tree.fill(tree.last[tree.leaves] - begin, np.minimum.reduceat(own, begin), np.maximum.reduceat(own, begin))
+    monkeypatch.setattr(knn, "_CELLS", 1500)
+    pieces = list(tree.reach(x, np.where(np.arange(200) < 20, np.inf, 0.5)))
+    assert len(pieces) > 1 and max(len(row) for row, _ in pieces) <= 500
+    row, leaf = (np.concatenate(p) for p in zip(*pieces))
+    want = {(n, m) for n in range(200) for m in tree.leaves
+            if n < 20 or (np.maximum(np.maximum(tree.low[m] - x[n], x[n] - tree.high[m]), 0) ** 2).sum() <= 0.25}
+    assert set(zip(row.tolist(), leaf.tolist())) == {(n, int(m)) for n, m in want} and len(row) == len(want)
